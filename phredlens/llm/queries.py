@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from phredlens.llm.bpe import round_trip
+from phredlens.llm.decontaminate import overlaps
 from phredlens.llm.exact_dedup import exact_duplicates
 from phredlens.llm.simhash import near_duplicates
+from phredlens.llm.substring_dedup import repeated_lines
 from phredlens.llm.tables import table
 
+#: The vocabulary of op7; a file of the installed package, never copied here.
+BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op2_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark, sf_dir):
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_substring_dedup(spark, sf_dir):
+    return repeated_lines(table(spark, sf_dir, "documents"))
+
+
+def op7_bpe(spark, sf_dir):
+    return round_trip(table(spark, sf_dir, "documents"), BPE_VOCABULARY)
+
+
 def op10_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_decontamination": op3_decontamination,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_bpe": op7_bpe,
     "op10_simhash": op10_simhash,
 }
 
@@ -29,4 +52,19 @@ ORACLES = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
     """,
+    "op6_substring_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS unit FROM documents
+        ), placed AS (
+            SELECT doc_id, unit, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, length(line) AS size,
+                   trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
+            FROM lines
+        ), units AS (
+            SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1 AS n_words FROM placed WHERE norm <> ''
+        ), ranked AS (
+            SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS keep_doc_id, first_value(unit) OVER w AS keep_unit, count(*) OVER (PARTITION BY norm) AS n_copies
+            FROM units WHERE n_words >= 10 WINDOW w AS (PARTITION BY norm ORDER BY doc_id, unit)
+        )
+        SELECT doc_id, unit, CAST(start AS BIGINT) AS start, CAST(start + size AS BIGINT) AS stop, n_words, keep_doc_id, keep_unit, n_copies FROM ranked WHERE place > 1
+    """,
 }
