@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def slices_of(texts: pa.Array, max_chars: int = 1 << 21):
     """(start, end) row ranges of a batch of about ``max_chars`` bytes each; a longer text is a range of its own."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if i > start and held + n > max_chars:
