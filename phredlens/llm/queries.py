@@ -10,6 +10,7 @@ from phredlens.llm.exact_dedup import exact_duplicates
 from phredlens.llm.simhash import near_duplicates
 from phredlens.llm.substring_dedup import repeated_lines
 from phredlens.llm.tables import table
+from phredlens.llm.toxicity import learn, toxicity
 
 #: The vocabulary of op7; a file of the installed package, never copied here.
 BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +32,11 @@ def op7_bpe(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"), BPE_VOCABULARY)
 
 
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,6 +46,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe": op7_bpe,
+    "op8_toxicity": op8_toxicity,
     "op10_simhash": op10_simhash,
 }
 
