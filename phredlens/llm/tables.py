@@ -30,8 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, so lost executors cost a reread only."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there, so lost executors cost a reread only.
+
+    It is written by at most four tasks a core, so small tables don't become thousands of files.
+    """
     spark = df.sparkSession
+    df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark).rstrip('/')}/phredlens-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
