@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from phredlens.llm import language, secrets
 from phredlens.llm.bpe import round_trip
 from phredlens.llm.decontaminate import overlaps
 from phredlens.llm.exact_dedup import exact_duplicates
@@ -12,7 +13,7 @@ from phredlens.llm.substring_dedup import repeated_lines
 from phredlens.llm.tables import table
 from phredlens.llm.toxicity import learn, toxicity
 
-#: The vocabulary of op7; a file of the installed package, never copied here.
+#: The vocabulary of op7 and op9; a file of the installed package, never copied here.
 BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -24,6 +25,11 @@ def op3_decontamination(spark, sf_dir):
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return secrets.secrets(docs, secrets.learn(docs))
+
+
 def op6_substring_dedup(spark, sf_dir):
     return repeated_lines(table(spark, sf_dir, "documents"))
 
@@ -37,6 +43,10 @@ def op8_toxicity(spark, sf_dir):
     return toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_language(spark, sf_dir):
+    return language.languages(table(spark, sf_dir, "documents"), BPE_VOCABULARY)
+
+
 def op10_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,9 +54,11 @@ def op10_simhash(spark, sf_dir):
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontamination": op3_decontamination,
+    "op5_secrets": op5_secrets,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
+    "op9_language": op9_language,
     "op10_simhash": op10_simhash,
 }
 
