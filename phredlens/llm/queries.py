@@ -8,6 +8,7 @@ from phredlens.llm import language, secrets
 from phredlens.llm.bpe import round_trip
 from phredlens.llm.decontaminate import overlaps
 from phredlens.llm.exact_dedup import exact_duplicates
+from phredlens.llm.licenses import license_scan
 from phredlens.llm.simhash import near_duplicates
 from phredlens.llm.substring_dedup import repeated_lines
 from phredlens.llm.tables import table
@@ -25,6 +26,10 @@ def op3_decontamination(spark, sf_dir):
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_licenses(spark, sf_dir):
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_secrets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return secrets.secrets(docs, secrets.learn(docs))
@@ -54,6 +59,7 @@ def op10_simhash(spark, sf_dir):
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_licenses": op4_licenses,
     "op5_secrets": op5_secrets,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe": op7_bpe,
