@@ -9,6 +9,7 @@ from phredlens.llm.bpe import round_trip
 from phredlens.llm.decontaminate import overlaps
 from phredlens.llm.exact_dedup import exact_duplicates
 from phredlens.llm.licenses import license_scan
+from phredlens.llm.pitman_yor import language_model_scores
 from phredlens.llm.simhash import near_duplicates
 from phredlens.llm.substring_dedup import repeated_lines
 from phredlens.llm.tables import table
@@ -18,6 +19,10 @@ from phredlens.llm.toxicity import learn, toxicity
 BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_lm_scoring(spark, sf_dir):
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ def op10_simhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_licenses": op4_licenses,
