@@ -1,0 +1 @@
+"""Error profiles of sequencing technologies on Spark: mismatches, calibration, recalibration, reports."""
