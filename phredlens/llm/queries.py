@@ -11,7 +11,7 @@ from phredlens.llm.exact_dedup import exact_duplicates
 from phredlens.llm.licenses import license_scan
 from phredlens.llm.pitman_yor import language_model_scores
 from phredlens.llm.simhash import near_duplicates
-from phredlens.llm.substring_dedup import repeated_lines
+from phredlens.llm.substring_dedup import repeated_units
 from phredlens.llm.tables import table
 from phredlens.llm.toxicity import learn, toxicity
 
@@ -41,7 +41,7 @@ def op5_secrets(spark, sf_dir):
 
 
 def op6_substring_dedup(spark, sf_dir):
-    return repeated_lines(table(spark, sf_dir, "documents"))
+    return repeated_units(table(spark, sf_dir, "documents"))
 
 
 def op7_bpe(spark, sf_dir):
@@ -84,18 +84,27 @@ ORACLES = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
     """,
     "op6_substring_dedup": r"""
-        WITH lines AS (
-            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS unit FROM documents
+        WITH marked AS (
+            SELECT doc_id, regexp_replace(text, '([.!?])[ \t]', '\1' || chr(1), 'g') AS text FROM documents
+        ), lines AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS piece, unnest(range(len(string_split(text, chr(10))))) AS line FROM marked
         ), placed AS (
-            SELECT doc_id, unit, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, length(line) AS size,
-                   trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
-            FROM lines
+            SELECT doc_id, line, piece, coalesce(sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM lines
+        ), parts AS (
+            SELECT doc_id, line, start AS line_start, unnest(string_split(piece, chr(1))) AS piece, unnest(range(len(string_split(piece, chr(1))))) AS part FROM placed WHERE contains(piece, chr(1))
+        ), both_levels AS (
+            SELECT doc_id, line, 'line' AS level, start, length(piece) AS size, replace(piece, chr(1), ' ') AS piece FROM placed
+            UNION ALL
+            SELECT doc_id, line, 'sentence', line_start + coalesce(sum(length(piece) + 1) OVER (PARTITION BY doc_id, line ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), length(piece), piece FROM parts
+        ), normal AS (
+            SELECT doc_id, line, level, start, size, trim(regexp_replace(lower(piece), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM both_levels
         ), units AS (
-            SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1 AS n_words FROM placed WHERE norm <> ''
+            SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1 AS n_words FROM normal WHERE norm <> ''
         ), ranked AS (
-            SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS keep_doc_id, first_value(unit) OVER w AS keep_unit, count(*) OVER (PARTITION BY norm) AS n_copies
-            FROM units WHERE n_words >= 10 WINDOW w AS (PARTITION BY norm ORDER BY doc_id, unit)
-        )
-        SELECT doc_id, unit, CAST(start AS BIGINT) AS start, CAST(start + size AS BIGINT) AS stop, n_words, keep_doc_id, keep_unit, n_copies FROM ranked WHERE place > 1
+            SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS keep_doc_id, first_value(start) OVER w AS keep_start, count(*) OVER (PARTITION BY norm) AS n_copies
+            FROM units WHERE n_words >= 8 WINDOW w AS (PARTITION BY norm ORDER BY doc_id, start)
+        ), moved AS (SELECT * FROM ranked WHERE place > 1)
+        SELECT doc_id, line, level, CAST(start AS BIGINT) AS start, CAST(start + size AS BIGINT) AS stop, n_words, keep_doc_id, CAST(keep_start AS BIGINT) AS keep_start, n_copies
+        FROM moved m WHERE level = 'line' OR NOT EXISTS (SELECT 1 FROM moved l WHERE l.level = 'line' AND l.doc_id = m.doc_id AND l.line = m.line)
     """,
 }

@@ -1,38 +1,57 @@
-"""Substring dedup by line hashing: of equal lines the earliest ranked one stays, the rest are removed by offset."""
+"""Substring dedup by hashing lines and the sentences in them: of equal units the earliest ranked one stays, the rest
+are removed by offset.
+
+Passages are often pasted into a longer line, so a line of several sentences is hashed whole and by sentence. Lines and
+sentences share one digest space; a sentence of a line that is removed whole isn't listed again.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phredlens.llm.tables import attach_groups, bloom, filter_bits, in_bloom, stage  # noqa: F401
+from phredlens.llm.tables import attach_groups, bloom, filter_bits, in_bloom, stage
+
+#: Shorter units recur by chance and are none.
+MIN_WORDS = 8
+_SENTENCE_END = re.compile(r"([.!?])[ \t]")
+
 
-#: Shorter lines recur by chance and are no units.
-MIN_WORDS = 10
+def _unit(text: str, start: int, min_words: int):
+    words = text.lower().encode("utf-8", "surrogatepass").split()
+    if len(words) >= min_words:
+        return start, start + len(text), len(words), hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+    return None
 
 
 def line_units(text: str | None, min_words: int = MIN_WORDS):
-    """(unit, start, end, n_words, digest) of each line with ``min_words`` words or more.
+    """(line, level, start, stop, n_words, digest) of each line, and of each sentence of a line that has several, with
+    ``min_words`` words or more.
 
-    unit counts lines from 0; start and end are code points of the original text, the line break not included; the
-    digest is of the line in lower case with whitespace runs made one space and trimmed.
+    line counts from 0; start and stop are code points of the original text, without the line break or the blank that
+    follows; the digest is of the unit in lower case with whitespace runs made one space and trimmed.
     """
     start = 0
-    for unit, line in enumerate((text or "").split("\n")):
-        words = line.lower().encode("utf-8", "surrogatepass").split()
-        if len(words) >= min_words:
-            yield unit, start, start + len(line), len(words), hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+    for number, line in enumerate(_SENTENCE_END.sub("\\1\x01", text or "").split("\n")):
+        if unit := _unit(line.replace("\x01", " "), start, min_words):
+            yield number, "line", *unit
+            at, sentences = start, line.split("\x01")
+            for sentence in sentences if len(sentences) > 1 else ():
+                if unit := _unit(sentence, at, min_words):
+                    yield number, "sentence", *unit
+                at += len(sentence) + 1
         start += len(line) + 1
 
 
 def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    schema = "doc_id long, unit long, start long, stop long, n_words long, digest binary"
-    kinds = [pa.int64()] * 5 + [pa.binary()]
-    names = ["doc_id", "unit", "start", "stop", "n_words", "digest"]
+    schema = "doc_id long, line long, level string, start long, stop long, n_words long, digest binary"
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["doc_id", "line", "level", "start", "stop", "n_words", "digest"]
 
     def run(batches):
         for b in batches:
@@ -47,30 +66,33 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per line to remove: doc_id, unit, start, stop, n_words, keep_doc_id, keep_unit, n_copies.
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per unit to remove: doc_id, line, level, start, stop, n_words, keep_doc_id, keep_start, n_copies.
 
-    The rank of a line is (doc_id, unit), null doc_ids last; the lowest rank of equal lines stays and its place is
-    keep_doc_id, keep_unit. n_copies counts all equal lines. Null and empty texts have no units; rows that repeat a
-    doc_id and text have lines of equal rank, of which none is removed for the other; an empty table gives no rows;
+    The rank of a unit is (doc_id, start), null doc_ids last; the lowest rank of equal units stays and its place is
+    keep_doc_id, keep_start. n_copies counts all equal units. Null and empty texts have no units; rows that repeat a
+    doc_id and text have units of equal rank, of which none is removed for the other; an empty table gives no rows;
     other columns are ignored.
     """
     rows = stage(units(docs, min_words))
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "unit")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
     groups = stage(rows.groupBy("digest").agg(F.min(rank).alias("keep"), F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1"))
     joined = attach_groups(rows, groups, "digest", "n_copies", rows.count())
-    moved = ~(F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("unit") == F.col("keep.unit")))
-    return joined.where(moved).select("doc_id", "unit", "start", "stop", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.unit").alias("keep_unit"), "n_copies")
+    moved = ~(F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("start") == F.col("keep.start")))
+    # Whole lines stand above their sentences; a line's rows are few.
+    whole = F.max(F.col("level") == "line").over(Window.partitionBy("doc_id", "line"))
+    top = joined.where(moved).withColumn("whole", whole).where((F.col("level") == "line") | ~F.col("whole"))
+    return top.select("doc_id", "line", "level", "start", "stop", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), "n_copies")
 
 
-def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` (all its columns) with repeated lines cut out of ``text``; the line break that follows goes too.
+def without_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` (all its columns) with repeated units cut out of ``text``; the line break or blank after one goes too.
 
-    A document's spans are as many as its lines. Only documents that may lose a line are shuffled (a Bloom filter
+    A document's spans are as many as its units. Only documents that may lose a unit are shuffled (a Bloom filter
     over their ids tells), so clean ones keep their place. Documents with a null doc_id are left as they are.
     """
     spark = docs.sparkSession
-    cuts = stage(repeated_lines(docs, min_words).where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__phl_cuts")))
+    cuts = stage(repeated_units(docs, min_words).where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__phl_cuts")))
     n = cuts.count()
     if not n:
         return docs

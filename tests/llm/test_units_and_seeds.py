@@ -17,47 +17,66 @@ def frame(spark, rows):
 def lines_corpus(seed=1):
     rng = random.Random(seed)
     pool = [" ".join(rng.choice("aa Bb cé dd".split()) for _ in range(rng.randint(1, 30))) for _ in range(40)]
-    rows = [(i, "\n".join(rng.choice(pool) + " " * rng.randint(0, 2) for _ in range(rng.randint(0, 9)))) for i in range(40)]
+    line = lambda: rng.choice(pool) + "".join(rng.choice([". ", "! ", ".\t", "."]) + rng.choice(pool) for _ in range(rng.choice([0, 0, 1, 3]))) + " " * rng.randint(0, 2)
+    rows = [(i, "\n".join(line() for _ in range(rng.randint(0, 9)))) for i in range(40)]
     return [*rows, (90, None), (91, ""), (92, "\n\n"), (93, "word " * 50_000), (94, "WORD " * 50_000)]
 
 
-def brute_lines(rows, least=10):
+def brute_lines(rows, least=8):
+    """All repeated units, then without the sentences of repeated lines."""
     seen, out = {}, []
     for i, text in sorted(rows, key=lambda r: r[0]):
         start = 0
-        for unit, line in enumerate((text or "").split("\n")):
-            key = " ".join(line.lower().split())
-            if len(key.split()) >= least:
-                seen.setdefault(key, []).append((i, unit, start, start + len(line), len(key.split())))
+        for number, line in enumerate((text or "").split("\n")):
+            cuts = [0, *(k + 2 for k in range(len(line) - 1) if line[k] in ".!?" and line[k + 1] in " \t"), len(line) + 1]
+            parts = [("line", 0, len(line))] + [("sentence", a, z - 1) for a, z in zip(cuts, cuts[1:], strict=False)] * (len(cuts) > 2)
+            for level, a, z in parts:
+                key = " ".join(line[a:z].lower().split())
+                if len(key.split()) >= least:
+                    seen.setdefault(key, []).append((i, number, level, start + a, start + z, len(key.split())))
             start += len(line) + 1
     for places in seen.values():
-        out += [(*p, places[0][0], places[0][1], len(places)) for p in places[1:]]
-    return sorted(out)
+        places.sort(key=lambda p: (p[0], p[3]))
+        out += [(*p, places[0][0], places[0][3], len(places)) for p in places[1:]]
+    whole = {r[:2] for r in out if r[2] == "line"}
+    return sorted(r for r in out if r[2] == "line" or r[:2] not in whole)
 
 
-def test_lines_match_brute_force(spark):
-    rows = lines_corpus()
-    assert sorted(map(tuple, sub.repeated_lines(frame(spark, rows)).collect())) == brute_lines(rows)
+def test_units_match_brute_force(spark):
+    for seed in (1, 2):
+        rows = lines_corpus(seed)
+        got = sorted(map(tuple, sub.repeated_units(frame(spark, rows)).collect()))
+        assert got == brute_lines(rows) and {r[2] for r in got} == {"line", "sentence"}
 
 
-def test_lines_are_cut_by_their_offsets(spark):
+def test_units_are_cut_by_their_offsets(spark):
     rows = lines_corpus(2)
-    gone = {}
-    for r in brute_lines(rows):
-        gone.setdefault(r[0], set()).add(r[1])
-    want = {i: t if i not in gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
+    want = dict(rows)
+    for i, _, _, a, z, *_ in sorted(brute_lines(rows), key=lambda r: -r[3]):
+        want[i] = want[i][:a] + want[i][z + 1 :]
     docs = frame(spark, rows)
-    got = sub.without_repeated_lines(docs)
+    got = sub.without_repeated_units(docs)
     assert got.columns == docs.columns
-    # A cut takes the line break after it, so only a cut last line leaves one behind.
-    assert {r.doc_id: r.text and r.text.rstrip("\n") for r in got.collect()} == {i: t and t.rstrip("\n") for i, t in want.items()}
+    assert {r.doc_id: r.text for r in got.collect()} == want
 
 
-def test_lines_edge_cases(spark):
-    assert sub.repeated_lines(frame(spark, [])).count() == 0
+def test_passages_inside_lines_are_found(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    prose = lambda n: " ".join(word() + ("." if k % 9 == 8 else "") for k in range(n)) + "."
+    passage = prose(60)
+    rows = [(i, f"{prose(30)} {passage} {prose(20)}" if i % 3 == 0 else prose(80)) for i in range(30)]
+    got = sub.repeated_units(frame(spark, rows)).collect()
+    assert {r.doc_id for r in got} == {i for i in range(30) if i % 3 == 0} - {0} and {r.keep_doc_id for r in got} == {0}
+    for i in range(3, 30, 3):
+        assert sum(r.n_words for r in got if r.doc_id == i) >= 50
+
+
+def test_units_edge_cases(spark):
+    assert sub.repeated_units(frame(spark, [])).count() == 0
     line = "one two three four five six seven eight nine ten"
-    got = [tuple(r) for r in sub.repeated_lines(frame(spark, [(None, line), (5, line), (5, line), (7, f"x\n{line.upper()}")])).collect()]
-    assert sorted(got, key=str) == sorted([(None, 0, 0, len(line), 10, 5, 0, 4), (7, 1, 2, 2 + len(line), 10, 5, 0, 4)], key=str)
+    got = [tuple(r) for r in sub.repeated_units(frame(spark, [(None, line), (5, line), (5, line), (7, f"x\n{line.upper()}")])).collect()]
+    assert sorted(got, key=str) == sorted([(None, 0, "line", 0, len(line), 10, 5, 0, 4), (7, 1, "line", 2, 2 + len(line), 10, 5, 0, 4)], key=str)
 
 
 def planted(seed=3):
