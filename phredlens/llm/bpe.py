@@ -18,10 +18,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phredlens.llm.tables import slices_of
+
 #: How byte-level vocabularies split text into pieces before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces remembered per Python worker; the memory is emptied when full.
-REMEMBERED = 400_000
+#: Pieces remembered per Python worker; the memory is emptied when full, and when a task ends.
+REMEMBERED = 250_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -129,6 +131,11 @@ class ByteBPE:
             self.known[piece] = found
         return found
 
+    def forget(self) -> None:
+        """Python workers outlive a stage; what they remember shouldn't."""
+        self.known.clear()
+        self.pairs.clear()
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         out = []
@@ -182,6 +189,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             ids = [bpe.encode(t.as_py() or "") for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        bpe.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
@@ -203,14 +211,19 @@ def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     vocabulary = _vocabulary(docs.sparkSession, path)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
 
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
+    kinds = [pa.int64(), pa.string(), pa.string(), *[pa.binary()] * keep_ids]
+
     def run(batches):
         bpe = _loaded(vocabulary)
         for b in batches:
-            rows = []
-            for t in b.column("text"):
-                ids = bpe.encode(t.as_py() or "")
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest(), *[ids] * keep_ids))
-            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate([pa.int64(), pa.string(), pa.string(), *[pa.binary()] * keep_ids])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
+            # Ids take more room than texts, so a batch goes out in parts.
+            for a, z in slices_of(b.column("text"), 1 << 22):
+                rows = []
+                for t in b.column("text")[a:z]:
+                    ids = bpe.encode(t.as_py() or "")
+                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest(), *[ids] * keep_ids))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[a:z], *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], names)
+        bpe.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

@@ -26,7 +26,7 @@ MIN_IDENTITY = 0.8
 #: Test items are taken in blocks of so many characters, each one broadcast and one pass over the texts.
 BLOCK_CHARS = 32_000_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_REMEMBERED = 300_000
+_REMEMBERED = 150_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -166,6 +166,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_matches: int = MIN_MATCH
                                 best[key] = score, got
                     rows += [(ids[a + d], seeds.ids[item], *got, got[2] / got[1]) for (d, item), (_, got) in best.items()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+            _HASHES.clear()  # Python workers outlive a stage
 
         part = source.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)

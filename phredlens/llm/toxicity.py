@@ -22,7 +22,7 @@ DIM, HIDDEN, ATTENTION = 8, 8, 8
 WORDS, CHARS = 20_000, 1 << 14
 #: Labelled rows that training takes at most, of each label, by the smallest hash of doc_id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
-_REMEMBERED = 300_000
+_REMEMBERED = 200_000
 
 
 def char_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -46,6 +46,17 @@ def char_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (codes[real] % np.uint32(CHARS)).astype(np.int64), np.concatenate([[0], np.cumsum(real.sum(axis=1))[:-1]])
 
 
+def char_features_of_many(words: list[bytes], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """``char_features`` in parts, so that its matrices stay small."""
+    codes, first, n = [], [], 0
+    for i in range(0, len(words), at_once):
+        c, f = char_features(words[i : i + at_once])
+        codes.append(c.astype(np.int32))
+        first.append(f + n)
+        n += len(c)
+    return np.concatenate(codes), np.concatenate(first)
+
+
 def _summed(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """Sums of the rows of ``values`` by ``index``."""
     out = np.zeros((size, values.shape[1]), values.dtype)
@@ -84,6 +95,12 @@ class Network:
         n = np.diff(np.append(first, len(chars)))
         return self.p["word"][ids] + np.add.reduceat(self.p["char"][chars], first, axis=0) / n[:, None].astype(self.p["char"].dtype)
 
+    def projections(self, ids: np.ndarray, chars: np.ndarray, first: np.ndarray, at_once: int = 20_000) -> np.ndarray:
+        """Input projections of words, in parts, so that their features' vectors never stand together."""
+        ends = np.append(first, len(chars))
+        parts = [self.inputs(ids[i : i + at_once], chars[ends[i] : ends[min(i + at_once, len(ids))]], first[i : i + at_once] - first[i]) @ self.p["wx"] + self.p["b"] for i in range(0, len(ids), at_once)]
+        return np.concatenate(parts)
+
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logits of windows. x: (time, window, 6 * HIDDEN) input projections; mask: (time, window) of real tokens."""
         steps, count = mask.shape
@@ -166,11 +183,11 @@ class Scorer:
             rows, new = self.rows, list(dict.fromkeys(words))
         if new:
             known = self.net.words.get
-            x = self.net.inputs(np.array([known(w, 0) for w in new]), *char_features(new))
+            x = self.net.projections(np.array([known(w, 0) for w in new]), *char_features_of_many(new))
             at = len(rows)
             while at + len(new) + 1 > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[at + 1 : at + 1 + len(new)] = x @ self.net.p["wx"] + self.net.p["b"]
+            self.table[at + 1 : at + 1 + len(new)] = x
             rows.update(zip(new, range(at + 1, at + 1 + len(new)), strict=True))
         return np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
 
@@ -201,37 +218,34 @@ class Scorer:
 def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 4, epochs: int = 3, batch: int = 128) -> Network:
     """A network from labelled texts. With one label only, or no text, every text gets a score on that side."""
     y = np.array(labels, np.float32)
-    words = [tokens(t) for t in texts]
-    counts: dict[bytes, list[int]] = {}
-    for label, doc in zip(labels, words, strict=True):
-        for w in set(doc):
-            counts.setdefault(w, [0, 0])[label] += 1
-    vocabulary = sorted((w for w, c in counts.items() if sum(c) >= 3), key=lambda w: (-sum(counts[w]), w))[:WORDS]
-    net = Network.fresh({w: k + 1 for k, w in enumerate(vocabulary)}, seed)
+    number: dict[bytes, int] = {}
+    docs = [np.fromiter((number.setdefault(w, len(number)) for w in tokens(t)), np.int32) for t in texts]
+    known = list(number)
+    counts = np.zeros((len(known), 2))
+    for label, doc in zip(labels, docs, strict=True):
+        counts[np.unique(doc), label] += 1
+    often = np.flatnonzero(counts.sum(axis=1) >= 3)
+    vocabulary = sorted(often.tolist(), key=lambda k: (-counts[k].sum(), known[k]))[:WORDS]
+    net = Network.fresh({known[k]: n + 1 for n, k in enumerate(vocabulary)}, seed)
     if not len(y) or y.min() == y.max():
         net.p["out"][:] = 0
         net.p["bias"][:] = 4.0 if len(y) and y[0] else -4.0
         return net
-    # Where a word or character feature starts: its log odds over documents (over words for characters), in dimension 0.
-    share = [(y == k).sum() + 1 for k in (0, 1)]
-    odds = lambda c: np.clip(np.log((c[1] + 0.5) / share[1]) - np.log((c[0] + 0.5) / share[0]), -3, 3) / 3
-    for w, k in net.words.items():
-        net.p["word"][k, 0] = odds(counts[w])
-    rng = np.random.default_rng(seed)
-    flat = [w for x in words for w in x]
-    known = list(dict.fromkeys(flat))
-    number = {w: k for k, w in enumerate(known)}
-    ids = np.append(np.fromiter((number[w] for w in flat), np.int64, len(flat)), np.zeros(WINDOW, np.int64))
     if not known:
         return net
-    chars, begin = char_features(known)
+    # Where a word or character feature starts: its log odds over documents (over words for characters), in dimension 0.
+    odds = lambda c, n: np.clip(np.log((c[:, 1] + 0.5) / n[1]) - np.log((c[:, 0] + 0.5) / n[0]), -3, 3) / 3
+    word_odds = odds(counts, [(y == k).sum() + 1 for k in (0, 1)])
+    net.p["word"][1 : len(vocabulary) + 1, 0] = word_odds[vocabulary]
+    chars, begin = char_features_of_many(known)
     sizes = np.diff(np.append(begin, len(chars)))
     word_ids = np.array([net.words.get(w, 0) for w in known])
-    by_char = _summed(chars, np.repeat(np.array([counts[w] for w in known], np.float64), sizes, axis=0), CHARS)
-    seen = by_char.sum(axis=1)
-    net.p["char"][:, 0] = np.where(seen > 0, np.clip(np.log((by_char[:, 1] + 0.5) / (by_char[:, 1].sum() + 1)) - np.log((by_char[:, 0] + 0.5) / (by_char[:, 0].sum() + 1)), -3, 3) / 3, 0)
-    first = np.concatenate([[0], np.cumsum([len(x) for x in words])])
-    spans = [(k, s, min(WINDOW, len(x) - s)) for k, x in enumerate(words) for s in window_starts(len(x)) if x]
+    by_char = np.stack([np.bincount(chars, np.repeat(counts[:, k], sizes), CHARS) for k in (0, 1)], axis=1)
+    net.p["char"][:, 0] = np.where(by_char.sum(axis=1) > 0, odds(by_char, by_char.sum(axis=0) + 1), 0)
+    rng = np.random.default_rng(seed)
+    ids = np.concatenate([*docs, np.zeros(WINDOW, np.int32)])
+    first = np.concatenate([[0], np.cumsum([len(x) for x in docs])])
+    spans = [(k, s, min(WINDOW, len(x) - s)) for k, x in enumerate(docs) for s in window_starts(len(x)) if len(x)]
     doc, start, size = (np.array(c, np.int64) for c in zip(*spans, strict=True))
     steps = np.arange(WINDOW)[:, None]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
@@ -241,15 +255,16 @@ def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 4, e
         mask = steps < size[rows]
         return np.where(mask, ids[first[doc[rows]] + start[rows] + steps], 0), mask
 
+    batches_of_windows = [np.arange(i, min(i + 2048, len(doc))) for i in range(0, len(doc), 2048)]
     # The first choice of windows: the sum of the clearly toxic words' odds.
-    prior = np.array([max(0.0, odds(counts[w]) - 0.5) for w in known] or [0.0])
-    score = np.concatenate([np.where(m, prior[at], 0).sum(axis=0) for at, m in (gathered(np.arange(i, min(i + 4096, len(doc)))) for i in range(0, len(doc), 4096))])
+    prior = np.maximum(0, word_odds - 0.5)
+    score = np.concatenate([np.where(m, prior[at], 0).sum(axis=0) for at, m in map(gathered, batches_of_windows)])
     for step in range(rounds):
         rate = 0.01 * 0.5**step
         if step:
-            scorer = Scorer(net)
-            kept = [k for k, x in enumerate(words) if x]
-            score = np.concatenate([scorer.window_logits([texts[k] for k in kept[i : i + 64]])[2] for i in range(0, len(kept), 64)])
+            table = net.projections(word_ids, chars, begin)
+            score = np.concatenate([net.forward(table[at], m) for at, m in map(gathered, batches_of_windows)])
+            del table
         order = np.lexsort((-score, doc))
         top = order[np.unique(doc[order], return_index=True)[1]]
         positive = top[y[doc[top]] == 1]
