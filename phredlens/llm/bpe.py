@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phredlens.llm.tables import slices_of
+from phredlens.llm.tables import release_memory, slices_of, text_rows
 
 #: How byte-level vocabularies split text into pieces before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -190,8 +190,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ids = [bpe.encode(t.as_py() or "") for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
         bpe.forget()
+        release_memory()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return text_rows(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -225,5 +226,6 @@ def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
                     rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest(), *[ids] * keep_ids))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[a:z], *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], names)
         bpe.forget()
+        release_memory()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return text_rows(docs).mapInArrow(run, schema)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phredlens.llm.tables import slices_of, stage, without_ids
+from phredlens.llm.tables import release_memory, slices_of, stage, text_rows, without_ids
 
 #: Masks of five selected tokens each; together they survive one substitution in about every fifth token.
 MASKS = ("11111", "1101011", "1011101", "110010011", "1010110001", "11001000101")
@@ -143,7 +143,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_matches: int = MIN_MATCH
     schema = "doc_id long, item_id long, first_word long, n_words long, n_matches long, identity double"
     names = schema.replace(" long", "").replace(" double", "").split(", ")
     kinds = [pa.int64()] * 5 + [pa.float64()]
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    source = text_rows(docs)
     out = None
     for block in _blocks(benchmark, block_chars):
         items = spark.sparkContext.broadcast(block)
@@ -166,7 +166,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_matches: int = MIN_MATCH
                                 best[key] = score, got
                     rows += [(ids[a + d], seeds.ids[item], *got, got[2] / got[1]) for (d, item), (_, got) in best.items()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
-            _HASHES.clear()  # Python workers outlive a stage
+            _HASHES.clear()
+            release_memory()
 
         part = source.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)

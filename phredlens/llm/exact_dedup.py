@@ -18,9 +18,8 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("sha"))
 
 
-def _halves(sha: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(sha.to_pylist()), dtype=np.uint64).reshape(-1, 4)
-    return raw[:, 0].copy(), raw[:, 1].copy()
+def _halves(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.asarray(batch.column(c)).view(np.uint64) for c in ("high", "low")]
 
 
 def exact_duplicates(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS, bits_per_key: int = 16) -> DataFrame:
@@ -37,7 +36,7 @@ def exact_duplicates(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS, bi
     table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    keys = stage(digests(docs))
+    keys = stage(digests(docs).select("*", F.xxhash64("sha").alias("high"), F.xxhash64(F.lit("low"), "sha").alias("low")))
     total = keys.count()
     wanted = total * bits_per_key
     slices = max(1, -(-wanted // max_filter_bits))
@@ -45,18 +44,13 @@ def exact_duplicates(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS, bi
     for k in range(slices):
         part = keys if slices == 1 else keys.where(F.pmod(F.conv(F.hex(F.substring("sha", 17, 4)), 16, 10).cast("long"), F.lit(slices)) == k)
 
-        def hashes(batches):
-            for b in batches:
-                high, low = _halves(b.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array(high.view(np.int64)), pa.array(low.view(np.int64))], ["high", "low"])
-
-        bitmap = spark.sparkContext.broadcast(bloom(part.select("sha").mapInArrow(hashes, "high long, low long"), filter_bits(-(-total // slices), bits_per_key, max_filter_bits), twice=True))
+        bitmap = spark.sparkContext.broadcast(bloom(part.select("high", "low"), filter_bits(-(-total // slices), bits_per_key, max_filter_bits), twice=True))
 
         def flag(batches, bitmap=bitmap):
             for b in batches:
-                yield b.append_column("maybe", pa.array(in_bloom(bitmap.value, *_halves(b.column("sha")))))
+                yield b.append_column("maybe", pa.array(in_bloom(bitmap.value, *_halves(b))))
 
-        flagged = part.mapInArrow(flag, "doc_id long, sha binary, maybe boolean")
+        flagged = part.mapInArrow(flag, "doc_id long, sha binary, high long, low long, maybe boolean")
         alone.append(flagged.where("not maybe").select("doc_id", "sha"))
         shared.append(flagged.where("maybe").select("doc_id", "sha"))
     rows, single = shared[0], alone[0]

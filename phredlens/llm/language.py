@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from phredlens.llm.bpe import byte_alphabet
 from phredlens.llm.decontaminate import tokens
-from phredlens.llm.tables import slices_of
+from phredlens.llm.tables import release_memory, slices_of, text_rows
 
 #: Documents of each language that learning takes, about; and languages, the most frequent ones.
 SAMPLE_DOCS, MAX_LANGUAGES = 500, 512
@@ -240,6 +240,8 @@ def languages(docs: DataFrame, vocabulary_path: str, sample: int = SAMPLE_DOCS)
                 langs += one
                 scores.append(two)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        del model
+        release_memory()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(held_out(), F.lit(False)).alias("held_out"))
+    rows = text_rows(docs, F.coalesce(held_out(), F.lit(False)).alias("held_out"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

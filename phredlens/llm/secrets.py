@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phredlens.llm.tables import slices_of
+from phredlens.llm.tables import release_memory, slices_of, text_rows
 
 OUT, BEGIN, INSIDE = 0, 1, 2
 #: Base patterns by kind: pattern, group whose length counts, least length. Kinds are listed in their output order.
@@ -392,5 +392,7 @@ def secrets(docs: DataFrame, field: Field) -> DataFrame:
                 rows += scan(own, part.to_pylist(), gates)
             digest = [(*r[:3], hashlib.sha256(r[3].encode()).hexdigest(), r[4], r[4].count(_FIELD + ":")) for r in rows]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[k] for r in digest], kind) for k, kind in enumerate(kinds))], names)
+        del own
+        release_memory()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_field long")
+    return text_rows(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_field long")

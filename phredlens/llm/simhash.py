@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phredlens.llm.components import connected
-from phredlens.llm.tables import attach_groups, stage, without_ids
+from phredlens.llm.tables import attach_groups, release_memory, stage, text_rows, without_ids
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -51,8 +51,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches:
             prints = np.fromiter((fingerprint(x.as_py()) for x in b.column("text")), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        release_memory()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return text_rows(docs).mapInArrow(run, "doc_id long, fp long")
 
 
 def covering_masks(positions: list[int], radius: int = RADIUS) -> list[int]:

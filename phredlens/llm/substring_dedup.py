@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phredlens.llm.tables import attach_groups, bloom, filter_bits, in_bloom, stage
+from phredlens.llm.tables import attach_groups, bloom, filter_bits, in_bloom, release_memory, stage, text_rows
 
 #: Shorter units recur by chance and are none.
 MIN_WORDS = 8
@@ -63,7 +63,7 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     rows = []
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return text_rows(docs).mapInArrow(run, schema)
 
 
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

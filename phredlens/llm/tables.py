@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -45,6 +47,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_rows(docs: DataFrame, *more) -> DataFrame:
+    """(doc_id, text, ...) for an operator that takes whole texts in Arrow batches.
+
+    Texts have no common length, so a batch is bounded by bytes, not only by rows: the session's
+    ``spark.sql.execution.arrow.maxBytesPerBatch`` is set to 8 MiB (a longer text is a batch of its own).
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system when a task ends: Python workers outlive the stage they worked for."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def slices_of(texts: pa.Array, max_chars: int = 1 << 21):
     """(start, end) row ranges of a batch of about ``max_chars`` bytes each; a longer text is a range of its own."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phredlens.llm.decontaminate import tokens
-from phredlens.llm.tables import slices_of, stage, without_ids
+from phredlens.llm.tables import release_memory, slices_of, stage, text_rows, without_ids
 
 WINDOW, STRIDE = 32, 24
 DIM, HIDDEN, ATTENTION = 8, 8, 8
@@ -342,8 +342,10 @@ def toxicity(docs: DataFrame, network: Network) -> DataFrame:
                 count.append(np.bincount(doc, minlength=z - a))
             score = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), pa.array(np.concatenate(count) if count else [], pa.int64())], ["doc_id", "held_out", "score", "predicted", "n_windows"])
+        del scorer
+        release_memory()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(held_out(), F.lit(False)).alias("held_out"))
+    rows = text_rows(docs, F.coalesce(held_out(), F.lit(False)).alias("held_out"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_windows long")
 
 

@@ -128,3 +128,18 @@ def test_cube_equals_direct_comparison():
                 label[max(find(a), find(c))] = min(find(a), find(c))
     root = {a: find(a) for a in label}
     assert {a: b for a, b in cube} == {a: r for a, r in root.items() if a != r}
+
+
+@pytest.mark.parametrize("heavy", [1, 1_000_000])
+def test_hot_and_cold_groups_give_the_same_rows(spark, monkeypatch, heavy):
+    from phredlens.llm import tables
+
+    monkeypatch.setattr(tables, "HEAVY_GROUPS", heavy)
+    rows = [(i, "same text" if i % 3 else f"text {i // 9}") for i in range(200)]
+    assert sorted(map(tuple, exact_dedup.exact_duplicates(frame(spark, rows)).collect())) == brute_exact(rows)
+
+
+def test_components_of_a_long_path_and_a_star(spark):
+    links = [(k, k + 1) for k in range(0, 150)] + [(1000, 1000 + k) for k in range(1, 60)] + [(5000, 5001)]
+    got = {r.node: r.label for r in connected(spark.createDataFrame([(b, a) for a, b in links], "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(151)} | {1000 + k: 1000 for k in range(60)} | {5000: 5000, 5001: 5000}
