@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from phredlens.llm.tables import attach_groups, bloom, filter_bits, in_bloom, release_memory, stage, text_rows
 
-#: Shorter units recur by chance and are none.
+#: Shorter units are none, unless ``line_words`` asks for shorter lines.
 MIN_WORDS = 8
 _SENTENCE_END = re.compile(r"([.!?])[ \t]")
 
@@ -29,16 +29,16 @@ def _unit(text: str, start: int, min_words: int):
     return None
 
 
-def line_units(text: str | None, min_words: int = MIN_WORDS):
-    """(line, level, start, stop, n_words, digest) of each line, and of each sentence of a line that has several, with
-    ``min_words`` words or more.
+def line_units(text: str | None, min_words: int = MIN_WORDS, line_words: int | None = None):
+    """(line, level, start, stop, n_words, digest) of each line of ``line_words`` words or more (1: every line that isn't
+    blank; None: ``min_words``), and of each sentence of such a line that has several, with ``min_words`` words or more.
 
     line counts from 0; start and stop are code points of the original text, without the line break or the blank that
     follows; the digest is of the unit in lower case with whitespace runs made one space and trimmed.
     """
     start = 0
     for number, line in enumerate(_SENTENCE_END.sub("\\1\x01", text or "").split("\n")):
-        if unit := _unit(line.replace("\x01", " "), start, min_words):
+        if unit := _unit(line.replace("\x01", " "), start, min_words if line_words is None else line_words):
             yield number, "line", *unit
             at, sentences = start, line.split("\x01")
             for sentence in sentences if len(sentences) > 1 else ():
@@ -48,7 +48,7 @@ def line_units(text: str | None, min_words: int = MIN_WORDS):
         start += len(line) + 1
 
 
-def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def units(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int | None = None) -> DataFrame:
     schema = "doc_id long, line long, level string, start long, stop long, n_words long, digest binary"
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     names = ["doc_id", "line", "level", "start", "stop", "n_words", "digest"]
@@ -57,7 +57,7 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for b in batches:
             rows: list[tuple] = []
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                rows += [(i, *u) for u in line_units(text.as_py(), min_words)]
+                rows += [(i, *u) for u in line_units(text.as_py(), min_words, line_words)]
                 if len(rows) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
                     rows = []
@@ -66,7 +66,7 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return text_rows(docs).mapInArrow(run, schema)
 
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int | None = None) -> DataFrame:
     """One row per unit to remove: doc_id, line, level, start, stop, n_words, keep_doc_id, keep_start, n_copies.
 
     The rank of a unit is (doc_id, start), null doc_ids last; the lowest rank of equal units stays and its place is
@@ -74,7 +74,7 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     doc_id and text have units of equal rank, of which none is removed for the other; an empty table gives no rows;
     other columns are ignored.
     """
-    rows = stage(units(docs, min_words))
+    rows = stage(units(docs, min_words, line_words))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
     groups = stage(rows.groupBy("digest").agg(F.min(rank).alias("keep"), F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1"))
     joined = attach_groups(rows, groups, "digest", "n_copies", rows.count())
@@ -85,14 +85,14 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return top.select("doc_id", "line", "level", "start", "stop", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), "n_copies")
 
 
-def without_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int | None = None) -> DataFrame:
     """``docs`` (all its columns) with repeated units cut out of ``text``; the line break or blank after one goes too.
 
     A document's spans are as many as its units. Only documents that may lose a unit are shuffled (a Bloom filter
     over their ids tells), so clean ones keep their place. Documents with a null doc_id are left as they are.
     """
     spark = docs.sparkSession
-    cuts = stage(repeated_units(docs, min_words).where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__phl_cuts")))
+    cuts = stage(repeated_units(docs, min_words, line_words).where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__phl_cuts")))
     n = cuts.count()
     if not n:
         return docs

@@ -60,6 +60,15 @@ def test_units_are_cut_by_their_offsets(spark):
     assert {r.doc_id: r.text for r in got.collect()} == want
 
 
+def test_short_lines_are_found_when_asked_for(spark):
+    rows = [(i, f"Skip to content\nunlike {i}\n\nHome") for i in range(20)]
+    assert sub.repeated_units(frame(spark, rows)).count() == 0
+    got = sub.repeated_units(frame(spark, rows), line_words=1).collect()
+    assert sorted((r.doc_id, r.line, r.n_words, r.keep_doc_id, r.n_copies) for r in got) == sorted((i, line, n, 0, 20) for i in range(1, 20) for line, n in ((0, 3), (3, 1)))
+    left = {r.doc_id: r.text for r in sub.without_repeated_units(frame(spark, rows), line_words=1).collect()}
+    assert left == {i: t if i == 0 else f"unlike {i}\n\n" for i, t in rows}
+
+
 def test_passages_inside_lines_are_found(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
