@@ -17,6 +17,7 @@ from __future__ import annotations
 import pickle
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -32,8 +33,8 @@ from phredlens.llm.tables import release_memory, stage, text_rows
 HEAD, ENDINGS = 8192, 256
 SWEEPS, BURN_IN = 3, 1
 UNKNOWN_MASS = 0.5
-#: Customers of one dish up to which each is reseated alone; above, the tables of a dish are drawn in one move.
-SINGLE_MOVES = 12
+#: Customers of a dish up to which its tables are drawn by a table of Stirling numbers; above, by integrals. Cells at once.
+EXACT, _CELLS = 512, 1_000_000
 #: Tokens of a bucket and of a chunk of documents, about; these bound the memory of a task.
 BUCKET_TOKENS, CHUNK_TOKENS, CHUNK_DOCS = 4_000_000, 1_500_000, 60_000
 _REMEMBERED = 400_000
@@ -78,45 +79,110 @@ def held_out() -> F.Column:
 # --- seating -----------------------------------------------------------------------------------------------------
 
 
+@lru_cache(maxsize=4)
+def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers [customers, tables] up to ``most`` customers."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0.0
+    for c in range(1, most):
+        t = np.arange(1, c + 2)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[c + 1, 1 : c + 2] = np.logaddexp(out[c, :-1][t - 1], np.where(t <= c, np.log(np.maximum(c - t * discount, 0)) + out[c, 1:][t - 1], -np.inf))
+    return out
+
+
+def log_factorial(n: np.ndarray) -> np.ndarray:
+    x = n + 8.0  # Stirling's series for n + 7, and back
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - sum(np.log(n + k) for k in range(1, 8))
+
+
+def _log1p(z: np.ndarray) -> np.ndarray:
+    """Of complex numbers, with no loss near 0."""
+    return 0.5 * np.log1p(z.real * (2 + z.real) + z.imag**2) + 1j * np.arctan2(z.imag, 1 + z.real)
+
+
+def table_weights(customers: np.ndarray, new_weight: np.ndarray, discount: float, points: int = 96, nodes: int = 64):
+    """(first, stride, weights): of first + k * stride tables for dishes with many customers, up to a factor each.
+
+    a ** t times the Stirling number of (c, t) is the coefficient of x ** c in (u * (1 - (1 - x) ** d)) ** t / t!, with
+    u = a / d. It is integrated on a contour through the saddle point of their sum over t: a parabola around the cut
+    from 1 on, or a circle around 0 where the saddle is far from 1. The points cover 8 standard deviations.
+    """
+    c, u, d = customers.astype(float)[:, None], new_weight[:, None] / discount, discount
+    low, high = np.full_like(c, -700.0), np.full_like(c, -1e-12)
+    for _ in range(60):  # saddle: c = a * x * (1 - x) ** (d - 1), by the logarithm of s = 1 - x
+        middle = (low + high) / 2
+        under = np.log(u * d) + np.log(-np.expm1(middle)) + (d - 1) * middle > np.log(c)
+        low, high = np.where(under, middle, low), np.where(under, high, middle)
+    s = np.exp(high)
+    mean = u * -np.expm1(d * high)
+    deviation = np.sqrt(np.maximum(0, mean - c * s / (s + (1 - d) * (1 - s))))
+    first, last = np.maximum(1, np.floor(mean - 8 * deviation - 8)), np.minimum(c, np.ceil(mean + 8 * deviation + 16))
+    first = np.minimum(first, last)
+    stride = 2 * np.ceil(np.maximum(0, (last - first + 1) / points - 1) / 2) + 1
+    step = (np.arange(nodes) + 0.5) / nodes
+    circle = s >= 0.5
+    s = np.where(circle, s, np.minimum(0.6, np.maximum(s, 4 / c)))
+    spread = np.maximum(1e-9, c + c * (1 - d) * (1 - s) / s - c * c / np.maximum(mean, 1e-300))
+    angle = np.minimum(np.pi, np.sqrt(60 / spread)) * step
+    theta = np.sqrt(15 / ((1 - d) * c * s)) * step
+    at = np.where(circle, 1 - (1 - s) * np.exp(1j * angle), s * (1 + 1j * theta) ** 2)
+    # Logarithms at each node, less those on the real axis, for each table and for all customers.
+    scale = np.log(-np.expm1(d * np.log(s)))
+    table = np.log(-np.expm1(d * np.log(at))) - scale
+    rest = -c * np.where(circle, 1j * angle, _log1p(-np.where(circle, 0, at)) - np.log1p(-np.where(circle, 0, s)))
+    measure = np.where(circle, 1, 2 * s * (1 + 1j * theta) / (1 - at))
+    value = np.exp(table * first + rest) * measure
+    factor = np.exp(table * stride)
+    tables = first + stride * np.arange(points)
+    density = np.empty(tables.shape)
+    for k in range(points):
+        density[:, k] = value.real.sum(axis=1)
+        value *= factor
+    with np.errstate(divide="ignore", invalid="ignore"):
+        log = np.where((tables <= last) & (density > 0), tables * (np.log(u) + scale) - log_factorial(tables) + np.log(density), -np.inf)
+    return first[:, 0], stride[:, 0], np.exp(log - log.max(axis=1, keepdims=True))
+
+
+def drawn_tables(customers: np.ndarray, new_weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables of dishes of one customer or more, each by its weight a ** t times the Stirling number."""
+    out = np.minimum(customers, 1)
+    order = np.argsort(customers, kind="stable")
+    ranked = customers[order]
+    start, exact = np.searchsorted(ranked, [2, EXACT + 1])
+    log = log_stirling(discount)
+    while start < exact:
+        c = int(ranked[start])
+        stop = min(int(np.searchsorted(ranked, c, "right")), start + max(1, _CELLS // c))
+        at = order[start:stop]
+        weight = np.log(new_weight[at])[:, None] * np.arange(1, c + 1) + log[c, 1 : c + 1]
+        sums = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+        out[at] = 1 + (sums < (rng.random(len(at)) * sums[:, -1])[:, None]).sum(axis=1)
+        start = stop
+    for start in range(exact, len(ranked), 512):
+        at = order[start : start + 512]
+        first, stride, weight = table_weights(customers[at], new_weight[at], discount)
+        sums = np.cumsum(weight, axis=1)
+        k = (sums < (rng.random(len(at)) * sums[:, -1])[:, None]).sum(axis=1)
+        inside = np.floor(rng.random(len(at)) * stride) - (stride - 1) / 2
+        out[at] = np.clip(first + k * stride + inside, 1, customers[at])
+    return out
+
+
 class Seating:
     """Tables of many dishes, each with its customers in one restaurant; starts with one table each."""
 
     def __init__(self, customers: np.ndarray):
         self.customers = customers
         self.tables = np.minimum(customers, 1)
-        self.groups = {}
-        for c in range(2, SINGLE_MOVES + 1):
-            if len(at := np.flatnonzero(customers == c)):
-                self.groups[c] = (at, np.zeros((len(at), c), np.int8))
-        self.large = np.flatnonzero(customers > SINGLE_MOVES)
 
     def sweep(self, new_weight: np.ndarray, discount: float, rng: np.random.Generator) -> None:
         """Reseat all customers. new_weight: of a new table for each dish, (strength + discount * tables) * parent.
 
-        With few customers each one in turn leaves and chooses a table anew, an occupied one by its size less the
-        discount. Dishes with many get their number of tables in one draw: the first customer opens one, later
-        ones with small, nearly independent chances.
+        All customers of a dish leave at once, and their number of tables is drawn from its Pitman-Yor distribution
+        given the weight, whatever it was before.
         """
-        for c, (at, seat) in self.groups.items():
-            rows = np.arange(len(at))
-            for j in range(c):
-                seat[:, j] = -1
-                sizes = np.zeros((len(at), c), np.int16)
-                for k in range(c):
-                    if k != j:
-                        sizes[rows, seat[:, k]] += 1
-                # The empty table with the smallest number stands for the new one.
-                empty = (sizes == 0).argmax(axis=1)
-                weight = np.where(sizes > 0, sizes - discount, 0.0)
-                weight[rows, empty] = new_weight[at]
-                sums = np.cumsum(weight, axis=1)
-                seat[:, j] = (sums < (rng.random(len(at)) * sums[:, -1])[:, None]).sum(axis=1)
-            taken = np.zeros((len(at), c), bool)
-            taken[rows[:, None], seat] = True
-            self.tables[at] = taken.sum(axis=1)
-        if len(self.large):
-            c, a = self.customers[self.large].astype(float), new_weight[self.large]
-            self.tables[self.large] = np.minimum(c, 1 + rng.poisson(a * np.log((c + a) / (1 + a))))
+        self.tables = drawn_tables(self.customers, new_weight, discount, rng)
 
 
 def discount_of(ones: int, twos: int) -> float:

@@ -82,6 +82,27 @@ def test_seating_follows_its_exact_distribution():
     assert np.allclose(np.bincount(seating.tables, minlength=4)[1:] / n, weight / weight.sum(), atol=0.015)
 
 
+@pytest.mark.parametrize("c", [2, 13, 50, 300, 800, 3000])
+@pytest.mark.parametrize(("d", "a"), [(0.9, 1), (0.9, 20), (0.75, 5), (0.3, 40), (0.5, 1000)])
+def test_many_customers_follow_their_exact_distribution(c, d, a):
+    n = 4000
+    log = np.arange(1, c + 1) * math.log(a) + py.log_stirling(d, c)[c, 1:]
+    p = np.exp(log - log.max()) / np.exp(log - log.max()).sum()
+    mean = (p * np.arange(1, c + 1)).sum()
+    deviation = math.sqrt((p * (np.arange(1, c + 1) - mean) ** 2).sum())
+    seating = py.Seating(np.full(n, c))
+    seating.sweep(np.full(n, float(a)), d, np.random.default_rng(7))
+    assert seating.tables.mean() == pytest.approx(mean, abs=5 * deviation / math.sqrt(n) + 1e-6)
+    got = np.bincount(seating.tables, minlength=c + 1)[1:] / n
+    assert np.abs(np.cumsum(got) - np.cumsum(p)).max() < 0.04
+
+
+def test_the_weights_of_stirling_numbers_are_right():
+    d, a = 0.4, 0.7
+    weight = np.array([a * (1 - d) * (2 - d), 3 * a * a * (1 - d), a**3])
+    assert np.allclose(np.exp(py.log_stirling(d)[3, 1:4]) * a ** np.arange(1, 4), weight)
+
+
 def test_tables_stay_within_bounds():
     customers = np.array([0, 1, 2, 7, 12, 13, 500, 100_000])
     seating, rng = py.Seating(customers), np.random.default_rng(2)
