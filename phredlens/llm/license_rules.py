@@ -9,7 +9,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 #: Any keyword contains one of these.
-ROOTS = ("licen", "spdx", "creativecommons", "creative commons", "public domain", "permission", "redistribut", "cc by", "cc-by", "cc0", "copyleft", "gnu.org", "warrant", "wtfpl", "rights reserved", "unlicense", "gpl")
+ROOTS = ("licen", "spdx", "creativecommons", "creative commons", "public domain", "permission", "redistribut", "cc by", "cc-by", "cc0", "copyleft", "gnu.org", "warrant", "wtfpl", "rights reserved", "unlicense", "gpl", "affero.org", "aws/mit-0", "x.org/downloads", "mozilla.org", "eclipse.org/legal", "glassfish", "eupl", "libpng.org", "python.org", "ruby-lang", "sil.org/ofl", "w3.org/consortium", "mariadb.com/bsl")
 
 
 class Rule(NamedTuple):
@@ -34,13 +34,13 @@ gpl-2.0 | gpl-2\.0(?:-only|-or-later|\+)? | general public licen | (?:gnu )?gene
 gpl-1.0 | gpl-1\.0(?:-only|-or-later|\+)? | general public licen | (?:gnu )?general public licen[sc]e,?\s+(?:version|v\.?)\s*1(?:\.0)? | gnu.org/licen | gnu\.org/licenses/(?:old-licenses/)?gpl-1\.0
 gfdl-1.3 | gfdl-1\.3(?:-only|-or-later)? | free documentation licen | free documentation licen[sc]e,?\s+(?:version|v\.?)\s*1\.3 | gnu.org/licen | gnu\.org/licenses/fdl-1\.3
 gfdl-1.2 | gfdl-1\.2(?:-only|-or-later)? | free documentation licen | free documentation licen[sc]e,?\s+(?:version|v\.?)\s*1\.2 | gnu.org/licen | gnu\.org/licenses/(?:old-licenses/)?fdl-1\.2
-mit-0 | mit-0 | licen | mit no attribution licen[sc]e | mit-0 | github\.com/aws/mit-0
+mit-0 | mit-0 | licen | mit no attribution licen[sc]e | aws/mit-0 | github\.com/aws/mit-0
 mit | mit | mit licen | (?:the )?mit licen[sc]e(?: \(mit\))? | opensource.org/licen | opensource\.org/licenses/mit
-x11 | x11 | x11 licen | (?:mit/)?x11 licen[sc]e | x.org | x\.org/downloads_terms
+x11 | x11 | x11 licen | (?:mit/)?x11 licen[sc]e | x.org/downloads | x\.org/downloads_terms
 bsd-2-clause | bsd-2-clause | bsd | (?:2|two)[- ]clause (?:simplified )?bsd licen[sc]e | opensource.org/licen | opensource\.org/licenses/bsd-2-clause
 bsd-3-clause | bsd-3-clause | bsd | (?:3|three)[- ]clause (?:new |modified |revised )?bsd licen[sc]e | opensource.org/licen | opensource\.org/licenses/bsd-3-clause
-bsd-4-clause | bsd-4-clause | bsd | (?:4|four)[- ]clause (?:original )?bsd licen[sc]e | directory.fsf.org | directory\.fsf\.org/wiki/license:bsd-4clause
-0bsd | 0bsd | bsd | (?:zero|0)[- ]clause bsd licen[sc]e | landley.net | landley\.net/toybox/license
+bsd-4-clause | bsd-4-clause | bsd | (?:4|four)[- ]clause (?:original )?bsd licen[sc]e | directory.fsf.org/wiki/licen | directory\.fsf\.org/wiki/license:bsd-4clause
+0bsd | 0bsd | bsd | (?:zero|0)[- ]clause bsd licen[sc]e | landley.net/toybox/licen | landley\.net/toybox/license
 isc | isc | isc licen | isc licen[sc]e | isc.org/licen | isc\.org/licenses
 mpl-2.0 | mpl-2\.0 | mozilla public licen | mozilla public licen[sc]e,?\s+(?:version|v\.?)\s*2(?:\.0)? | mozilla.org | mozilla\.org/(?:en-us/)?mpl/2\.0
 mpl-1.1 | mpl-1\.1 | mozilla public licen | mozilla public licen[sc]e,?\s+(?:version|v\.?)\s*1\.1 | mozilla.org | mozilla\.org/(?:en-us/)?mpl/(?:mpl-)?1\.1
@@ -53,13 +53,13 @@ eupl-1.2 | eupl-1\.2 | european union public licen | european union public licen
 eupl-1.1 | eupl-1\.1 | european union public licen | european union public licen[sc]e,?\s+(?:version|v\.?)\s*1\.1 | eupl | ec\.europa\.eu/idabc/eupl
 artistic-2.0 | artistic-2\.0 | artistic licen | artistic licen[sc]e,?\s+(?:version|v\.?)?\s*2(?:\.0)? | opensource.org/licen | opensource\.org/licenses/artistic-2\.0
 artistic-1.0 | artistic-1\.0(?:-perl|-cl8)? | artistic licen | artistic licen[sc]e,?\s+(?:version|v\.?)?\s*1(?:\.0)? | opensource.org/licen | opensource\.org/licenses/artistic-1\.0
-bsl-1.0 | bsl-1\.0 | boost software licen | boost software licen[sc]e(?:,?\s+(?:-\s*)?(?:version|v\.?)\s*1(?:\.0)?)? | boost.org | boost\.org/license_1_0\.txt
-zlib | zlib | zlib | zlib(?:/libpng)? licen[sc]e | zlib | zlib\.net/zlib_license
-libpng | libpng(?:-2\.0)? | libpng licen | libpng licen[sc]e(?: version 2)? | libpng | libpng\.org/[a-z/]*libpng-license
-openssl | openssl | openssl licen | openssl licen[sc]e | openssl.org | openssl\.org/source/license
-postgresql | postgresql | postgresql licen | postgresql licen[sc]e | postgresql | postgresql\.org/about/licen[sc]e
+bsl-1.0 | bsl-1\.0 | boost software licen | boost software licen[sc]e(?:,?\s+(?:-\s*)?(?:version|v\.?)\s*1(?:\.0)?)? | boost.org/licen | boost\.org/license_1_0\.txt
+zlib | zlib | zlib | zlib(?:/libpng)? licen[sc]e | zlib.net/zlib_licen | zlib\.net/zlib_license
+libpng | libpng(?:-2\.0)? | libpng licen | libpng licen[sc]e(?: version 2)? | libpng.org | libpng\.org/[a-z/]*libpng-license
+openssl | openssl | openssl licen | openssl licen[sc]e | openssl.org/source/licen | openssl\.org/source/license
+postgresql | postgresql | postgresql licen | postgresql licen[sc]e | postgresql.org/about/licen | postgresql\.org/about/licen[sc]e
 python-2.0 | (?:python|psf)-2\.0 | python software foundation licen | python software foundation licen[sc]e(?:,?\s+version\s*2)? | python.org | python\.org/[a-z0-9./-]*license
-php-3.01 | php-3\.0?1 | php licen | php licen[sc]e(?:,?\s+version\s*3\.01)? | php.net | php\.net/license/3_01
+php-3.01 | php-3\.0?1 | php licen | php licen[sc]e(?:,?\s+version\s*3\.01)? | php.net/licen | php\.net/license/3_01
 ruby | ruby | ruby licen | ruby licen[sc]e | ruby-lang | ruby-lang\.org/[a-z/]*license
 ofl-1.1 | ofl-1\.1(?:-rfn|-no-rfn)? | open font licen | (?:sil )?open font licen[sc]e(?:,?\s+(?:version|v\.?)\s*1\.1)? | sil.org/ofl | scripts\.sil\.org/ofl
 ms-pl | ms-pl | microsoft public licen | microsoft public licen[sc]e(?: \(ms-pl\))? | opensource.org/licen | opensource\.org/licenses/ms-pl
@@ -67,15 +67,15 @@ ms-rl | ms-rl | microsoft reciprocal licen | microsoft reciprocal licen[sc]e(?:
 afl-3.0 | afl-3\.0 | academic free licen | academic free licen[sc]e(?:,?\s+(?:version|v\.?)\s*3(?:\.0)?)? | opensource.org/licen | opensource\.org/licenses/afl-3\.0
 osl-3.0 | osl-3\.0 | open software licen | open software licen[sc]e(?:,?\s+(?:version|v\.?)\s*3(?:\.0)?)? | opensource.org/licen | opensource\.org/licenses/osl-3\.0
 ncsa | ncsa | ncsa | (?:university of illinois/)?ncsa (?:open source )?licen[sc]e | opensource.org/licen | opensource\.org/licenses/ncsa
-odbl-1.0 | odbl-1\.0 | open database licen | open database licen[sc]e(?: \(odbl\))?(?:,?\s+(?:version|v\.?)\s*1(?:\.0)?)? | opendatacommons | opendatacommons\.org/licenses/odbl
-odc-by-1.0 | odc-by-1\.0 | open data commons attribution licen | open data commons attribution licen[sc]e(?:,?\s+(?:version|v\.?)\s*1(?:\.0)?)? | opendatacommons | opendatacommons\.org/licenses/by
-pddl-1.0 | pddl-1\.0 | public domain dedication and licen | public domain dedication and licen[sc]e(?: \(pddl\))? | opendatacommons | opendatacommons\.org/licenses/pddl
-w3c | w3c | w3c | w3c (?:software )?(?:notice and )?licen[sc]e | w3.org | w3\.org/consortium/legal/[a-z0-9/-]*license
+odbl-1.0 | odbl-1\.0 | open database licen | open database licen[sc]e(?: \(odbl\))?(?:,?\s+(?:version|v\.?)\s*1(?:\.0)?)? | opendatacommons.org/licen | opendatacommons\.org/licenses/odbl
+odc-by-1.0 | odc-by-1\.0 | open data commons attribution licen | open data commons attribution licen[sc]e(?:,?\s+(?:version|v\.?)\s*1(?:\.0)?)? | opendatacommons.org/licen | opendatacommons\.org/licenses/by
+pddl-1.0 | pddl-1\.0 | public domain dedication and licen | public domain dedication and licen[sc]e(?: \(pddl\))? | opendatacommons.org/licen | opendatacommons\.org/licenses/pddl
+w3c | w3c | w3c | w3c (?:software )?(?:notice and )?licen[sc]e | w3.org/consortium | w3\.org/consortium/legal/[a-z0-9/-]*license
 wtfpl | wtfpl | wtfpl | wtfpl(?: licen[sc]e)?(?:,?\s+version\s*2)? | wtfpl | wtfpl\.net
 unlicense | unlicense | unlicense | (?:the )?unlicense | unlicense | unlicense\.org
-sspl-1.0 | sspl-1\.0 | server side public licen | server side public licen[sc]e(?: \(sspl\))?(?:,?\s+(?:version|v\.?)\s*1)? | mongodb | mongodb\.com/licensing/server-side-public-license
-busl-1.1 | busl-1\.1 | business source licen | business source licen[sc]e(?:,?\s+(?:version|v\.?)\s*1\.1)? | mariadb | mariadb\.com/bsl11
-elastic-2.0 | elastic-2\.0 | elastic licen | elastic licen[sc]e(?:,?\s+(?:version|v\.?)?\s*2(?:\.0)?)? | elastic.co | elastic\.co/licensing/elastic-license
+sspl-1.0 | sspl-1\.0 | server side public licen | server side public licen[sc]e(?: \(sspl\))?(?:,?\s+(?:version|v\.?)\s*1)? | mongodb.com/licen | mongodb\.com/licensing/server-side-public-license
+busl-1.1 | busl-1\.1 | business source licen | business source licen[sc]e(?:,?\s+(?:version|v\.?)\s*1\.1)? | mariadb.com/bsl | mariadb\.com/bsl11
+elastic-2.0 | elastic-2\.0 | elastic licen | elastic licen[sc]e(?:,?\s+(?:version|v\.?)?\s*2(?:\.0)?)? | elastic.co/licen | elastic\.co/licensing/elastic-license
 cc0-1.0 | cc0-1\.0 | cc0 | cc0(?:[- ]1\.0)?(?: universal)? | creativecommons | creativecommons\.org/publicdomain/zero/1\.0
 cc-by-nc-nd | cc-by-nc-nd-[1-4]\.[05] | cc | cc[- ]by-nc-nd(?:[- ][1-4]\.[05])? | creativecommons | creativecommons\.org/licenses/by-nc-nd/[1-4]\.[05]
 cc-by-nc-sa | cc-by-nc-sa-[1-4]\.[05] | cc | cc[- ]by-nc-sa(?:[- ][1-4]\.[05])? | creativecommons | creativecommons\.org/licenses/by-nc-sa/[1-4]\.[05]
@@ -153,7 +153,6 @@ def rules() -> list[Rule]:
         for root, name in [(root, name)] if not label.startswith("cc-") else [("cc by", name.replace("[- ]by", " by")), ("cc-by", name.replace("[- ]by", "-by"))]:
             grants.append(Rule(label, 0.95, root, rf"{_GRANT}{name}"))
             names.append(Rule(label, 0.75, root, rf"(?<![a-z0-9]){name}(?![a-z0-9])"))
-        if any(r in place_keyword for r in ROOTS):
-            places.append(Rule(label, 0.9, place_keyword, place))
+        places.append(Rule(label, 0.9, place_keyword, place))
     texts = [Rule(a, float(b), c, d) for a, b, c, d in ([x.strip() for x in line.split(" | ")] for line in _TEXTS.strip().splitlines())]
     return [*ids, *grants, *places, *texts[:14], *names, *texts[14:]]

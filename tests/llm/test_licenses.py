@@ -55,3 +55,30 @@ def test_rules_are_many_and_gated(spark):
 def test_plan_has_no_python_and_no_shuffle(spark, sf_dir):
     plan = lic.license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+ADDRESSES = """apache-2.0 apache.org/licenses/LICENSE-2.0; apache-1.1 apache.org/licenses/LICENSE-1.1; agpl-3.0 gnu.org/licenses/agpl-3.0; agpl-1.0 affero.org/oagpl.html
+lgpl-3.0 gnu.org/licenses/lgpl-3.0; gpl-2.0 gnu.org/licenses/old-licenses/gpl-2.0; mit-0 github.com/aws/mit-0; mit opensource.org/licenses/MIT; x11 x.org/Downloads_terms
+bsd-4-clause directory.fsf.org/wiki/License:BSD-4Clause; 0bsd landley.net/toybox/license; isc isc.org/licenses; mpl-2.0 mozilla.org/MPL/2.0/; mpl-1.1 mozilla.org/MPL/MPL-1.1
+epl-2.0 eclipse.org/legal/epl-2.0; epl-1.0 eclipse.org/legal/epl-v10; cddl-1.1 glassfish.java.net/public/CDDL; eupl-1.2 joinup.ec.europa.eu/collection/eupl; eupl-1.1 ec.europa.eu/idabc/eupl
+bsl-1.0 boost.org/LICENSE_1_0.txt; zlib zlib.net/zlib_license; libpng libpng.org/pub/png/src/libpng-LICENSE; openssl openssl.org/source/license; postgresql postgresql.org/about/licence
+python-2.0 python.org/3/license; php-3.01 php.net/license/3_01; ruby ruby-lang.org/en/about/license; ofl-1.1 scripts.sil.org/OFL; odbl-1.0 opendatacommons.org/licenses/odbl
+odc-by-1.0 opendatacommons.org/licenses/by; pddl-1.0 opendatacommons.org/licenses/pddl; w3c w3.org/Consortium/Legal/2015/copyright-software-and-document-license
+wtfpl wtfpl.net; unlicense unlicense.org; sspl-1.0 mongodb.com/licensing/server-side-public-license; busl-1.1 mariadb.com/bsl11; elastic-2.0 elastic.co/licensing/elastic-license
+cc0-1.0 creativecommons.org/publicdomain/zero/1.0; cc-by-sa creativecommons.org/licenses/by-sa/4.0"""
+
+
+def test_each_address_gives_its_label(spark):
+    written = [a.split() for a in re.split("[;\\n]", ADDRESSES)]
+    docs = spark.createDataFrame([(i, f"see https://{address}") for i, (_, address) in enumerate(written)], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in lic.license_scan(docs).collect()}
+    assert {i: label for i, (label, _) in enumerate(written) if label not in got[i][0].split(",") or got[i][1] < 0.75} == {}
+
+
+def test_no_rule_is_left_out():
+    from phredlens.llm import license_rules
+
+    known = rules()
+    for line in license_rules._LICENSES.strip().splitlines():
+        label, *_, keyword, address = [x.strip() for x in line.split(" | ")]
+        assert any((r.label, r.keyword, r.regex) == (label, keyword, address) for r in known)
