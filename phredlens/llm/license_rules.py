@@ -17,6 +17,8 @@ class Rule(NamedTuple):
     confidence: float
     keyword: str
     regex: str
+    #: Its match goes where it overlaps one of another rule.
+    loose: bool = False
 
 
 #: label | SPDX identifier regex | keyword and regex of the name | keyword and regex of the address (empty: none)
@@ -85,6 +87,9 @@ cc-by-sa | cc-by-sa-[1-4]\.[05] | cc | cc[- ]by-sa(?:[- ][1-4]\.[05])? | creativ
 cc-by | cc-by-[1-4]\.[05] | cc | cc[- ]by(?:[- ][1-4]\.[05])? | creativecommons | creativecommons\.org/licenses/by/[1-4]\.[05]
 """
 
+#: Labels and keywords of rules that take in any words.
+_LOOSE = {("unknown-license", "licen"), ("unknown-license", "license agreement"), ("proprietary", "all rights reserved")}
+
 #: label | confidence | keyword | regex; sentences of license texts and looser mentions, the surest first
 _TEXTS = r"""
 mit | 0.95 | permission is hereby granted, free of charge | permission is hereby granted, free of charge, to any person obtaining a copy\s+of this software
@@ -118,7 +123,7 @@ cc-by-nd | 0.85 | creative commons attribution | creative commons attribution-no
 cc-by | 0.85 | creative commons attribution | creative commons attribution(?: [1-4]\.[05])?(?: international| unported| generic)?(?: licen[sc]e)?
 creative-commons | 0.6 | creative commons licen | creative commons licen[sc]e
 copyleft | 0.5 | copyleft | copyleft
-proprietary | 0.6 | all rights reserved | (?:copyright|©|\(c\))[^\n]{0,80}all rights reserved
+proprietary | 0.6 | all rights reserved | (?:copyright|©|\(c\))[^\n]{0,80}?all rights reserved
 proprietary | 0.7 | licen | (?:proprietary|commercial|end[- ]user|evaluation) licen[sc]e(?: agreement)?
 no-warranty | 0.4 | warrant | without warrant(?:y|ies)(?: or conditions)? of any kind,? (?:either )?express(?:ed)? or implied
 dual-license | 0.5 | licen | (?:dual|double|multi)[- ]licen[sc]ed
@@ -131,7 +136,7 @@ mpl | 0.65 | mozilla public licen | mozilla public licen[sc]e
 epl | 0.65 | eclipse public licen | eclipse public licen[sc]e
 bsd | 0.65 | bsd licen | bsd licen[sc]e
 artistic | 0.65 | artistic licen | artistic licen[sc]e
-unknown-license | 0.3 | licen | (?:licensed|licenced|released|distributed|published) under (?:the )?(?:terms of )?[^\n.,;]{1,60}licen[sc]e
+unknown-license | 0.3 | licen | (?:licensed|licenced|released|distributed|published) under (?:the )?(?:terms of )?[^\n.,;]{1,60}?licen[sc]e
 unknown-license | 0.2 | license agreement | license agreement
 """
 
@@ -154,5 +159,5 @@ def rules() -> list[Rule]:
             grants.append(Rule(label, 0.95, root, rf"{_GRANT}{name}"))
             names.append(Rule(label, 0.75, root, rf"(?<![a-z0-9]){name}(?![a-z0-9])"))
         places.append(Rule(label, 0.9, place_keyword, place))
-    texts = [Rule(a, float(b), c, d) for a, b, c, d in ([x.strip() for x in line.split(" | ")] for line in _TEXTS.strip().splitlines())]
+    texts = [Rule(a, float(b), c, d, (a, c) in _LOOSE) for a, b, c, d in ([x.strip() for x in line.split(" | ")] for line in _TEXTS.strip().splitlines())]
     return [*ids, *grants, *places, *texts[:14], *names, *texts[14:]]

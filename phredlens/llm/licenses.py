@@ -55,6 +55,13 @@ def rule_matches(text: Column, rule: Column) -> Column:
     return bound(pair, placed)
 
 
+def specific(matches: Column, loose: list[int]) -> Column:
+    """Matches without those of loose rules that overlap a match of another rule, so no name is swallowed by them."""
+    is_loose = lambda m: m["priority"].isin(loose)
+    hidden = lambda all_, m: F.exists(all_, lambda o: ~is_loose(o) & (o["start"] < m["stop"]) & (m["start"] < o["stop"]))
+    return bound(matches, lambda all_: F.filter(all_, lambda m: ~is_loose(m) | ~hidden(all_, m)))
+
+
 def resolved(matches: Column) -> Column:
     """Matches left after suppression, from left to right, the longer first where several start.
 
@@ -78,12 +85,13 @@ def resolved(matches: Column) -> Column:
 def license_scan(docs: DataFrame, signature_rules: list[Rule] | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    spans are the rule matches left (start and stop in code points, rule number as priority, label, confidence).
+    A match of a loose rule goes where it overlaps one of another rule. spans are the rule matches left (start and stop in code points, rule number as priority, label, confidence).
     score is the largest confidence of a span, or ``BASE_CONFIDENCE`` where a base phrase stands, or 0. One narrow
     projection: no shuffle, no Python. A null text counts as empty: no words, null places, empty labels, score 0.
     Rows are independent: repeated rows repeat, an empty table gives none, other columns are ignored.
     """
     known = rules() if signature_rules is None else signature_rules
+    loose = [k for k, r in enumerate(known) if r.loose]
     table = F.array(*[F.struct(F.lit(k).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex")) for k, r in enumerate(known)])
     low = docs.select(F.col("doc_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("low"))
     norm = F.trim(F.regexp_replace("low", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
@@ -103,7 +111,7 @@ def license_scan(docs: DataFrame, signature_rules: list[Rule] | None = None) ->
         "doc_id",
         F.when(F.col("norm") == "", 0).otherwise(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"),
         F.coalesce(F.when(some, places), F.array().cast("array<struct<at:int,label:string>>")).alias("base"),
-        F.when(F.size("found") > 0, resolved(F.col("found"))).otherwise(F.array().cast(_MATCH)).alias("spans"),
+        F.when(F.size("found") > 0, resolved(specific(F.col("found"), loose))).otherwise(F.array().cast(_MATCH)).alias("spans"),
     )
     joined = lambda *arrays: F.array_join(F.array_sort(F.array_distinct(F.concat(*arrays))), ",")
     base_score = F.when(F.size("base") > 0, BASE_CONFIDENCE).otherwise(0.0)

@@ -82,3 +82,17 @@ def test_no_rule_is_left_out():
     for line in license_rules._LICENSES.strip().splitlines():
         label, *_, keyword, address = [x.strip() for x in line.split(" | ")]
         assert any((r.label, r.keyword, r.regex) == (label, keyword, address) for r in known)
+
+
+def test_loose_rules_swallow_no_name(spark):
+    want = {
+        "Licensed under the ISC license or the zlib license": ({"isc", "zlib"}, 0.95),
+        "Released under the X11 license and the OpenSSL license": ({"x11", "openssl"}, 0.95),
+        "(c) 2020 Acme. Licensed under the ISC license. All rights reserved": ({"isc"}, 0.95),
+        "Released under the Acme license": ({"unknown-license"}, 0.3),
+        "Released under the Acme license and the MIT license": ({"mit", "unknown-license"}, 0.75),
+        "Copyright 2020 Acme. All rights reserved": ({"proprietary"}, 0.6),
+    }
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: (set(r.labels.split(",")), r.score) for r in lic.license_scan(docs).collect()}
+    assert got == dict(enumerate(want.values()))
