@@ -12,6 +12,7 @@ import re
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,15 +50,18 @@ def line_units(text: str | None, min_words: int = MIN_WORDS, line_words: int | N
 
 
 def units(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int | None = None) -> DataFrame:
-    schema = "doc_id long, line long, level string, start long, stop long, n_words long, digest binary"
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    names = ["doc_id", "line", "level", "start", "stop", "n_words", "digest"]
+    """The units of each row of ``docs`` with its doc_id, and row, a number of its own for each row of ``docs``."""
+    schema = "row long, doc_id long, line long, level string, start long, stop long, n_words long, digest binary"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["row", "doc_id", "line", "level", "start", "stop", "n_words", "digest"]
 
     def run(batches):
+        number = TaskContext.get().partitionId() << 40
         for b in batches:
             rows: list[tuple] = []
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                rows += [(i, *u) for u in line_units(text.as_py(), min_words, line_words)]
+                rows += [(number, i, *u) for u in line_units(text.as_py(), min_words, line_words)]
+                number += 1
                 if len(rows) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
                     rows = []
@@ -79,8 +83,8 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int
     groups = stage(rows.groupBy("digest").agg(F.min(rank).alias("keep"), F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1"))
     joined = attach_groups(rows, groups, "digest", "n_copies", rows.count())
     moved = ~(F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("start") == F.col("keep.start")))
-    # Whole lines stand above their sentences; a line's rows are few.
-    whole = F.max(F.col("level") == "line").over(Window.partitionBy("doc_id", "line"))
+    # Whole lines stand above their sentences; a line's rows are few, as each row of docs counts for itself.
+    whole = F.max(F.col("level") == "line").over(Window.partitionBy("row", "line"))
     top = joined.where(moved).withColumn("whole", whole).where((F.col("level") == "line") | ~F.col("whole"))
     return top.select("doc_id", "line", "level", "start", "stop", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), "n_copies")
 

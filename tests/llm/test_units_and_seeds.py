@@ -69,6 +69,15 @@ def test_short_lines_are_found_when_asked_for(spark):
     assert left == {i: t if i == 0 else f"unlike {i}\n\n" for i, t in rows}
 
 
+def test_lines_of_other_rows_hide_no_sentence(spark):
+    words = lambda k: " ".join(f"w{k}x{n}" for n in range(9)) + "."
+    line, sentence = words(0), words(1)
+    for i in (None, 7):
+        rows = [(1, line), (2, f"{sentence} {words(2)}"), (i, line), (i, f"{sentence} {words(3)}")]
+        got = sub.repeated_units(frame(spark, rows)).collect()
+        assert sorted((r.level, r.start, r.stop, r.keep_doc_id) for r in got if r.doc_id == i) == [("line", 0, len(line), 1), ("sentence", 0, len(sentence), 2)]
+
+
 def test_passages_inside_lines_are_found(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
