@@ -19,6 +19,8 @@ from phredlens.llm.tables import release_memory, slices_of, stage, text_rows, wi
 
 #: Masks of five selected tokens each; together they survive one substitution in about every fifth token.
 MASKS = ("11111", "1101011", "1011101", "110010011", "1010110001", "11001000101")
+#: Items of under five tokens have one seed each, the whole item.
+SHORT = ("1", "11", "111", "1111")
 #: An overlap has this many matching tokens at least (an item with fewer tokens must match whole) ...
 MIN_MATCHES = 10
 #: ... and this share of its tokens matches.
@@ -67,13 +69,13 @@ class Seeds:
     def __init__(self, items: list[tuple[int, str]], masks=MASKS):
         self.ids = [i for i, _ in items]
         self.hashes = [token_hashes(tokens(t)) for _, t in items]
-        self.masks = masks
+        self.masks = (*masks, *SHORT)
         total = sum(map(len, self.hashes)) or 1
         self.bits = max(16, min(26, int(total * len(masks) * 8).bit_length()))
         self.filter = np.zeros(1 << self.bits, bool)
         self.tables = []
-        for mask in masks:
-            rows = [(h, k, p) for k, x in enumerate(self.hashes) for p, h in enumerate(seed_hashes(x, mask).tolist())]
+        for mask in self.masks:
+            rows = [(h, k, p) for k, x in enumerate(self.hashes) if mask not in SHORT or len(x) == len(mask) for p, h in enumerate(seed_hashes(x, mask).tolist())]
             rows.sort()
             key = np.array([r[0] for r in rows], np.uint64)
             self.tables.append((key, np.array([r[1:] for r in rows], np.int64).reshape(-1, 2)))
@@ -135,8 +137,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_matches: int = MIN_MATCH
 
     first_word and n_words are the best overlap in tokens of the document (most matches, then the earliest). Each
     block of test items is a broadcast of bounded size and a pass over the texts without a shuffle; more items mean
-    more passes. Null and empty texts or items overlap nothing; items of under five tokens have no seed and are left
-    out; repeated documents or items repeat in the result; an empty table on either side gives no rows; other columns
+    more passes. Null and empty texts or items overlap nothing; items of under five tokens must stand whole, token
+    by token; repeated documents or items repeat in the result; an empty table on either side gives no rows; other columns
     are ignored.
     """
     spark = docs.sparkSession
@@ -160,6 +162,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_matches: int = MIN_MATCH
                     doc = np.searchsorted(first, hits[:, 2], "right") - 1
                     best: dict[tuple[int, int], tuple] = {}
                     for d, item, diagonal in sorted(set(zip(doc.tolist(), hits[:, 0].tolist(), hits[:, 1].tolist(), strict=True))):
+                        if (d, item) in best and len(seeds.hashes[item]) <= len(SHORT):
+                            continue  # whole matches are all alike, and the first stands
                         if got := best_overlap(each[d], seeds.hashes[item], diagonal - int(first[d]), min_matches, min_identity):
                             key, score = (d, item), (got[2], -got[0])
                             if key not in best or score > best[key][0]:

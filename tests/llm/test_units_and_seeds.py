@@ -162,3 +162,10 @@ def test_decontamination_edge_cases(spark):
     assert dec.overlaps(docs.limit(0), bench).count() == 0
     assert dec.overlaps(docs, bench.limit(0)).count() == 0
     assert dec.drop_contaminated(docs, bench.limit(0)).count() == 6
+
+
+def test_items_of_few_tokens_are_found_whole(spark):
+    bench = spark.createDataFrame([(1, "Forty-two!"), (2, "xylem"), (3, "a b c d"), (4, "a b"), (5, "...")], "item_id long, text string")
+    docs = frame(spark, [(1, "it is forty two, yes forty two"), (2, "a b c, a b c d"), (3, "forty xylems two a c b"), (4, "Xylem")])
+    got = {(r.doc_id, r.item_id, r.first_word, r.n_words, r.n_matches, r.identity) for r in dec.overlaps(docs, bench).collect()}
+    assert got == {(1, 1, 2, 2, 2, 1.0), (2, 3, 3, 4, 4, 1.0), (2, 4, 0, 2, 2, 1.0), (4, 2, 0, 1, 1, 1.0)}
