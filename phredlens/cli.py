@@ -56,6 +56,8 @@ def parser() -> argparse.ArgumentParser:
         x.add_argument("--preset", default="sr")
     for x in (a, m, e, b):
         x.add_argument("--threads", type=int, default=4)
+    for x in (a, e):
+        x.add_argument("--csv-parts", action="store_true", help="write mismatches as folders of ordered files, by the executors")
     a.add_argument("--extract-window-mb", type=float, default=5, help="accepted; the engine plans its own splits")
     e.add_argument("--window-mb", type=float, default=5, help="accepted; the engine plans its own splits")
     return p
@@ -64,7 +66,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     o = parser().parse_args(argv)
     if o.command == "map":
-        print(external.map_pairs(o.reads1, o.reads2, o.reference, o.out, o.technology, o.threads, preset=o.preset))
+        print(external.map_pairs((o.reads1, o.reads2), o.reference, o.out, external.Mapping(o.technology, o.threads, o.preset)))
         return 0
     from pyspark.sql import SparkSession
 
@@ -76,7 +78,7 @@ def main(argv: list[str] | None = None) -> int:
     if o.command == "run_all":
         report.run_all(
             spark, o.out_dir, o.reference, o.bam_a, o.bam_b, (o.reads_a1, o.reads_a2), (o.reads_b1, o.reads_b2), o.label_a, o.label_b, o.vcf, o.vcf_a, o.vcf_b, o.auto_gatk,
-            o.consensus, o.min_mapq, o.min_base_qual, o.threads, int(o.hc_chunk_mb * 1_000_000), o.gatk_java_options, o.preset,
+            o.consensus, o.min_mapq, o.min_base_qual, o.threads, int(o.hc_chunk_mb * 1_000_000), o.gatk_java_options, o.preset, o.csv_parts,
         )
         print(open(f"{o.out_dir}/comparison_summary.txt", encoding="utf-8").read(), end="")
         return 0
@@ -90,9 +92,9 @@ def main(argv: list[str] | None = None) -> int:
         print(report.compare_recalibration(before, after, o.out, ref, keys, o.min_mapq))
         return 0
     sites = var.variant_sites(keys) if keys is not None else None
-    x = report.extract(report.open_alignments(spark, o.bam, o.technology), o.technology, ref, keys, sites, o.min_mapq, o.min_base_qual)
-    contigs = text.contigs_of(ref) if ref is not None else bam.bam_contigs(spark, o.bam)
-    report.write_extraction(x, contigs, o.out_dir)
+    contigs = (text.contigs_of(ref) if ref is not None else bam.bam_contigs(spark, o.bam)).cache()
+    x = report.extract(report.open_alignments(spark, o.bam, o.technology), o.technology, ref, keys, sites, o.min_mapq, o.min_base_qual, report.total_length(contigs) if o.reference else None)
+    report.write_extraction(x, contigs, o.out_dir, o.csv_parts)
     for r in x.counts.collect():
         print(f"{r['technology']}: {r['n_mismatches']} mismatches, {r['n_errors']} errors, {r['n_variants']} variants")
     print(report.calibration_text(x.calibration, [o.technology]))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from phredlens.functions.sequence import BASES, EXCLUDED, READ1, REVERSE, flag_has, phred
 from phredlens.schemas import MISMATCH_COLS
 
-#: Bases of a reference tile; an alignment block is cut where tiles meet.
-TILE = 65_536
+#: Bases of a reference tile; an alignment block is cut where tiles meet. A tile is copied with every block that meets
+#: it, so it is small.
+TILE = 1024
 #: A reference up to this many characters is broadcast; a larger one is joined by tile.
 BROADCAST_CHARS = 64_000_000
 
@@ -28,12 +29,12 @@ def _walk(cigar: Column, start: Column) -> Column:
 
     M, = and X advance both sides; I and S the query; D and N the reference, D the MD sequence too; others nothing.
     """
-    ops = F.arrays_zip(F.regexp_extract_all(cigar, F.lit("([0-9]+)([MIDNSHPX=])"), F.lit(1)).alias("n"), F.regexp_extract_all(cigar, F.lit("([0-9]+)([MIDNSHPX=])"), F.lit(2)).alias("op"))
+    ops = F.regexp_extract_all(cigar, F.lit("[0-9]+[MIDNSHPX=]"), F.lit(0))
     none = F.array().cast("array<struct<q:int,r:int,m:int,n:int>>")
     zero = F.struct(F.lit(0).alias("q"), start.cast("int").alias("r"), F.lit(0).alias("m"), none.alias("blocks"))
 
     def step(s, x):
-        n, op = x["n"].cast("int"), x["op"]
+        n, op = F.substr(x, F.lit(1), F.length(x) - 1).cast("int"), F.right(x, F.lit(1))
         both = op.isin("M", "=", "X")
         moves = lambda *ops: F.when(both | op.isin(*ops), n).otherwise(0)
         block = F.array(F.struct(s["q"].alias("q"), s["r"].alias("r"), s["m"].alias("m"), n.alias("n")))
@@ -54,15 +55,21 @@ def with_blocks(reads: DataFrame) -> DataFrame:
 
 
 def cigar_blocks(reads: DataFrame) -> DataFrame:
-    """One row per aligned block: the read's columns, block_idx, q, r, m, n."""
-    blocks = with_blocks(reads).select(*reads.columns, F.posexplode("blocks").alias("block_idx", "b"))
-    return blocks.select(*reads.columns, "block_idx", "b.q", "b.r", "b.m", "b.n")
+    """One row per aligned block: the read's columns, block_idx, q, r, m, n. Columns of the reads that have one of these
+    names are left out."""
+    own = ("block_idx", "q", "r", "m", "n")
+    keep = [c for c in reads.columns if c not in own]
+    blocks = with_blocks(reads).select(*keep, F.posexplode("blocks").alias("__block_idx", "__b"))
+    return blocks.select(*keep, F.col("__block_idx").alias("block_idx"), *(F.col(f"__b.{c}").alias(c) for c in own[1:]))
 
 
 def reference_tiles(reference: DataFrame, tile: int = TILE) -> DataFrame:
-    """(chrom, tile_id, ref_tile): contig sequences in upper case, cut into tiles."""
-    at = F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / tile).cast("int"))).alias("tile_id")
-    tiles = reference.select("chrom", F.upper("seq").alias("seq"), at)
+    """(chrom, tile_id, ref_tile): contig sequences in upper case, cut into tiles.
+
+    Sequences and tiles are binary: a slice of bytes is found at once, while a slice of a string is walked to.
+    """
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.octet_length("seq"), F.lit(1)) - 1) / tile).cast("int"))).alias("tile_id")
+    tiles = reference.select("chrom", F.upper("seq").cast("binary").alias("seq"), at)
     return tiles.select("chrom", "tile_id", F.substr("seq", F.col("tile_id") * tile + 1, F.lit(tile)).alias("ref_tile"))
 
 
@@ -75,28 +82,29 @@ def _pieces(blocks: DataFrame, tile: int) -> DataFrame:
     return cut.withColumns({"__begin": begin, "__stop": stop}).withColumns({"q": F.col("q") + F.col("__begin") - F.col("r"), "r": F.col("__begin"), "n": F.col("__stop") - F.col("__begin")}).drop("__begin", "__stop")
 
 
-def aligned_pieces(reads: DataFrame, reference: DataFrame | None = None, tile: int = TILE, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+def aligned_pieces(reads: DataFrame, reference: DataFrame | None = None, tile: int = TILE, broadcast_chars: int = BROADCAST_CHARS, reference_chars: int | None = None) -> DataFrame:
     """Reads' aligned pieces with both sequences: the read's columns, q, r, n, ref_seq, read_seq, qual_seq.
 
     With a reference (chrom, seq), pieces meet its tiles in an equi-join, by broadcast if the whole reference has at
-    most ``broadcast_chars`` characters. Without one, the aligned reference is rebuilt from the MD string. A read
-    that runs past its contig's end, a contig that isn't there, or a missing MD string is an error.
+    most ``broadcast_chars`` characters; ``reference_chars`` says how many it has, else a job counts them. Without a
+    reference, the aligned reference is rebuilt from the MD string. A read that runs past its contig's end, a contig
+    that isn't there, or a missing MD string is an error.
     """
-    keep = [c for c in reads.columns if c not in ("seq", "qual", "md")]
+    keep = [c for c in reads.columns if c not in ("seq", "qual", "md", "q", "r", "n", "m")]
     if reference is None:
-        rebuilt = with_blocks(reads).withColumn("__ref", md_reference(F.col("seq"), F.col("blocks"), F.col("md")))
+        rebuilt = with_blocks(reads).withColumn("__ref", md_reference(F.col("seq"), F.col("blocks"), F.col("md")).cast("binary"))
         rows = rebuilt.select(*keep, "seq", "qual", "__ref", F.inline("blocks"))
-        ref, problem = F.substr("__ref", F.col("m") + 1, F.col("n")), "a read has neither a reference (FASTA) nor a usable MD tag"
+        ref, problem = F.upper(F.substr("__ref", F.col("m") + 1, F.col("n")).cast("string")).cast("binary"), "a read has neither a reference (FASTA) nor a usable MD tag"
     else:
-        size = reference.agg(F.sum(F.length("seq"))).first()[0] or 0
+        if reference_chars is None:
+            reference_chars = reference.agg(F.sum(F.octet_length("seq"))).first()[0] or 0
         tiles = reference_tiles(reference, tile)
-        tiles = F.broadcast(tiles) if size <= broadcast_chars else tiles
+        tiles = F.broadcast(tiles) if reference_chars <= broadcast_chars else tiles
         rows = _pieces(cigar_blocks(reads), tile).join(tiles, ["chrom", "tile_id"], "left")
         ref, problem = F.substr("ref_tile", F.col("r") - F.col("tile_id") * tile + 1, F.col("n")), "a read runs past the end of its contig, or the reference lacks it"
-    ref = F.upper(ref)
-    checked = F.when(F.length(ref) == F.col("n"), ref).otherwise(F.raise_error(F.lit(problem)))
-    part = lambda c: F.substr(c, F.col("q") + 1, F.col("n"))
-    return rows.select(*keep, "q", "r", "n", checked.alias("ref_seq"), F.upper(part(F.col("seq"))).alias("read_seq"), part(F.col("qual")).alias("qual_seq"))
+    checked = F.when(F.octet_length(ref) == F.col("n"), ref).otherwise(F.raise_error(F.lit(problem)).cast("binary"))
+    part = lambda c: F.substr(F.col(c).cast("binary"), F.col("q") + 1, F.col("n")).cast("string")
+    return rows.select(*keep, "q", "r", "n", checked.cast("string").alias("ref_seq"), F.upper(part("seq")).alias("read_seq"), part("qual").alias("qual_seq"))
 
 
 def md_reference(seq: Column, blocks: Column, md: Column) -> Column:
@@ -104,7 +112,7 @@ def md_reference(seq: Column, blocks: Column, md: Column) -> Column:
 
     A number copies bases of the aligned query, a letter replaces one, and ^letters are bases the query lacks.
     """
-    query = F.aggregate(blocks, F.lit(""), lambda s, b: F.concat(s, F.substr(seq, b["q"] + 1, b["n"])))
+    query = F.array_join(F.transform(blocks, lambda b: F.substr(seq.cast("binary"), b["q"] + 1, b["n"]).cast("string")), "")
     tokens = F.regexp_extract_all(md, F.lit(r"([0-9]+|\^[A-Za-z]+|[A-Za-z])"), F.lit(1))
 
     def rebuilt(q):
@@ -124,8 +132,7 @@ def md_reference(seq: Column, blocks: Column, md: Column) -> Column:
 def observed_bases(pieces: DataFrame) -> DataFrame:
     """One row per aligned base: ref_base, read_base, base_qual, ref_pos (1-based) and the piece's other columns."""
     keep = [c for c in pieces.columns if c not in ("q", "r", "n", "ref_seq", "read_seq", "qual_seq")]
-    # A split by nothing would leave an empty last string; the lookahead doesn't.
-    letters = lambda c: F.split(c, "(?!^)(?!$)")
+    letters = lambda c: F.split(c, "")
     zipped = F.arrays_zip(letters("ref_seq").alias("ref_base"), letters("read_seq").alias("read_base"), letters("qual_seq").alias("qual_char"), F.sequence(F.col("r") + 1, F.col("r") + F.col("n")).alias("ref_pos"))
     rows = pieces.select(*keep, F.inline(zipped))
     return rows.select(*keep, "ref_base", "read_base", phred("qual_char").alias("base_qual"), "ref_pos")
@@ -134,17 +141,21 @@ def observed_bases(pieces: DataFrame) -> DataFrame:
 def mismatches_of(pieces: DataFrame, min_base_qual: int = 0) -> DataFrame:
     """Mismatch rows: the bases differ, the reference base is A, C, G or T, and the quality is enough.
 
-    Pieces that equal the reference are dropped before any base is laid out; a read base N is a mismatch.
+    Pieces that equal the reference are dropped at once, and of the others only the unlike bases become rows; a read
+    base N is a mismatch.
     """
-    bases = observed_bases(pieces.where(F.col("ref_seq") != F.col("read_seq")))
-    found = bases.where((F.col("ref_base") != F.col("read_base")) & F.col("ref_base").isin(*BASES) & (F.col("base_qual") >= min_base_qual))
+    byte = lambda c, i: F.substr(F.col(c).cast("binary"), i, F.lit(1)).cast("string")
+    unlike = F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: byte("ref_seq", i) != byte("read_seq", i))
+    at = pieces.where(F.col("ref_seq") != F.col("read_seq")).withColumn("__at", F.explode(unlike))
+    found = at.withColumns({"ref_base": byte("ref_seq", F.col("__at")), "read_base": byte("read_seq", F.col("__at")), "base_qual": phred(byte("qual_seq", F.col("__at"))), "ref_pos": F.col("r") + F.col("__at")})
+    found = found.where(F.col("ref_base").isin(*BASES) & (F.col("base_qual") >= min_base_qual))
     found = found.withColumns({"mapping_qual": F.col("mapq"), "is_read1": flag_has("flag", READ1), "is_reverse": flag_has("flag", REVERSE)})
     return found.select(*MISMATCH_COLS, *(c for c in ("ord", "region_ord") if c in found.columns))
 
 
-def mismatches(reads: DataFrame, reference: DataFrame | None = None, min_mapq: int = 1, min_base_qual: int = 0, tile: int = TILE, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+def mismatches(reads: DataFrame, reference: DataFrame | None = None, min_mapq: int = 1, min_base_qual: int = 0, tile: int = TILE, broadcast_chars: int = BROADCAST_CHARS, reference_chars: int | None = None) -> DataFrame:
     """Mismatches of usable reads with a reference, or with their MD strings if there is none."""
-    return mismatches_of(aligned_pieces(usable_reads(reads, min_mapq), reference, tile, broadcast_chars), min_base_qual)
+    return mismatches_of(aligned_pieces(usable_reads(reads, min_mapq), reference, tile, broadcast_chars, reference_chars), min_base_qual)
 
 
 def reads_in_regions(reads: DataFrame, regions: DataFrame, bin_size: int = 16_384) -> DataFrame:
@@ -153,13 +164,12 @@ def reads_in_regions(reads: DataFrame, regions: DataFrame, bin_size: int = 16_38
     Both sides are laid out over bins of the reference and joined on (chrom, bin); the pair counts only in the first
     bin that both touch. Bases outside the region are kept.
     """
-    ends = with_blocks(reads).drop("blocks")
     over = lambda a, z: F.explode(F.sequence(F.floor(a / bin_size).cast("int"), F.floor((F.greatest(z, a + 1) - 1) / bin_size).cast("int")))
-    left = ends.withColumn("__bin", over(F.col("ref_start"), F.col("ref_end")))
-    right = regions.where("stop > start").select("region_ord", F.col("chrom").alias("__chrom"), "start", "stop").withColumn("__rbin", over(F.col("start"), F.col("stop")))
-    hit = left.join(right, (F.col("chrom") == F.col("__chrom")) & (F.col("__bin") == F.col("__rbin")) & (F.col("ref_start") < F.col("stop")) & (F.col("ref_end") > F.col("start")))
-    first = F.greatest(F.floor(F.col("ref_start") / bin_size), F.floor(F.col("start") / bin_size))
-    return hit.where(F.col("__bin") == first).select(*reads.columns, "region_ord")
+    left = reads.withColumn("__end", _walk(F.col("cigar"), F.col("ref_start"))["stop"]).withColumn("__bin", over(F.col("ref_start"), F.col("__end")))
+    right = regions.where("stop > start").select(F.col("region_ord").alias("__region"), F.col("chrom").alias("__chrom"), F.col("start").alias("__start"), F.col("stop").alias("__stop")).withColumn("__rbin", over(F.col("__start"), F.col("__stop")))
+    hit = left.join(right, (F.col("chrom") == F.col("__chrom")) & (F.col("__bin") == F.col("__rbin")) & (F.col("ref_start") < F.col("__stop")) & (F.col("__end") > F.col("__start")))
+    first = F.greatest(F.floor(F.col("ref_start") / bin_size), F.floor(F.col("__start") / bin_size))
+    return hit.where(F.col("__bin") == first).select(*(c for c in reads.columns if c != "region_ord"), F.col("__region").alias("region_ord"))
 
 
 def owned_by_window(reads: DataFrame, window: int) -> DataFrame:

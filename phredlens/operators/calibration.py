@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,20 +28,33 @@ def calibration_counts(pieces: DataFrame, sites: DataFrame | None = None, min_ba
 
 
 def calibration_counts_arrow(pieces: DataFrame, min_base_qual: int = 0) -> DataFrame:
-    """``calibration_counts`` without sites as array counting in Arrow batches; the same rows, faster on long reads."""
+    """``calibration_counts`` without sites as array counting in Arrow batches: the same rows.
+
+    The characters of a batch are counted where they lie in its buffers; a task holds a few counters."""
+
+    def characters(column: pa.Array) -> np.ndarray:
+        """All bytes of a string column without a null, straight from its buffers."""
+        _, ends, data = column.buffers()
+        at = np.frombuffer(ends, np.int32 if column.type in (pa.string(), pa.binary()) else np.int64, len(column) + 1 + column.offset)[column.offset :]
+        return np.frombuffer(data, np.uint8)[at[0] : at[-1]]
 
     def run(batches):
+        acgt = np.zeros(256, bool)
+        acgt[list(b"ACGT")] = True
+        totals: dict[str | None, np.ndarray] = {}
         for b in batches:
-            tech = b.column("technology").to_pylist()
-            totals: dict = {}
-            for name in set(tech):
-                rows = [i for i, t in enumerate(tech) if t == name]
-                ref, read, qual = (np.frombuffer("".join(b.column(c)[i].as_py() for i in rows).encode("latin-1", "replace"), np.uint8) for c in ("ref_seq", "read_seq", "qual_seq"))
-                q = qual.astype(np.int64) - 33
-                counts = np.isin(ref, np.frombuffer(b"ACGT", np.uint8)) & (read != ord("N")) & (q >= min_base_qual)
-                totals[name] = np.bincount(q[counts], minlength=1), np.bincount(q[counts & (ref != read)], minlength=1)
-            out = [(t, k, int(n), int(e[k]) if k < len(e) else 0) for t, (bases, e) in totals.items() for k, n in enumerate(bases) if n]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["technology", "base_qual", "n_bases", "n_errors"])
+            if not b.num_rows:
+                continue
+            names = b.column("technology").dictionary_encode()
+            ref, read, qual = (characters(b.column(c)) for c in ("ref_seq", "read_seq", "qual_seq"))
+            group = np.repeat(np.asarray(names.indices.fill_null(len(names.dictionary))).astype(np.int32) * 256, np.asarray(pc.binary_length(b.column("qual_seq"))))
+            counted = acgt[ref] & (read != ord("N")) & (qual >= min_base_qual + 33)
+            size = 256 * (len(names.dictionary) + 1)
+            both = [np.bincount((group + qual)[x], minlength=size).reshape(-1, 256) for x in (counted, counted & (ref != read))]
+            for k, name in enumerate([*names.dictionary.to_pylist(), None]):
+                totals[name] = totals.get(name, 0) + np.stack([x[k] for x in both])
+        out = [(t, k - 33, int(n), int(e)) for t, (bases, errors) in totals.items() for k, (n, e) in enumerate(zip(bases, errors, strict=True)) if n]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["technology", "base_qual", "n_bases", "n_errors"])
 
     parts = pieces.select("technology", "ref_seq", "read_seq", "qual_seq").mapInArrow(run, "technology string, base_qual int, n_bases long, n_errors long")
     return parts.groupBy("technology", "base_qual").agg(F.sum("n_bases").alias("n_bases"), F.sum("n_errors").alias("n_errors"))

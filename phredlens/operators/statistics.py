@@ -12,6 +12,8 @@ def extraction_counts(classified: DataFrame) -> DataFrame:
 
 
 def error_histogram(errors: DataFrame) -> DataFrame:
+    """(technology, base_qual, count) of error rows, a null technology or quality as a group of its own; no rows, no
+    groups. Counts are combined before they move."""
     return errors.groupBy("technology", "base_qual").agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -33,6 +35,7 @@ def quality_distribution(histogram: DataFrame, technologies: DataFrame | None =
 
 
 def compare_technologies(mismatches: DataFrame, technologies: DataFrame) -> DataFrame:
+    """``quality_distribution`` of the technologies asked for, with zeros for one without a mismatch; others are left out."""
     return quality_distribution(error_histogram(mismatches.join(F.broadcast(technologies.select("technology").distinct()), "technology", "left_semi")), technologies)
 
 

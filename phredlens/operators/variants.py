@@ -49,6 +49,7 @@ def classified(mismatches: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def errors_and_variants(mismatches: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(errors, variants): the mismatches without and with a key; every row is in one of them, repeats too."""
     both = classified(mismatches, keys)
     return both.where(~F.col("is_variant")).drop("is_variant"), both.where("is_variant").drop("is_variant")
 

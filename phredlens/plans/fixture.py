@@ -46,8 +46,13 @@ def planning_contigs(spark: SparkSession) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two reads per order, with bases, qualities and MD strings."""
-    base = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey as k", "o_custkey as c").withColumn("m", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    """Two reads per order, with bases, qualities and MD strings; as written by ``materialise``, if it was called.
+
+    A key becomes hundreds of computed values, so the narrow keys are dealt out to all cores first."""
+    if sf_dir in _WRITTEN:
+        return spark.read.parquet(_WRITTEN[sf_dir])
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey as k", "o_custkey as c")
+    base = keys.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))).withColumn("m", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
     kind = lambda pick: "case (k + m) % 7 " + " ".join(f"when {i} then {pick(c, b)}" for i, (c, b) in enumerate(CIGARS)) + " end"
     shift = kind(lambda _, blocks: "array(" + ", ".join(next((f"cast({s + q} as bigint)" for a, z, s in blocks if a <= q < z), "cast(null as bigint)") for q in range(READ_LENGTH)) + ")")
     rows = base.selectExpr(
@@ -85,9 +90,19 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.selectExpr("read_name", "flag", "concat('chr', ci) as chrom", "ref_start", "mapq", "cigar", "array_join(s, '') as seq", f"{qual} as qual", f"{md} as md", "ord", "technology")
 
 
+#: Folders of reads that were written beforehand, by the folder of their base tables.
+_WRITTEN: dict[str, str] = {}
+
+
+def materialise(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Write the reads of ``sf_dir`` to ``path``; ``reads`` scans them from then on, as it would a real input."""
+    reads(spark, sf_dir).write.mode("overwrite").parquet(path)
+    _WRITTEN[sf_dir] = path
+
+
 def variants(spark: SparkSession, sf_dir: str, second: bool = False) -> DataFrame:
     """Variant records from parts; ``second`` leaves out every seventh place."""
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 2000").selectExpr("p_partkey as k", "p_partkey % 5 + 1 as ci", "(p_partkey * 53) % 5000 as p")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey as k", "p_partkey % 5 + 1 as ci", "(p_partkey * 53) % 5000 as p")
     rows = rows.selectExpr("k", "ci", "p", *(f"{_base_sql(f'p + {i}', 'ci')} as b{i}" for i in range(3)))
     sub = lambda n: f"substr('ACGT', cast((instr('ACGT', b0) + ({n}) % 3) % 4 + 1 as int), 1)"
     out = rows.selectExpr(

@@ -136,7 +136,7 @@ def _sub(n: str) -> str:
 
 
 _VARIANTS = f"""
-    parts AS (SELECT p_partkey AS k, p_partkey % 5 + 1 AS ci, (p_partkey * 53) % 5000 AS p FROM part WHERE p_partkey < 2000),
+    parts AS (SELECT p_partkey AS k, p_partkey % 5 + 1 AS ci, (p_partkey * 53) % 5000 AS p FROM part),
     spelt AS (SELECT *, {_ref("p", "ci")} AS b0, {_ref("p + 1", "ci")} AS b1, {_ref("p + 2", "ci")} AS b2 FROM parts),
     vars AS (
         SELECT 'chr' || ci AS chrom, p + 1 AS pos, 'v' || k AS id, CASE WHEN k % 10 = 9 THEN b0 || b1 || b2 ELSE b0 END AS ref_allele,

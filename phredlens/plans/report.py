@@ -14,11 +14,13 @@ from phredlens.operators import calibration as cal
 from phredlens.operators import planning, recalibration, statistics
 from phredlens.operators import variants as var
 from phredlens.sources import bam, sinks, text
+from phredlens.sources.staging import stage, unstage
 
 
 @dataclass
 class Extraction:
-    """What one technology's reads give; frames are lazy until they are written or counted."""
+    """What one technology's reads give. The mismatches and the calibration counts are staged tables, so whatever is
+    derived from them scans no read again."""
 
     label: str
     errors: DataFrame
@@ -39,18 +41,30 @@ def open_alignments(spark: SparkSession, path: str, label: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("technology", F.lit(label))
 
 
-def extract(reads: DataFrame, label: str, reference: DataFrame | None = None, keys: DataFrame | None = None, sites: DataFrame | None = None, min_mapq: int = 1, min_base_qual: int = 0) -> Extraction:
+def total_length(contigs: DataFrame) -> int:
+    return contigs.agg(F.sum("length")).first()[0] or 0
+
+
+def extract(reads: DataFrame, label: str, reference: DataFrame | None = None, keys: DataFrame | None = None, sites: DataFrame | None = None, min_mapq: int = 1, min_base_qual: int = 0, reference_chars: int | None = None) -> Extraction:
     """Errors, variants, counts, histogram, distribution and calibration of one technology's reads.
 
+    The source is scanned and decoded once: usable reads are staged, narrowed to what bases need. Two scans of that
+    table give the classified mismatches and the calibration counts, which are staged too; all else derives from these.
     Variants are matched by exact allele; sites only take bases out of the calibration."""
     spark = reads.sparkSession
     keys = spark.createDataFrame([], "chrom string, pos int, ref_allele string, alt string") if keys is None else keys
-    pieces = al.aligned_pieces(al.usable_reads(reads, min_mapq), reference)
-    both = var.classified(al.mismatches_of(pieces, min_base_qual), keys)
+    columns = [c for c in ("read_name", "technology", "chrom", "ref_start", "flag", "mapq", "cigar", "seq", "qual", "md", "ord") if c in reads.columns and (c != "md" or reference is None)]
+    usable = stage(al.usable_reads(reads, min_mapq).select(*columns))
+    if reference is not None and reference_chars is None:
+        reference_chars = reference.agg(F.sum(F.octet_length("seq"))).first()[0] or 0
+    pieces = al.aligned_pieces(usable, reference, reference_chars=reference_chars)
+    both = stage(var.classified(al.mismatches_of(pieces, min_base_qual), keys))
+    counts = stage(cal.calibration_counts(pieces, sites, min_base_qual))
+    unstage(usable)
     errors = both.where("not is_variant").drop("is_variant")
     histogram = statistics.error_histogram(errors)
     asked = spark.createDataFrame([(label,)], "technology string")
-    return Extraction(label, errors, both.where("is_variant").drop("is_variant"), statistics.extraction_counts(both), histogram, statistics.quality_distribution(histogram, asked), cal.calibration_counts(pieces, sites, min_base_qual))
+    return Extraction(label, errors, both.where("is_variant").drop("is_variant"), statistics.extraction_counts(both), histogram, statistics.quality_distribution(histogram, asked), counts)
 
 
 # Fixed layouts of the two report tables: column of the frame, heading, width, number format.
@@ -77,11 +91,12 @@ def calibration_text(counts: DataFrame, labels: list[str]) -> str:
     return text_table(cal.calibration_summary(counts), labels, CALIBRATION_LAYOUT)
 
 
-def write_extraction(x: Extraction, contigs: DataFrame, out_dir: str) -> None:
+def write_extraction(x: Extraction, contigs: DataFrame, out_dir: str, parts: bool = False) -> None:
+    """errors.csv, variants.csv (with ``parts`` folders of ordered files) and calibration.csv in ``out_dir``."""
     folder = Path(out_dir)
     folder.mkdir(parents=True, exist_ok=True)
-    sinks.write_mismatches(x.errors, contigs, folder / "errors.csv")
-    sinks.write_mismatches(x.variants, contigs, folder / "variants.csv")
+    sinks.write_mismatches(x.errors, contigs, folder / "errors.csv", parts)
+    sinks.write_mismatches(x.variants, contigs, folder / "variants.csv", parts)
     sinks.write_calibration(cal.calibration_rows(x.calibration), folder / "calibration.csv")
 
 
@@ -143,8 +158,9 @@ def run_all(
     chunk: int = 25_000_000,
     java_options: str | None = None,
     preset: str = "sr",
+    csv_parts: bool = False,
 ) -> dict[str, Extraction]:
-    """The two-technology report: files per technology, comparison_summary.txt and calibration.svg in ``out_dir``.
+    """The two-technology report: files per technology, comparison_summary.txt and calibration.png in ``out_dir``.
 
     Variants come from a file per technology, one file for both, or the caller (``call``); keys are per technology,
     sites are of both together. A consensus of two files is only written, never used. Labels must differ.
@@ -162,27 +178,28 @@ def run_all(
         raise ValueError("mapping and calling need a reference")
     out = Path(out_dir)
     out.mkdir(parents=True, exist_ok=True)
-    paths = [b or external.map_pairs(*r, reference, str(out / f"{x}.bam"), x, threads, preset=preset) for b, r, x in ((bam_a, reads_a, label_a), (bam_b, reads_b, label_b))]
+    paths = [b or external.map_pairs(r, reference, str(out / f"{x}.bam"), external.Mapping(x, threads, preset)) for b, r, x in ((bam_a, reads_a, label_a), (bam_b, reads_b, label_b))]
     ref = text.read_fasta(spark, reference) if reference else None
-    contigs = text.contigs_of(ref) if ref is not None else bam.bam_contigs(spark, paths[0])
+    contigs = (text.contigs_of(ref) if ref is not None else bam.bam_contigs(spark, paths[0])).cache()
+    length = total_length(contigs) if ref is not None else None
     files = [vcf_a or vcf, vcf_b or vcf]
     if call and not any(files):
         tasks = [list(r["intervals"]) for r in planning.interval_tasks(contigs, chunk).orderBy("task").collect()]
         files = [external.call_variants(p, reference, str(out / f"{x}.vcf"), tasks, threads, java_options) for p, x in zip(paths, (label_a, label_b), strict=True)]
     records = [text.read_vcf(spark, f) if f else None for f in files]
-    keys = [var.variant_keys(r) if r is not None else None for r in records]
+    keys = [stage(var.variant_keys(r)) if r is not None else None for r in records]
     sites = var.variant_sites(*keys) if all(k is not None for k in keys) else None
     if with_consensus and files[0] and files[1] and files[0] != files[1]:
         sinks.write_vcf(var.consensus(*records), [(r["name"], r["length"]) for r in contigs.orderBy("ord").collect()], out / "consensus.vcf")
     found = {}
     for path, label, k in zip(paths, (label_a, label_b), keys, strict=True):
-        x = extract(open_alignments(spark, path, label), label, ref, k, sites, min_mapq, min_base_qual)
-        write_extraction(x, contigs, str(out / label))
+        x = extract(open_alignments(spark, path, label), label, ref, k, sites, min_mapq, min_base_qual, length)
+        write_extraction(x, contigs, str(out / label), csv_parts)
         sinks.write_histogram(x.histogram, out / label / "error_qual_histogram.csv")
         found[label] = x
     a, b = found[label_a], found[label_b]
     labels, counts = [label_a, label_b], a.calibration.unionByName(b.calibration)
     told = distribution_text(a.distribution.unionByName(b.distribution), labels) + "\n\n" + calibration_text(counts, labels) + "\n"
     (out / "comparison_summary.txt").write_text(told, encoding="utf-8")
-    sinks.write_calibration_chart(cal.calibration_plot_points(counts), out / "calibration.svg")
+    sinks.write_calibration_chart(cal.calibration_plot_points(counts), out / "calibration.png")
     return found

@@ -1,12 +1,13 @@
 """A Python data source for BAM files: blocked gzip and the public record layout, no native library.
 
-A file with an index beside it (``.bai``) is split at record starts that the index names; without one it is a single
-split. ``register(spark)`` makes ``spark.read.format("bam")`` available.
+A file with an index beside it (``.bai`` or ``.csi``) is split at record starts that the index names; without one it is
+a single split. Files are opened by path, so they must stand where every executor can open them (a shared mount). ``register(spark)`` makes ``spark.read.format("bam")`` available.
 """
 
 from __future__ import annotations
 
 import glob
+import gzip
 import os
 import struct
 import zlib
@@ -109,20 +110,31 @@ def _record(raw: bytes, names: list[str], order: int, technology: str) -> tuple:
 
 
 def _split_points(index: str) -> list[int]:
-    """Virtual offsets of record starts that an index names, ``_SPLIT`` compressed bytes apart or more."""
+    """Virtual offsets of record starts that an index (.bai or .csi) names, ``_SPLIT`` compressed bytes apart or more."""
     with open(index, "rb") as f:
         raw = f.read()
-    at, found = 8, set()
-    for _ in range(struct.unpack_from("<i", raw, 4)[0]):
+    binned = raw[:4] != b"BAI\1"  # the binned kind is compressed and says how deep its bins are
+    if binned:
+        raw = gzip.decompress(raw)
+        if raw[:4] != b"CSI\1":
+            raise ValueError(f"{index} is no index")
+        _, depth, more = struct.unpack_from("<iii", raw, 4)
+        at, summary, head = 16 + more, ((1 << 3 * (depth + 1)) - 1) // 7 + 1, 16
+    else:
+        at, summary, head = 4, 37450, 8
+    n_contigs, found = struct.unpack_from("<i", raw, at)[0], set()
+    at += 4
+    for _ in range(n_contigs):
         n_bins = struct.unpack_from("<i", raw, at)[0]
         at += 4
         for _ in range(n_bins):
-            number, n_chunks = struct.unpack_from("<Ii", raw, at)
-            at += 8
-            if number != 37450:  # the summary bin holds counts
+            number, n_chunks = struct.unpack_from("<I", raw, at)[0], struct.unpack_from("<i", raw, at + head - 4)[0]
+            at += head
+            if number != summary:  # the summary bin holds counts
                 found.update(struct.unpack_from("<QQ", raw, at + 16 * k)[0] for k in range(n_chunks))
             at += 16 * n_chunks
-        at += 4 + 8 * struct.unpack_from("<i", raw, at)[0]
+        if not binned:
+            at += 4 + 8 * struct.unpack_from("<i", raw, at)[0]
     points: list[int] = []
     for p in sorted(found):
         if not points or (p >> 16) - (points[-1] >> 16) >= _SPLIT:
@@ -142,7 +154,7 @@ class _Reader(DataSourceReader):
     def partitions(self):
         out = []
         for path in sorted(glob.glob(self.path)) or [self.path]:
-            index = next((p for p in (path + ".bai", os.path.splitext(path)[0] + ".bai") if os.path.exists(p)), None)
+            index = next((p for p in (path + ".bai", os.path.splitext(path)[0] + ".bai", path + ".csi") if os.path.exists(p)), None)
             points = [0, *(_split_points(index) if index else [])[1:]]
             out += [_Part(path, a, z) for a, z in zip(points, [*points[1:], None], strict=True)]
         return out

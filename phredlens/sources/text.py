@@ -2,45 +2,101 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phredlens.schemas import CONTIGS, VARIANTS
+from phredlens.schemas import VARIANTS
+from phredlens.sources import bcf
+
+_FASTQ_NAMES = ["file", "record", "line", "value", "l0", "l1", "l3"]
+_FASTQ_TYPES = [pa.string(), pa.int64(), pa.int32(), *[pa.string()] * 4]
 
 _SAM = "read_name string, flag int, chrom string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string"
 
 
+def _in_file_order(spark: SparkSession, path: str, **options) -> DataFrame:
+    """value, and place: where the record stands (file, first byte of its split, running number in the split)."""
+    rows = spark.read.text(path, **options).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return rows.select("value", F.struct("file", "block", F.monotonically_increasing_id().alias("n")).alias("place"))
+
+
+def _ranked(rows: DataFrame, place: str = "place") -> DataFrame:
+    """ord from 0 by place, as an int. One ordered task over names and numbers only; there are as many as contigs."""
+    return rows.withColumn("ord", (F.row_number().over(Window.orderBy(place)) - 1).cast("int"))
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(ord, chrom, seq): one row per contig, names up to the first blank, line breaks taken out.
 
-    A contig is one record of the scan, as in every FASTA reader; operators cut it into tiles.
+    A contig is one record of the scan, as in every FASTA reader; operators cut it into tiles. ord is the place in the
+    file (file, first byte of the split, number in the split), whatever splits the file is read in; ``contigs_of``
+    counts it from 0. An empty file gives no rows; a contig without a base has an empty sequence.
     """
-    rows = spark.read.text(path, lineSep=">").where(F.length(F.trim("value")) > 0)
+    rows = _in_file_order(spark, path, lineSep=">").where(F.length(F.trim("value")) > 0)
     head = F.split(F.regexp_extract("value", r"^([^\r\n]*)", 1), r"[ \t]")
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s+", "")
-    return rows.select(F.monotonically_increasing_id().alias("ord"), head[0].alias("chrom"), body.alias("seq"))
+    return rows.select(F.col("place").alias("ord"), head[0].alias("chrom"), body.alias("seq"))
 
 
 def contigs_of(reference: DataFrame) -> DataFrame:
-    """(ord, name, length) of a reference."""
-    return reference.select(F.col("ord").cast("int").alias("ord"), F.col("chrom").alias("name"), F.length("seq").cast("long").alias("length"))
+    """(ord, name, length) of a reference, ord from 0 in its order."""
+    return _ranked(reference.select(F.col("ord").alias("place"), F.col("chrom").alias("name"), F.length("seq").cast("long").alias("length"))).select("ord", "name", "length")
 
 
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, name, length) of a contig index, in the file's order."""
-    rows = spark.read.csv(path, sep="\t", schema="name string, length long, at long, bases int, width int")
-    return rows.select(F.monotonically_increasing_id().cast("int").alias("ord"), "name", "length").to(spark.createDataFrame([], CONTIGS).schema)
+    """(ord, name, length) of a contig index, in the file's order. Blank lines are no contigs."""
+    f = F.split("value", "\t")
+    return _ranked(_in_file_order(spark, path).where(F.trim("value") != "")).select("ord", f[0].alias("name"), f[1].cast("long").alias("length"))
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(read_name, seq, qual) of a FASTQ file, plain or gzip. A record that isn't four lines is an error."""
-    rows = spark.read.text(path, lineSep="\n@")
-    lines = F.split(F.regexp_replace(F.regexp_replace("value", r"^@", ""), r"[\r\n]+$", ""), "\r?\n")
-    # A quality line can begin with @ too: then the part belongs to the record before, and lengths tell.
-    parsed = rows.where(F.length("value") > 0).select(lines.alias("l"))
-    whole = (F.size("l") == 4) & F.col("l")[2].startswith("+") & (F.length(F.col("l")[1]) == F.length(F.col("l")[3]))
-    checked = parsed.select(F.when(whole, F.col("l")).otherwise(F.raise_error(F.lit("not a FASTQ record of four lines"))).alias("l"))
-    return checked.select(F.split(F.col("l")[0], r"[ \t]")[0].alias("read_name"), F.col("l")[1].alias("seq"), F.col("l")[3].alias("qual"))
+    """(read_name, seq, qual) of a FASTQ file, plain or gzip. A record that isn't four lines is an error.
+
+    A first pass counts the lines of each split, so every line's number in its file is known and four lines make a
+    record, whatever they begin with. Records inside a split are put together where they are; only the lines of a
+    record that two splits share are shuffled, three a side at most. An empty file, or blank lines at its end, give
+    no rows.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    first: dict[tuple[str, int], int] = {}  # by split: the number of its first line
+    so_far: dict[str, int] = {}
+    for r in sorted(lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).collect()):
+        first[r.file, r.block] = so_far.get(r.file, 0)
+        so_far[r.file] = first[r.file, r.block] + r.n
+    shipped = spark.sparkContext.broadcast(first)
+
+    def run(batches):
+        split, number, held = None, 0, []  # held: (number, line) of a record that isn't whole yet
+
+        def parts():
+            return [(split[0], n // 4, n % 4, x, None, None, None) for n, x in held]
+
+        for b in batches:
+            out = []
+            for value, file, block in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if (file, block) != split:
+                    out += parts()
+                    split, number, held = (file, block), shipped.value[file, block], []
+                held.append((number, value))
+                number += 1
+                if number % 4 == 0:
+                    whole = len(held) == 4 and held[2][1].startswith("+")
+                    out += [(file, None, None, None, held[0][1], held[1][1], held[3][1])] if whole else parts()
+                    held = []
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(_FASTQ_TYPES)], _FASTQ_NAMES)
+        out = parts() if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(_FASTQ_TYPES)], _FASTQ_NAMES)
+
+    rows = lines.mapInArrow(run, "file string, record long, line int, value string, l0 string, l1 string, l3 string")
+    line = lambda k: F.max(F.when(F.col("line") == k, F.col("value")))
+    shared = rows.where("record is not null").groupBy("file", "record").agg(*(line(k).alias(f"l{k}") for k in range(4)))
+    shared = shared.where(F.length(F.concat_ws("", "l0", "l1", "l2", "l3")) > 0)
+    whole = rows.where("record is null").select("l0", "l1", F.lit("+").alias("l2"), "l3").unionByName(shared.select("l0", "l1", "l2", "l3"))
+    end = lambda c: F.regexp_replace(c, r"\r$", "")
+    fine = F.col("l0").startswith("@") & F.col("l2").startswith("+") & (F.length(end("l1")) == F.length(end("l3")))
+    name = F.when(F.coalesce(fine, F.lit(False)), F.split(F.substr(end("l0"), F.lit(2)), r"[ \t]")[0]).otherwise(F.raise_error(F.lit("not a FASTQ record of four lines")))
+    return whole.select(name.alias("read_name"), end("l1").alias("seq"), end("l3").alias("qual"))
 
 
 def read_sam(spark: SparkSession, path: str, technology: str) -> DataFrame:
@@ -65,9 +121,10 @@ def read_sam(spark: SparkSession, path: str, technology: str) -> DataFrame:
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a VCF text file, plain or gzip; a missing quality is null. Binary files are refused."""
+    """Records of a variant file: VCF text, plain or gzip, or binary (``.bcf``). A missing quality is null."""
     if path.endswith(".bcf"):
-        raise ValueError("binary variant files aren't read; convert them to VCF text")
+        bcf.register(spark)
+        return spark.read.format("bcf").load(path)
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.length("value") > 0))
     f = F.split("value", "\t")
     columns = {"chrom": f[0], "pos": f[1].cast("int"), "id": f[2], "ref_allele": f[3], "alt": f[4], "qual": F.when(f[5] != ".", f[5].cast("double")), "filter": f[6]}

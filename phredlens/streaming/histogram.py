@@ -11,6 +11,7 @@ from phredlens.schemas import ALIGNMENTS
 
 
 def alignment_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Alignments of the Parquet files in a folder, and of those that arrive there later."""
     return spark.readStream.schema(ALIGNMENTS).parquet(folder)
 
 

@@ -4,8 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from phredlens.plans.queries import ORACLES, QUERIES
+from phredlens.plans import queries, round_trips
 
+QUERIES, ORACLES = queries.QUERIES | round_trips.QUERIES, queries.ORACLES | round_trips.ORACLES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -1,8 +1,10 @@
 """Readers, writers, the BAM source, workflows, generators, streaming, adapters and the command line."""
 
 import gzip
+import random
 import struct
 import zlib
+from contextlib import contextmanager
 
 import pytest
 
@@ -74,12 +76,163 @@ def test_text_readers(spark, tmp_path):
     assert sorted(tuple(r) for r in text.read_fastq(spark, str(tmp_path / "x.fq.gz")).collect()) == [("a", "ACGT", "IIII"), ("b", "AC", "II")]
     (tmp_path / "v.vcf").write_text("##x\n#CHROM\tPOS\nc1\t5\t.\tA\tG,T\t.\tPASS\t.\nc1\t7\t.\tAC\tA\t30.5\tLowQual\t.\n")
     assert [tuple(r) for r in text.read_vcf(spark, str(tmp_path / "v.vcf")).collect()] == [("c1", 5, ".", "A", "G,T", None, "PASS"), ("c1", 7, ".", "AC", "A", 30.5, "LowQual")]
-    with pytest.raises(ValueError):
-        text.read_vcf(spark, "x.bcf")
     (tmp_path / "a.sam").write_text("@HD\tVN:1\nq\t16\tc1\t3\t60\t4M\t*\t0\t0\tACGT\t*\tNM:i:0\tMD:Z:4\n")
     assert tuple(text.read_sam(spark, str(tmp_path / "a.sam"), "t").first())[:9] == ("q", 16, "c1", 2, 60, "4M", "ACGT", None, "4")
 
 
+@contextmanager
+def small_splits(spark, size):
+    """Files are read in splits of so many bytes."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        yield
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_reference_of_many_splits(spark, tmp_path):
+    rng = random.Random(4)
+    contigs = [(f"c{k}", "".join(rng.choice("ACGTn") for _ in range(rng.randint(0, 400)))) for k in range(60)]
+    (tmp_path / "r.fa").write_text("".join(f">{n} about\n" + "".join(s[i : i + 70] + "\n" for i in range(0, len(s), 70)) for n, s in contigs))
+    (tmp_path / "r.fai").write_text("".join(f"{n}\t{len(s)}\t0\t70\t71\n" for n, s in contigs))
+    with small_splits(spark, 1000):
+        found = text.read_fasta(spark, str(tmp_path / "r.fa"))
+        assert found.rdd.getNumPartitions() > 5
+        assert [(r.chrom, r.seq) for r in found.orderBy("ord").collect()] == contigs
+        want = [(k, n, len(s)) for k, (n, s) in enumerate(contigs)]
+        assert sorted(tuple(r) for r in text.contigs_of(found).collect()) == want
+    with small_splits(spark, 100):
+        assert sorted(tuple(r) for r in text.read_fai(spark, str(tmp_path / "r.fai")).collect()) == want
+
+
+def test_qualities_may_begin_like_names(spark, tmp_path):
+    rng = random.Random(5)
+    records = []
+    for k in range(300):
+        n = rng.randint(0, 60)
+        records.append((f"r{k}", "".join(rng.choice("ACGT") for _ in range(n)), "".join(rng.choice("@@+I#") for _ in range(n))))
+    for end in ("\n", "\r\n"):
+        (tmp_path / "x.fq").write_text("".join(f"@{a} x{end}{b}{end}+{end}{c}{end}" for a, b, c in records) + "\n", newline="")
+        for size in (97, 1000, 1 << 20):
+            with small_splits(spark, size):
+                assert sorted(tuple(r) for r in text.read_fastq(spark, str(tmp_path / "x.fq")).collect()) == sorted(records)
+    for wrong in ("@a\nAC\n+\nI\n", "@a\nAC\nII\n", "a\nAC\n+\nII\n", "@a\nAC\n-\nII\n"):
+        (tmp_path / "x.fq").write_text(wrong)
+        with pytest.raises(Exception, match="four lines"):
+            text.read_fastq(spark, str(tmp_path / "x.fq")).collect()
+    (tmp_path / "x.fq").write_text("")
+    assert text.read_fastq(spark, str(tmp_path / "x.fq")).count() == 0
+
+
+def test_binary_variants(spark, tmp_path):
+    header = b'##fileformat=VCFv4.2\n##FILTER=<ID=PASS,Description="ok">\n##FILTER=<ID=LowQual,Description="x">\n##contig=<ID=c1,length=9>\n##contig=<ID=c2>\n#CHROM\n\0'
+    string = lambda s: (bytes([len(s) << 4 | 7]) if len(s) < 15 else b"\xf7\x11" + bytes([len(s)])) + s.encode()
+
+    def record(chrom, pos, quality, name, alleles, filters):
+        shared = struct.pack("<iii", chrom, pos - 1, len(alleles[0])) + (struct.pack("<I", 0x7F800001) if quality is None else struct.pack("<f", quality)) + struct.pack("<HHI", 0, len(alleles), 0)
+        shared += string(name) + b"".join(map(string, alleles)) + (bytes([len(filters) << 4 | 1, *filters]) if filters else b"\0")
+        return struct.pack("<II", len(shared), 3) + shared + b"abc"
+
+    body = record(0, 5, None, "", ["A", "G", "T"], [0]) + record(1, 70_000, 30.5, "rs1", ["A" * 20, "A"], [1]) + record(1, 3, 1.0, "", ["C"], [])
+    (tmp_path / "v.bcf").write_bytes(block(b"BCF\2\2" + struct.pack("<I", len(header)) + header + body) + block(b""))
+    assert [tuple(r) for r in text.read_vcf(spark, str(tmp_path / "v.bcf")).collect()] == [("c1", 5, ".", "A", "G,T", None, "PASS"), ("c2", 70_000, "rs1", "A" * 20, "A", 30.5, "LowQual"), ("c2", 3, ".", "C", ".", 1.0, ".")]
+    (tmp_path / "w.bcf").write_bytes(block(b"VCF\2\2xxxx"))
+    with pytest.raises(Exception, match="binary variant file"):
+        text.read_vcf(spark, str(tmp_path / "w.bcf")).collect()
+
+
+def test_a_compressed_index_names_splits(tmp_path, monkeypatch):
+    monkeypatch.setattr(bam, "_SPLIT", 1)
+    chunks = [(k << 20, (k + 1) << 20) for k in range(3)]
+    one_bin = struct.pack("<IQi", 4681, 0, 3) + b"".join(struct.pack("<QQ", *c) for c in chunks)
+    summary = struct.pack("<IQi", 37450, 0, 1) + struct.pack("<QQ", 77 << 30, 0)
+    (tmp_path / "a.csi").write_bytes(block(b"CSI\1" + struct.pack("<iii", 14, 5, 2) + b"xx" + struct.pack("<ii", 1, 2) + one_bin + summary) + block(b""))
+    assert bam._split_points(str(tmp_path / "a.csi")) == [a for a, _ in chunks]
+
+
+def test_reads_are_scanned_once(spark):
+    ref, reads = dataset(n=80)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    reference = spark.createDataFrame([(k, n, s) for k, (n, s) in enumerate(ref.items())], "ord int, " + REFERENCE)
+    x = report.extract(spark.createDataFrame(reads, ALIGNMENTS).mapInArrow(count, ALIGNMENTS), "t", reference)
+    for df in (x.errors, x.variants, x.counts, x.histogram, x.distribution, x.calibration):
+        df.collect()
+    assert seen.value == len(reads)
+
+
+def test_a_failing_sorter_ends_the_mapper(monkeypatch):
+    endless = ["sh", "-c", "while :; do echo x; done"]
+    with pytest.raises(RuntimeError, match="false failed"):
+        external.piped(endless, ["false"])
+    with pytest.raises(FileNotFoundError):
+        external.piped(endless, ["no-such-program-here"])
+    with pytest.raises(RuntimeError, match="sh failed"):
+        external.piped(["sh", "-c", "exit 3"], ["cat"])
+
+
+def test_shards_run_in_order_with_logs(tmp_path, monkeypatch):
+    (tmp_path / "gatk").write_text("#!/bin/sh\necho told $@\ncase \"$*\" in *bad*) exit 4;; esac\n")
+    (tmp_path / "gatk").chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}:/usr/bin:/bin")
+    shards = external.Shards("x.bam", "r.fa", [["c1:1-5"], ["c2", "c3"]], tmp_path, "-Xmx1g")
+    external.run_shards(shards, 2)
+    log = (tmp_path / "00001.vcf.log").read_text()
+    assert "--native-pair-hmm-threads 1" in log and "--java-options -Xmx1g" in log and log.rstrip().endswith("-L c2 -L c3")
+    assert shards.joiner("o.vcf")[:4] == ["bcftools", "concat", "-a", str(tmp_path / "00000.vcf.gz")]
+    assert external.Shards("x", "r", [["c"]], tmp_path).joiner("o")[1] == "view"
+    with pytest.raises(RuntimeError, match="calling bad failed"):
+        external.run_shards(external.Shards("x.bam", "r.fa", [["bad"], ["c2"]], tmp_path), 1)
+
+
+def test_mapping_commands():
+    m = external.Mapping("lab", 8, "map-ont")
+    assert m.mapper("r.fa", ("1.fq", "2.fq")) == ["bwa", "mem", "-t", "8", "-R", "@RG\\tID:lab\\tSM:lab\\tPL:ILLUMINA", "-x", "ont2d", "r.fa", "1.fq", "2.fq"]
+    assert m.sorter("o.bam")[2:6] == ["-@", "4", "-m", "1G"] and m.indexer("o.bam") == ["samtools", "index", "-@", "4", "o.bam"]
+
+
+def test_staging_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace as Made
+
+    from phredlens.sources import staging
+
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        session = Made(conf=Made(get=lambda *_: None), sparkContext=Made(master=master, getCheckpointDir=lambda: None))
+        with pytest.raises(ValueError, match="checkpoint"):
+            staging.shared_dir(session)
+    df = staging.stage(spark.range(5))
+    assert df.count() == 5
+    staging.unstage(df, spark.range(3))
+    with pytest.raises(Exception, match="(?i)not.exist|not found"):
+        spark.read.schema("id long").parquet(df._phredlens_path).collect()
+
+
+def test_charts_and_fasta_files(spark, tmp_path):
+    points = spark.createDataFrame([("a", 10, 12.0, 40, 9.0, 31.0), ("b", 30, 28.5, 50, 9.0, 31.0)], "technology string, base_qual int, empirical_q double, n_errors long, lo double, hi double")
+    for some in (points, points.limit(0)):
+        for name in ("c.png", "c.svg"):
+            sinks.write_calibration_chart(some, tmp_path / name)
+    image = sinks._raster([(10, 12.0, sinks.COLOURS[0])], 9.0, 31.0, 480)
+    x, y = (int(round(sinks._place(v, 9.0, 31.0, 480))) for v in (10, 12.0))
+    assert image[479 - y, x].tolist() == [0x1B, 0x6C, 0xA8]
+    raw = (tmp_path / "c.png").read_bytes()
+    assert raw.startswith(b"\x89PNG") and struct.unpack(">II", raw[16:24]) == (480, 480) and len(zlib.decompress(raw[41:-16])) == 480 * (480 * 3 + 1)
+    ref = spark.createDataFrame([(1, "c2", "AC"), (0, "c1", "ACGTN"), (2, "c3", "")], "ord int, chrom string, seq string")
+    sinks.write_fasta_file(ref, tmp_path / "x.fa")
+    assert (tmp_path / "x.fa").read_text() == ">c1\nACGTN\n>c2\nAC\n>c3\n\n"
+    data = (tmp_path / "x.fa").read_bytes()
+    for line in (tmp_path / "x.fa.fai").read_text().splitlines():
+        name, n, at, _, _ = line.split("\t")
+        assert data[int(at) : int(at) + int(n)].decode() == {"c1": "ACGTN", "c2": "AC", "c3": ""}[name]
+
+
 def test_extract_writes_the_walkers_rows_whatever_the_partitions(spark, tmp_path):
     ref, reads = dataset(n=150)
     reference = spark.createDataFrame([(k, n, s) for k, (n, s) in enumerate(ref.items())], "ord int, " + REFERENCE)
@@ -121,7 +274,7 @@ def test_run_all_and_command_line(spark, tmp_path, capsys):
     assert cli.main(args) == 0
     told = capsys.readouterr().out
     assert told == (tmp_path / "out/comparison_summary.txt").read_text() and "observed/expected" in told
-    assert {p.name for p in (tmp_path / "out").iterdir()} == {"illumina", "bgi", "comparison_summary.txt", "calibration.svg", "consensus.vcf"}
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"illumina", "bgi", "comparison_summary.txt", "calibration.png", "consensus.vcf"}
     assert [line.split("\t")[1] for line in (tmp_path / "out/consensus.vcf").read_text().splitlines() if line[0] != "#"] == ["50"]
     assert cli.main(["bqsr", "--bam-before", f"{tmp_path}/a.parquet", "--bam-after", f"{tmp_path}/b.parquet", "--technology", "t", "--reference", f"{tmp_path}/r.fa", "--out", f"{tmp_path}/d.csv"]) == 0
     assert "matched" in capsys.readouterr().out and (tmp_path / "d.csv").read_text().startswith("read_name,chrom,ref_pos")
