@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from phredlens.llm.bpe import byte_alphabet
 from phredlens.llm.decontaminate import tokens
-from phredlens.llm.tables import release_memory, slices_of, text_rows
+from phredlens.llm.tables import few_texts, release_memory, slices_of, text_rows
 
-#: Documents of each language that learning takes, about; and languages, the most frequent ones.
-SAMPLE_DOCS, MAX_LANGUAGES = 500, 512
+#: Documents of each language that learning takes, about, and documents of all; languages, more than the world has.
+SAMPLE_DOCS, SAMPLE_ALL, MAX_LANGUAGES = 500, 20_000, 8192
+#: Bytes of a word that are learned from in one go, and numbers of the tables of one go.
+SPAN, _CELLS = 40, 4_000_000
 EM_ROUNDS, SMOOTHING = 5, 0.05
 UNKNOWN = "und"
 #: Numbers kept for words a Python worker has met.
@@ -106,8 +108,13 @@ def expected_counts(pieces: Pieces, words: list[str], weights: np.ndarray, probs
     """Expected uses of each piece (rows) in each language over all cuts; weights: occurrences, words by languages."""
     out = np.zeros_like(probs)
     order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
-    for i in range(0, len(order), 20_000):
-        part = order[i : i + 20_000]
+    i = 0
+    while i < len(order):
+        n = max(1, min(20_000, len(order) - i))
+        while n > 1 and n * (len(words[order[i + n - 1]]) + 1) * probs.shape[1] > _CELLS:
+            n = (n + 1) // 2
+        part = order[i : i + n]
+        i += n
         word, start, stop, piece, sizes = pieces.lattice([words[k] for k in part])
         most = int(sizes.max())
         alpha, beta = np.zeros((len(part), most + 1, probs.shape[1])), np.zeros((len(part), most + 1, probs.shape[1]))
@@ -141,23 +148,23 @@ def spelled(word: bytes) -> str:
 def fit(pieces: Pieces, texts: list[str], langs: list[str], rounds: int = EM_ROUNDS) -> tuple[list[str], np.ndarray]:
     """(languages, piece probabilities by language) by expectation maximisation over the words of labelled texts.
 
-    Words of over 40 bytes take no part in learning (they do in scoring)."""
+    Longer words are learned from in consecutive spans of ``SPAN`` bytes, so every byte takes part."""
     names = sorted(set(langs))
     number = {x: k for k, x in enumerate(names)}
-    counts: dict[bytes, np.ndarray] = {}
+    counts: dict[str, np.ndarray] = {}
     for text, lang in zip(texts, langs, strict=True):
         for w in tokens(text):
-            if len(w) <= 40:
-                if w not in counts:
-                    counts[w] = np.zeros(len(names))
-                counts[w][number[lang]] += 1
+            for part in (spelled(w)[i : i + SPAN] for i in range(0, len(w) + 1, SPAN)):
+                if part not in counts:
+                    counts[part] = np.zeros(len(names))
+                counts[part][number[lang]] += 1
     words = sorted(counts)
     probs = np.full((len(pieces.names), len(names)), 1.0)
     # At the start a piece is the likelier the longer it is, so that cuts into few pieces lead.
     probs *= np.array([len(x) ** 2 for x in pieces.names], float)[:, None]
     probs /= probs.sum(axis=0)
     for _ in range(rounds if words else 0):
-        probs = expected_counts(pieces, [spelled(w) for w in words], np.array([counts[w] for w in words]), probs) + SMOOTHING
+        probs = expected_counts(pieces, words, np.array([counts[w] for w in words]), probs) + SMOOTHING
         probs /= probs.sum(axis=0)
     return names, probs
 
@@ -204,19 +211,22 @@ def held_out() -> F.Column:
 
 
 def learn(docs: DataFrame, vocabulary: str, sample: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
-    """Fit on about ``sample`` documents of each language (at most ``MAX_LANGUAGES``, the most frequent), none held out.
+    """Fit on about ``sample`` documents of each language, ``SAMPLE_ALL`` of all, none held out.
 
     A document is taken if the hash of its doc_id is below its language's share, so the sample is the same on every
-    run and its size doesn't grow with the corpus.
+    run and its size doesn't grow with the corpus: in rows, and in bytes as ``few_texts`` has it. Rows that repeat
+    count once. Every language that has a label is learned, up to ``MAX_LANGUAGES``, more than there are; the model's
+    size grows with their number.
     """
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
     sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
         return [], np.zeros((0, 0))
-    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / r["count"])) for r in sizes], "lang string, __phl_share double")
+    each = min(sample, max(1, SAMPLE_ALL // len(sizes)))
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in sizes], "__phl_lang string, __phl_share double")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(share), "lang").where(place < F.col("__phl_share")).select("doc_id", "text", "lang").collect()
-    rows = sorted(map(tuple, rows))
+    chosen = known.join(F.broadcast(share), F.col("lang") == F.col("__phl_lang")).where(place < F.col("__phl_share"))
+    rows = few_texts(chosen.select("doc_id", F.col("text").cast("string").alias("text"), "lang"), 2 * SAMPLE_ALL)
     return fit(Pieces(vocabulary), [r[1] for r in rows], [r[2] for r in rows])
 
 

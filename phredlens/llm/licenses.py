@@ -10,6 +10,8 @@ from phredlens.llm.license_rules import ROOTS, Rule, rules
 #: Base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 BASE_CONFIDENCE = 0.5
+#: Letters that are lower-cased; places stay what they are in the text.
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _MATCH = "array<struct<start:int,stop:int,priority:int,label:string,confidence:double>>"
 
 
@@ -93,7 +95,7 @@ def license_scan(docs: DataFrame, signature_rules: list[Rule] | None = None) ->
     known = rules() if signature_rules is None else signature_rules
     loose = [k for k, r in enumerate(known) if r.loose]
     table = F.array(*[F.struct(F.lit(k).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex")) for k, r in enumerate(known)])
-    low = docs.select(F.col("doc_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("low"))
+    low = docs.select(F.col("doc_id"), F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _UPPER.lower()).alias("low"))
     norm = F.trim(F.regexp_replace("low", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
     wanted = F.lit(False)
     for root in ROOTS:

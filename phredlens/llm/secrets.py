@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phredlens.llm.tables import release_memory, slices_of, text_rows
+from phredlens.llm.tables import few_texts, release_memory, slices_of, text_rows
 
 OUT, BEGIN, INSIDE = 0, 1, 2
 #: Base patterns by kind: pattern, group whose length counts, least length. Kinds are listed in their output order.
@@ -36,7 +36,9 @@ _TOKEN = re.compile(r"\n|[\w+/.-]+|[^\w\s]")
 #: Words around secrets; other words count by their shape only.
 CONTEXT = "password passwd pwd passphrase secret token key apikey api_key auth authorization bearer basic credential credentials login access private client account session cookie signature sign id user username host commit version sha checksum uuid phone http https www com org href src import return public license isbn order invoice page chapter".split()
 _CONTEXT = frozenset(CONTEXT)
-SAMPLE_DOCS, LINE_TOKENS, EPOCHS = 300, 60, 12
+SAMPLE_DOCS, EPOCHS = 300, 12
+#: Tokens of a sequence in training; a longer line is several sequences in a row, of which every token counts.
+LINE_TOKENS = 60
 _REMEMBERED = 250_000
 
 
@@ -59,13 +61,15 @@ def value_spans(text: str) -> list[tuple[int, int]]:
 
 
 def shape(word: str) -> str:
-    classes = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64])
-    return re.sub(r"(.)\1+", r"\1", classes)[:8]
+    """Classes of all characters, runs made one; of a long list its four first and four last, and a mark between."""
+    classes = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word)
+    runs = re.sub(r"(.)\1+", r"\1", classes)
+    return runs if len(runs) <= 8 else f"{runs[:4]}~{runs[-4:]}"
 
 
 def variety(word: str) -> int:
-    """Distinct characters among the first 64, in eighths."""
-    return 8 * len(set(word[:64])) // min(len(word), 64)
+    """Distinct characters of the word, in eighths of what it could have (64 at most)."""
+    return min(8, 8 * len(set(word)) // min(len(word), 64))
 
 
 def signature(word: str):
@@ -332,11 +336,12 @@ def train(examples: list[tuple[str, list[tuple[int, int]]]], epochs: int = EPOCH
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Field:
-    """Train on generated texts and about ``sample`` documents (by hash of doc_id) with the base matches as secrets."""
-    known = docs.where("text is not null and doc_id is not null").select("doc_id", "text")
+    """Train on generated texts and about ``sample`` documents (by hash of doc_id) with the base matches as secrets; twice
+    as many at most, and so many bytes as ``few_texts`` has it, whatever the corpus repeats."""
+    known = docs.where("text is not null and doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     total = known.count()
-    rows = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < (sample / total if total else 0)).collect()
-    return train(generated() + [(t, value_spans(t)) for _, t in sorted((r.doc_id, r.text) for r in rows)])
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < (sample / total if total else 0))
+    return train(generated() + [(t, value_spans(t)) for _, t in few_texts(chosen, 2 * sample)])
 
 
 def field_spans(text: str, tags: np.ndarray) -> list[tuple[int, int]]:

@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phredlens.llm.components import connected
-from phredlens.llm.tables import attach_groups, release_memory, stage, text_rows, without_ids
+from phredlens.llm.tables import KEYS, attach_groups, release_memory, row_keys, stage, text_rows, unstage, without_rows
 
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
 #: Distinct fingerprints that one bucket compares directly; fuller buckets are split by a second covering code.
 BUCKET = 1024
+#: Full buckets that are told to all tasks; more of them are joined by shuffle.
+BROADCAST_BUCKETS = 100_000
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -45,15 +47,15 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the 64-bit fingerprint of every whole text as a signed long."""
+    """(doc_id, fp): the 64-bit fingerprint of every whole text as a signed long. The two halves of the row's key follow."""
 
     def run(batches):
         for b in batches:
             prints = np.fromiter((fingerprint(x.as_py()) for x in b.column("text")), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints.view(np.int64)), *map(b.column, KEYS)], ["doc_id", "fp", *KEYS])
         release_memory()
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, fp long")
+    return text_rows(docs, *row_keys()).mapInArrow(run, f"doc_id long, fp long, {KEYS[0]} long, {KEYS[1]} long")
 
 
 def covering_masks(positions: list[int], radius: int = RADIUS) -> list[int]:
@@ -100,18 +102,19 @@ def bucket_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(int(values[i]), int(values[r])) for i, r in enumerate(label) if r != i]
 
 
-def _links(sorted_rows: DataFrame, keys: list[str], radius: int, most: int | None) -> DataFrame:
-    """Links (a, b) of buckets that stand together in ``sorted_rows``; rows of buckets above ``most`` come back with
-    b null and their table. Rows stream by, so memory holds one bucket of at most ``most`` (or 65,536) values."""
+def _links(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
+    """Links (a, b) inside the buckets of ``rows`` (keys, fp). Buckets are brought together and stream by, so memory
+    holds one bucket, which the caller bounds."""
 
     def run(batches):
         held: list[np.ndarray] = []
-        key, size, over = None, 0, False
+        key, size = None, 0
 
         def closed():
-            if not over and size > 1:
-                for a, b in bucket_links(np.concatenate(held).view(np.uint64), radius):
-                    yield _signed(a), _signed(b), None
+            return bucket_links(np.concatenate(held).view(np.uint64), radius) if size > 1 else []
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array([_signed(r[i]) for r in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
             columns = [np.asarray(batch.column(k)) for k in keys]
@@ -124,48 +127,55 @@ def _links(sorted_rows: DataFrame, keys: list[str], radius: int, most: int | Non
                 now = tuple(int(c[a]) for c in columns)
                 if now != key:
                     out += closed()
-                    key, held, size, over = now, [], 0, False
-                if z - a == 1 and not size and z < len(fp):
-                    size, held = 1, []  # alone in its bucket: the next row has another key
-                    continue
-                if over:
-                    out += [(int(x), None, now[0]) for x in fp[a:z]]
-                    continue
+                    key, held, size = now, [], 0
                 held.append(fp[a:z])
                 size += z - a
-                if most and size > most:
-                    over = True
-                    out += [(int(x), None, now[0]) for x in np.concatenate(held)]
-                    held = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["a", "b", "t"])
-        if out := list(closed()):
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["a", "b", "t"])
+                yield batch_of(out)
+        if out := closed():
+            yield batch_of(out)
 
-    return sorted_rows.mapInArrow(run, "a long, b long, t int")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links that connect exactly what the links at ``radius`` or fewer bits connect.
 
     ``prints`` has one row per distinct fp. Every pair within the radius shares a bucket of some table; inside a
-    bucket a spanning forest is returned, not all pairs. A bucket with over ``bucket`` fingerprints goes on to a
-    second covering code over the bits its table hides, which leaves at most 16 free bits, so 65,536 fingerprints,
-    in a bucket, whatever the corpus holds; those are solved exactly over the cube of free bits.
+    bucket a spanning forest is returned, not all pairs. Buckets are counted first, with counts combined before they
+    move. The rows of a bucket with over ``bucket`` fingerprints never meet in it: they go, from where they are, to
+    the buckets of a second covering code over the bits its table hides, which leaves at most 16 free bits, so 65,536
+    fingerprints, in a bucket, whatever the corpus holds; those are solved exactly over the cube of free bits.
     """
     masks = covering_masks(list(range(64)), radius)
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
     rows = prints.select("fp", F.explode(tables).alias("x")).select("x.t", "x.key", "fp")
-    first = stage(_links(rows.repartition("t", "key").sortWithinPartitions("t", "key"), ["t", "key"], radius, bucket))
-    links = first.where("b is not null").select("a", "b")
-    over = first.where("b is null")
-    if over.isEmpty():
-        return links.distinct()
+    full = stage(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("t", "key"))
+    n_full = full.limit(BROADCAST_BUCKETS + 1).count()
+    if not n_full:
+        return _links(rows, ["t", "key"], radius).distinct()
+    full = F.broadcast(full) if n_full <= BROADCAST_BUCKETS else full
+    links = _links(rows.join(full, ["t", "key"], "left_anti"), ["t", "key"], radius)
     inner = [[m | s for s in covering_masks([i for i in range(64) if not m >> i & 1], radius)] for m in masks]
     literal = F.array(*[F.array(*[F.lit(_signed(x)) for x in row]) for row in inner])
-    split = over.select("t", F.col("a").alias("fp"), F.posexplode(F.element_at(literal, F.col("t") + 1)).alias("s", "mask")).select("t", "s", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-    more = _links(split.repartition("t", "s", "key").sortWithinPartitions("t", "s", "key"), ["t", "s", "key"], radius, None)
-    return links.unionByName(more.select("a", "b")).distinct()
+    split = rows.join(full, ["t", "key"], "left_semi").select("t", "fp", F.posexplode(F.element_at(literal, F.col("t") + 1)).alias("s", "mask"))
+    more = _links(split.select("t", "s", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"), ["t", "s", "key"], radius)
+    return links.unionByName(more).distinct()
+
+
+def _labelled(docs: DataFrame, radius: int) -> tuple[DataFrame, int]:
+    """(staged rows doc_id, fp, key and label: the component's smallest fingerprint, n_component; number of rows)."""
+    prints = stage(fingerprints(docs))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *KEYS)
+    classes = stage(prints.groupBy("fp").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n_docs")))
+    links = stage(fingerprint_links(classes.select("fp"), radius))
+    labels = connected(links)
+    named = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    smallest = named.groupBy("label").agg(F.min("first").alias("first"), F.sum("n_docs").alias("n_component"))
+    groups = stage(named.drop("first").join(smallest, "label").select("fp", "first", "n_component", "n_docs"))
+    unstage(classes, links)
+    total = prints.count()
+    return attach_groups(prints, groups, "fp", "n_docs", total), total
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -177,19 +187,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     a component_id unless all members have none; repeated rows are repeated in the result; an empty table gives no
     rows; other columns are ignored.
     """
-    prints = stage(fingerprints(docs))
-    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs")))
-    links = stage(fingerprint_links(classes.select("fp"), radius))
-    labels = connected(links)
-    named = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    groups = stage(named.join(smallest, "label").select("fp", "component_id", "n_docs"))
-    total = prints.count()
-    out = attach_groups(prints, groups, "fp", "n_docs", total)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows, _ = _labelled(docs, radius)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` (all its columns) with one document of each component, the one with the smallest doc_id."""
-    dropped = stage(near_duplicates(docs).where("doc_id <> component_id").select("doc_id"))
-    return without_ids(docs, dropped, dropped.count())
+    """``docs`` (all its columns) with one row of each component: the one with the smallest doc_id, null ones last.
+
+    Where several rows share that doc_id, or have none, the one with the smallest row key stays, and of rows that
+    repeat it, one."""
+    rows, _ = _labelled(docs, RADIUS)
+    by_key = rows.where("n_component > 1").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*(F.col(f"first.{k}") for k in KEYS)) == F.struct(*KEYS)).alias("once"))
+    return without_rows(docs, stage(by_key.where("not once or n > 1")))

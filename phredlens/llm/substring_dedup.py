@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phredlens.llm.tables import attach_groups, bloom, filter_bits, in_bloom, release_memory, stage, text_rows
+from phredlens.llm.tables import KEYS, _left_by_size, attach_groups, maybe_in, release_memory, row_keys, stage, text_rows
 
 #: Shorter units are none, unless ``line_words`` asks for shorter lines.
 MIN_WORDS = 8
@@ -38,45 +38,44 @@ def line_units(text: str | None, min_words: int = MIN_WORDS, line_words: int | N
     follows; the digest is of the unit in lower case with whitespace runs made one space and trimmed.
     """
     start = 0
-    for number, line in enumerate(_SENTENCE_END.sub("\\1\x01", text or "").split("\n")):
-        if unit := _unit(line.replace("\x01", " "), start, min_words if line_words is None else line_words):
+    for number, line in enumerate((text or "").split("\n")):
+        if unit := _unit(line, start, min_words if line_words is None else line_words):
             yield number, "line", *unit
-            at, sentences = start, line.split("\x01")
-            for sentence in sentences if len(sentences) > 1 else ():
-                if unit := _unit(sentence, at, min_words):
+            cuts = [m.end(1) for m in _SENTENCE_END.finditer(line)]
+            for a, z in zip([0, *(c + 1 for c in cuts)], [*cuts, len(line)], strict=True) if cuts else ():
+                if unit := _unit(line[a:z], start + a, min_words):
                     yield number, "sentence", *unit
-                at += len(sentence) + 1
         start += len(line) + 1
 
 
 def units(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int | None = None) -> DataFrame:
-    """The units of each row of ``docs`` with its doc_id, and row, a number of its own for each row of ``docs``."""
-    schema = "row long, doc_id long, line long, level string, start long, stop long, n_words long, digest binary"
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    names = ["row", "doc_id", "line", "level", "start", "stop", "n_words", "digest"]
+    """The units of each row of ``docs`` with its doc_id and key, and row, a number of its own for each row of ``docs``."""
+    schema = f"row long, doc_id long, line long, level string, start long, stop long, n_words long, digest binary, {KEYS[0]} long, {KEYS[1]} long"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         number = TaskContext.get().partitionId() << 40
         for b in batches:
             rows: list[tuple] = []
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                rows += [(number, i, *u) for u in line_units(text.as_py(), min_words, line_words)]
+            for i, text, *key in zip(b.column("doc_id").to_pylist(), b.column("text"), *(b.column(k).to_pylist() for k in KEYS), strict=True):
+                rows += [(number, i, *u, *key) for u in line_units(text.as_py(), min_words, line_words)]
                 number += 1
                 if len(rows) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
                     rows = []
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-    return text_rows(docs).mapInArrow(run, schema)
+    return text_rows(docs, *row_keys()).mapInArrow(run, schema)
 
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int | None = None) -> DataFrame:
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int | None = None, keep_keys: bool = False) -> DataFrame:
     """One row per unit to remove: doc_id, line, level, start, stop, n_words, keep_doc_id, keep_start, n_copies.
 
     The rank of a unit is (doc_id, start), null doc_ids last; the lowest rank of equal units stays and its place is
     keep_doc_id, keep_start. n_copies counts all equal units. Null and empty texts have no units; rows that repeat a
     doc_id and text have units of equal rank, of which none is removed for the other; an empty table gives no rows;
-    other columns are ignored.
+    other columns are ignored. ``keep_keys`` adds the key of the unit's row.
     """
     rows = stage(units(docs, min_words, line_words))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
@@ -86,26 +85,24 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int
     # Whole lines stand above their sentences; a line's rows are few, as each row of docs counts for itself.
     whole = F.max(F.col("level") == "line").over(Window.partitionBy("row", "line"))
     top = joined.where(moved).withColumn("whole", whole).where((F.col("level") == "line") | ~F.col("whole"))
-    return top.select("doc_id", "line", "level", "start", "stop", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), "n_copies")
+    return top.select("doc_id", "line", "level", "start", "stop", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), "n_copies", *(KEYS if keep_keys else ()))
 
 
 def without_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int | None = None) -> DataFrame:
     """``docs`` (all its columns) with repeated units cut out of ``text``; the line break or blank after one goes too.
 
-    A document's spans are as many as its units. Only documents that may lose a unit are shuffled (a Bloom filter
-    over their ids tells), so clean ones keep their place. Documents with a null doc_id are left as they are.
+    A row's spans are found by its own key (doc_id and text), so rows that share a doc_id, or have none, are cut each
+    by its own spans; a row's spans are as many as its units. Only rows that may lose a unit are shuffled (a Bloom
+    filter over their keys tells), so clean ones keep their place.
     """
-    spark = docs.sparkSession
-    cuts = stage(repeated_units(docs, min_words, line_words).where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__phl_cuts")))
-    n = cuts.count()
+    spans = repeated_units(docs, min_words, line_words, keep_keys=True).groupBy(*KEYS)
+    cuts = stage(spans.agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__phl_cuts"), F.count(F.lit(1)).alias("__phl_n")))
+    n, total = cuts.agg(F.count(F.lit(1)), F.coalesce(F.sum("__phl_n"), F.lit(0))).first()
     if not n:
         return docs
-    hashed = lambda: [F.xxhash64("doc_id"), F.xxhash64(F.lit("low"), F.col("doc_id"))]
-    bitmap = spark.sparkContext.broadcast(bloom(cuts.select(*hashed()), filter_bits(n), twice=False))
-
-    @F.pandas_udf("boolean")
-    def maybe(high: pd.Series, low: pd.Series) -> pd.Series:
-        return pd.Series(in_bloom(bitmap.value, *(x.to_numpy("int64").view("uint64") for x in (high, low))))
+    maybe = maybe_in(cuts, n)
+    keyed = docs.select("*", *row_keys()).withColumn("__phl_maybe", F.lit(True) if maybe is None else maybe(*row_keys()))
+    hit = _left_by_size(keyed.where("__phl_maybe"), cuts, KEYS, "__phl_n", total)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -120,7 +117,5 @@ def without_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, line_wor
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    flagged = docs.withColumn("__phl_maybe", maybe(*hashed()))
-    hit = flagged.where("__phl_maybe").join(cuts.withColumnRenamed("doc_id", "__phl_id"), F.col("doc_id") == F.col("__phl_id"), "left")
     hit = hit.withColumn("text", cut("text", "__phl_cuts"))
-    return flagged.where("not __phl_maybe").select(*docs.columns).unionByName(hit.select(*docs.columns))
+    return keyed.where("not __phl_maybe").select(*docs.columns).unionByName(hit.select(*docs.columns))

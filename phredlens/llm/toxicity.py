@@ -15,20 +15,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phredlens.llm.decontaminate import tokens
-from phredlens.llm.tables import release_memory, slices_of, stage, text_rows, without_ids
+from phredlens.llm.tables import few_texts, release_memory, rows_where, slices_of, text_rows
 
 WINDOW, STRIDE = 32, 24
 DIM, HIDDEN, ATTENTION = 8, 8, 8
 WORDS, CHARS = 20_000, 1 << 14
 #: Labelled rows that training takes at most, of each label, by the smallest hash of doc_id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
+#: Bytes of a word that are one input; a longer word is several words in a row, so all of it is read.
+LONGEST = 40
 _REMEMBERED = 200_000
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """Tokens of a text, longer ones cut into consecutive pieces of ``LONGEST`` bytes."""
+    words = tokens(text)
+    if max(map(len, words), default=0) > LONGEST:
+        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+    return words
+
+
 def char_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(features, first): hashed trigrams of each bounded word, its beginnings of 3 to 7 and endings of 3 and 4
-    characters; the features of word k start at first[k]. At most 40 bytes of a word count."""
-    bounded = [b"<" + w[:40] + b">" for w in words]
+    characters; the features of word k start at first[k]. Words have at most ``LONGEST`` bytes."""
+    bounded = [b"<" + w + b">" for w in words]
     size = np.fromiter(map(len, bounded), np.int64, len(bounded))
     m = np.frombuffer(b"".join(w.ljust(42, b"\0") for w in bounded), np.uint8).reshape(-1, 42).astype(np.uint32)
     code = lambda parts, salt: sum(c * np.uint32(f) for c, f in zip(parts, (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09), strict=False)) * np.uint32(2 * salt + 1)
@@ -193,7 +203,7 @@ class Scorer:
 
     def window_logits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text number, first token, logit) of all windows of all texts; a text without words is one empty window."""
-        words = [tokens(t) for t in texts]
+        words = [words_of(t) for t in texts]
         ids = self.numbered([w for x in words for w in x])
         first = np.concatenate([[0], np.cumsum([len(x) for x in words])])
         spans = [(k, s, min(WINDOW, len(x) - s)) for k, x in enumerate(words) for s in window_starts(len(x))]
@@ -219,7 +229,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 4, e
     """A network from labelled texts. With one label only, or no text, every text gets a score on that side."""
     y = np.array(labels, np.float32)
     number: dict[bytes, int] = {}
-    docs = [np.fromiter((number.setdefault(w, len(number)) for w in tokens(t)), np.int32) for t in texts]
+    docs = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int32) for t in texts]
     known = list(number)
     counts = np.zeros((len(known), 2))
     for label, doc in zip(labels, docs, strict=True):
@@ -307,8 +317,8 @@ def learn(documents: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, cl
     """Train on at most ``toxic`` and ``clean`` labelled documents outside the held-out fifth.
 
     The labelled rows with the smallest hashes of doc_id are taken, so the sample is the same on every run and its
-    size has a bound that doesn't depend on the corpus. Rows with null ids or labels are no examples; of repeated
-    label rows the highest label counts.
+    size has a bound that doesn't depend on the corpus: in rows, and in bytes as ``few_texts`` has it. Rows with null
+    ids or labels are no examples; of repeated label rows the highest label counts, of repeated documents one.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).select("doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     part = lambda k, n: known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
@@ -316,8 +326,7 @@ def learn(documents: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, cl
     if not chosen:
         return train([], [])
     ids = documents.sparkSession.createDataFrame([(r.doc_id, int(r.toxic)) for r in chosen], "__phl_id long, __phl_toxic int")
-    rows = documents.where("text is not null").join(F.broadcast(ids), F.col("doc_id") == F.col("__phl_id")).select("doc_id", "text", "__phl_toxic").collect()
-    rows = sorted({(r[0], r[1], r[2]) for r in rows})
+    rows = few_texts(documents.where("text is not null").join(F.broadcast(ids), F.col("doc_id") == F.col("__phl_id")).select("doc_id", F.col("text").cast("string").alias("text"), "__phl_toxic"), toxic + clean)
     return train([r[1] for r in rows], [r[2] for r in rows])
 
 
@@ -350,6 +359,13 @@ def toxicity(docs: DataFrame, network: Network) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, network: Network) -> DataFrame:
-    """``docs`` (all its columns) without the documents that the network calls toxic."""
-    rejected = stage(toxicity(docs, network).where("predicted = 1 and doc_id is not null").select("doc_id"))
-    return without_ids(docs, rejected, rejected.count())
+    """``docs`` (all its columns) without the rows whose text the network calls toxic, whatever their doc_id."""
+    shipped = docs.sparkSession.sparkContext.broadcast((network.words, network.p))
+    held: list[Scorer] = []  # of one task
+
+    def clean(texts: pa.Array) -> np.ndarray:
+        if not held:
+            held.append(Scorer(Network(*shipped.value)))
+        return np.concatenate([held[0].scores(texts[a:z].to_pylist()) < 0.5 for a, z in slices_of(texts, 1 << 19)] + [np.zeros(0, bool)])
+
+    return rows_where(docs, clean, held.clear)

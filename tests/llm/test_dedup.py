@@ -55,6 +55,61 @@ def test_exact_drop_keeps_columns_and_first_copies(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(x[0] for x in brute_exact(rows) if x[3])
 
 
+def spelled(rows):
+    return sorted(rows, key=str)
+
+
+#: One doc_id over different texts, texts without a doc_id, and rows that repeat.
+AWKWARD = [(1, "same text"), (5, "same text"), (5, "a text found nowhere else"), (None, "same text"), (None, "alone without an id"), (None, "two  of these"), (None, "two of these"), (7, "twice the same row"), (7, "twice the same row"), (None, None), (None, ""), (9, None)]
+
+
+def test_exact_drop_decides_by_row(spark, monkeypatch):
+    from phredlens.llm import tables
+
+    want = [(1, "same text"), (5, "a text found nowhere else"), (None, "alone without an id"), (7, "twice the same row"), (9, None)]
+    for most in (tables.MAX_FILTER_BITS, 6):
+        monkeypatch.setattr(tables, "MAX_FILTER_BITS", most)  # 6: no filter holds the keys
+        for parts in (1, 5):
+            got = [(r.doc_id, r.text) for r in exact_dedup.drop_exact_duplicates(frame(spark, AWKWARD).repartition(parts)).collect()]
+            assert spelled([r for r in got if r[1] not in ("two  of these", "two of these")]) == spelled(want)
+            assert len([r for r in got if r[1] in ("two  of these", "two of these")]) == 1 and len(got) == 6
+
+
+def test_near_drop_decides_by_row(spark):
+    got = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(frame(spark, AWKWARD)).collect()]
+    fixed = [(1, "same text"), (5, "a text found nowhere else"), (None, "alone without an id"), (7, "twice the same row"), (9, None)]
+    assert len(got) == 6 and set(fixed) <= set(got) and {t for _, t in got} - {t for _, t in fixed} <= {"two  of these", "two of these"}
+
+
+def test_drops_keep_rows_of_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, True, 9), (2, "a b", 6, False, 9), (3, "c", 7, True, 9)], "doc_id long, text string, n long, once boolean, fp long")
+    for drop in (exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates):
+        got = drop(docs)
+        assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(1, "a b", 5, True, 9), (3, "c", 7, True, 9)]
+
+
+def test_bitmaps_are_marked_in_place():
+    """The work and the memory of a batch follow its rows, not the bitmap."""
+    import tracemalloc
+
+    from phredlens.llm import tables
+
+    bits = 1 << 28
+    rng = np.random.default_rng(1)
+    once, again = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+    halves = [rng.integers(0, 1 << 63, 10_000).astype(np.uint64) for _ in range(2)]
+    tracemalloc.start()
+    tables.mark(once, again, tables._positions(*halves, bits))
+    tables.mark(once, again, tables._positions(*(h[:500] for h in halves), bits))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+    assert tables.in_bloom(once, *halves).all()
+    second = tables.in_bloom(again, *halves)
+    assert second[:500].all() and second[500:].mean() < 0.01
+    assert not len(tables.in_bloom(once, *(h[:0] for h in halves)))
+
+
 def brute_print(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
@@ -139,6 +194,18 @@ def test_hot_and_cold_groups_give_the_same_rows(spark, monkeypatch, heavy):
     assert sorted(map(tuple, exact_dedup.exact_duplicates(frame(spark, rows)).collect())) == brute_exact(rows)
 
 
+def test_components_of_a_path_in_few_rounds(spark, monkeypatch):
+    from phredlens.llm import components
+
+    rounds, own = [], components.stage
+    monkeypatch.setattr(components, "stage", lambda df: rounds.append(1) or own(df))
+    path = [0, *range(1024, 0, -1)]
+    got = connected(spark.createDataFrame(list(zip(path, path[1:], strict=False)), "a long, b long")).collect()
+    assert {r.node for r in got} == set(path) and {r.label for r in got} == {0}
+    assert len(rounds) <= 15
+    assert connected(spark.createDataFrame([(None, 1), (4, 4), (4, 4)], "a long, b long")).collect() == [(4, 4)]
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     links = [(k, k + 1) for k in range(0, 150)] + [(1000, 1000 + k) for k in range(1, 60)] + [(5000, 5001)]
     got = {r.node: r.label for r in connected(spark.createDataFrame([(b, a) for a, b in links], "a long, b long")).collect()}

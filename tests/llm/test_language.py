@@ -3,6 +3,7 @@
 import itertools
 import json
 import math
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -76,3 +77,13 @@ def test_edge_cases(spark):
     assert lid.languages(docs.limit(0), PATH).count() == 0
     nothing = lid.languages(docs.withColumn("lang", docs.lang.substr(9, 1)).where("false").unionByName(docs.selectExpr("doc_id", "text", "cast(null as string) lang", "score")), PATH)
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
+
+
+def test_long_words_teach_and_languages_have_no_cap(spark):
+    vocabulary = open(PATH, encoding="utf-8").read()
+    pieces = lid.Pieces(vocabulary)
+    names, probs = lid.fit(pieces, ["q" * 400 + "zq" * 90, "b" * 400], ["qq", "bb"])
+    model = lid.Identifier(vocabulary, names, probs)
+    assert model.predict(["zqzqzqqqq" * 30, "bbbbb"])[0] == ["qq", "bb"]
+    docs = spark.createDataFrame([(k, f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)} " * 30, f"l{k:03}") for k in range(700)], "doc_id long, text string, lang string")
+    assert len(lid.learn(docs, vocabulary)[0]) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(700))

@@ -98,3 +98,8 @@ def test_documents(spark, field):
         assert ",".join(kept) == spans
     assert sec.secrets(docs.limit(0), field).count() == 0
     assert sec.learn(docs.limit(0), 5).features
+
+
+def test_all_characters_of_a_word_count():
+    assert sec.shape("a" * 100 + "9") == "x9" and sec.shape("aB1-" * 3) == "xX9-~xX9-"
+    assert sec.variety("a" * 64 + "bcdefgh") > sec.variety("a" * 71)

@@ -97,6 +97,20 @@ def test_units_edge_cases(spark):
     assert sorted(got, key=str) == sorted([(None, 0, "line", 0, len(line), 10, 5, 0, 4), (7, 1, "line", 2, 2 + len(line), 10, 5, 0, 4)], key=str)
 
 
+def test_rows_are_cut_by_their_own_spans(spark):
+    line, other = "one two three four five six seven eight nine", "a row of its own that has nothing to do with it"
+    rows = [(1, line), (2, f"{line}\nand more"), (2, other), (None, f"x\n{line}"), (None, other[::-1]), (None, line), (None, None)]
+    got = sub.without_repeated_units(frame(spark, rows))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, line), (2, "and more"), (2, other), (None, "x\n"), (None, other[::-1]), (None, ""), (None, None)], key=str)
+
+
+def test_control_characters_part_nothing(spark):
+    line = "one two three four five six seven eight nine\x01ten. eleven\x02 twelve"
+    assert [(level, a, z, n) for _, level, a, z, n, _ in sub.line_units(line)] == [("line", 0, len(line), 11), ("sentence", 0, line.index(" eleven"), 9)]
+    got = sub.repeated_units(frame(spark, [(1, line), (2, line)])).collect()
+    assert [(r.doc_id, r.level, r.start, r.stop) for r in got] == [(2, "line", 0, len(line))]
+
+
 def planted(seed=3):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 5)))
@@ -164,6 +178,46 @@ def test_decontamination_edge_cases(spark):
     assert dec.drop_contaminated(docs, bench.limit(0)).count() == 6
 
 
+def test_rows_are_dropped_by_their_own_text(spark):
+    text = "a b c d e f g h i j k l"
+    rows = [(1, "x " + text), (1, "another text of the same id"), (None, text), (None, "clean"), (3, None), (3, None)]
+    for bench, block in (([(1, text)], 10), ([(1, text), (2, "m n o p q r s t u v w")], 10), ([(1, text), (2, None)], dec.BLOCK_CHARS)):
+        kept = dec.drop_contaminated(frame(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), block_chars=block)
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(rows[1:2] + rows[3:], key=str) and kept.columns == frame(spark, rows).columns
+
+
+def test_repeated_words_cost_bounded_hits(monkeypatch):
+    monkeypatch.setattr(dec, "_AT_ONCE", 1000)
+    seeds = dec.Seeds([(7, "x " * 300), (8, "y " * 20 + "x " * 9)])
+    import pyarrow as pa
+
+    got = sorted(dec.found_in(seeds, pa.array(["x " * 3000, None, "z " * 50 + "x " * 200, "y y y y y y y y y y y"]), 10, 0.8))
+    assert [(k, item, n, m) for k, item, _, n, m in got] == [(0, 0, 300, 300), (2, 0, 200, 200), (3, 1, 11, 11)]
+
+
+def test_tokens_are_parted_by_any_blank():
+    assert dec.tokens("Caf\u00e9\u00a0au\u3000lait\u2014\u00abd\u00e9j\u00e0\u00bb vu\u2026 O\u2019Neil") == [w.encode() for w in "caf\u00e9 au lait d\u00e9j\u00e0 vu o neil".split()]
+    assert dec.tokens("\u4e00\u4e8c\u3002\u30ab") == [c.encode() for c in "\u4e00\u4e8c\u30ab"]
+
+
+def test_overlaps_of_low_identity_are_found():
+    """Recall of planted passages whose tokens were changed here and there, down to four in five alike."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(4000)]
+    found = total = 0
+    for k in range(300):
+        item = rng.choices(words, k=50)
+        part = list(item)
+        for at in rng.sample(range(50), rng.randint(5, 9)):
+            part[at] = "changed"
+        text = " ".join(rng.choices(words, k=100) + part + rng.choices(words, k=100))
+        import pyarrow as pa
+
+        found += any(True for _ in dec.found_in(dec.Seeds([(k, " ".join(item))]), pa.array([text]), dec.MIN_MATCHES, dec.MIN_IDENTITY))
+        total += 1
+    assert found >= 0.99 * total
+
+
 def test_items_of_few_tokens_are_found_whole(spark):
     bench = spark.createDataFrame([(1, "Forty-two!"), (2, "xylem"), (3, "a b c d"), (4, "a b"), (5, "...")], "item_id long, text string")
     docs = frame(spark, [(1, "it is forty two, yes forty two"), (2, "a b c, a b c d"), (3, "forty xylems two a c b"), (4, "Xylem")])
