@@ -45,7 +45,7 @@ STRENGTH = 1.0
 #: Customers of a dish up to which its tables are drawn by a table of Stirling numbers; above, by integrals. Cells at once.
 EXACT, _CELLS = 512, 1_000_000
 #: Tokens of a bucket and of a chunk of documents, about; these bound the memory of a task.
-BUCKET_TOKENS, CHUNK_TOKENS, CHUNK_DOCS = 4_000_000, 1_500_000, 60_000
+BUCKET_TOKENS, CHUNK_TOKENS, CHUNK_DOCS = 2_000_000, 1_500_000, 60_000
 #: A word with 1 / SPREAD of all training tokens, or a quarter of a bucket's, is dealt out by pairs.
 SPREAD = 8192
 _REMEMBERED = 300_000
@@ -406,8 +406,14 @@ def gathered(blobs: list[tuple[int, bytes]]) -> tuple[bytes, bytes]:
     for w, c, (_, n_pairs, _, which, n_docs, doc, times) in zip(word_keys, context_keys, parts, strict=True):
         codes.append(np.repeat(np.searchsorted(words, w), n_pairs) << 32 | np.searchsorted(contexts, c)[which])
         customers.append(np.add.reduceat(times.astype(np.int64) * (doc & 1), np.cumsum(n_docs, dtype=np.int64) - n_docs))
-    pairs, pair_of = np.unique(np.concatenate(codes), return_inverse=True)
+    del word_keys, context_keys
+    code = np.concatenate(codes)
+    del codes
+    pairs = np.unique(code)
+    pair_of = np.searchsorted(pairs, code).astype(np.int32)
+    del code
     total = np.bincount(pair_of, np.concatenate(customers), len(pairs)).astype(np.int64)
+    del customers
     places, done = [], 0
     for (chunk, _), (*_, n_docs, doc, times) in zip(blobs, parts, strict=True):
         places.append((chunk, small(pair_of[done : done + len(n_docs)]), n_docs, doc, times))
@@ -683,6 +689,9 @@ def token_table(docs: DataFrame, heads: np.ndarray, buckets: int) -> DataFrame:
         blobs = sorted((c, blob) for b in batches for c, blob in zip(b.column("chunk").to_pylist(), b.column("blob").to_pylist(), strict=True))
         pairs, places = (None, blobs[0][1]) if number < 0 else gathered(blobs)
         yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([pairs], pa.binary()), pa.array([places], pa.binary())], ["bucket", "pairs", "places"])
+        if number >= 0:
+            del blobs, pairs, places
+            release_memory()
 
     return docs.mapInArrow(run, "bucket long, chunk long, blob binary").groupBy("bucket").applyInArrow(gather, "bucket long, pairs binary, places binary")
 
