@@ -62,10 +62,14 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def word_key(word: bytes) -> int:
-    """Words, and contexts, are told apart by 64-bit hashes."""
+    """Words are told apart by 64-bit hashes, contexts by the upper 48 bits of theirs (``context_key``)."""
     return xxhash.xxh64_intdigest(word)
 
 
+def context_key(words: np.ndarray) -> np.ndarray:
+    return words >> np.uint64(16)
+
+
 def packed(*arrays) -> bytes:
     return zstandard.compress(pickle.dumps(arrays, 5), 1)
 
@@ -383,7 +387,7 @@ def chunk_blobs(key: np.ndarray, words: np.ndarray, contexts: np.ndarray, doc: n
     pair = np.flatnonzero(new_pair[entry])
     n_docs = np.diff(np.append(pair, len(entry)))
     word, context = word[entry][pair], context[entry][pair]
-    bucket = bucket_of(keys[word], keys[context], np.isin(keys, heads)[word], buckets)
+    bucket = bucket_of(keys[word], context_key(keys[context]), np.isin(keys, heads)[word], buckets)
     by = np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")
     word, context, bucket, sizes = word[by], context[by], bucket[by], n_docs[by]
     ends = np.cumsum(sizes)
@@ -394,7 +398,7 @@ def chunk_blobs(key: np.ndarray, words: np.ndarray, contexts: np.ndarray, doc: n
         e = slice(ends[a] - sizes[a], ends[z - 1])
         first = np.flatnonzero(np.append(True, word[a + 1 : z] != word[a : z - 1]))
         own, which = np.unique(context[a:z], return_inverse=True)
-        yield int(bucket[a]), packed(steps(keys[word[a:z][first]]), small(np.diff(np.append(first, z - a))), steps(keys[own]), small(which), small(sizes[a:z]), small(doc[e]), small(times[e]))
+        yield int(bucket[a]), packed(steps(keys[word[a:z][first]]), small(np.diff(np.append(first, z - a))), steps(context_key(keys[own])), small(which), small(sizes[a:z]), small(doc[e]), small(times[e]))
 
 
 def gathered(blobs: list[tuple[int, bytes]]) -> tuple[bytes, bytes]:
@@ -719,7 +723,10 @@ def _meeting(kept: DataFrame, mail: DataFrame, answer, schema: str = _LETTERS) -
         by: dict[int, list] = {}
         for kind, source, blob in zip(*(right.column(c).to_pylist() for c in ("kind", "source", "blob")), strict=True):
             by.setdefault(kind, []).append((source, blob))
-        return pa.Table.from_batches([answer(row["bucket"], row, by)])
+        out = pa.Table.from_batches([answer(row["bucket"], row, by)])
+        del row, by, left, right
+        release_memory()
+        return out
 
     return kept.groupBy("bucket").cogroup(mail.withColumnRenamed("target", "bucket").groupBy("bucket")).applyInArrow(run, schema)
 
@@ -730,6 +737,8 @@ def _at_owners(rows: DataFrame, answer) -> DataFrame:
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("sweep", "source", "blob")), strict=True)]
         yield letters(list(answer(key[0].as_py(), sent)))
+        del sent
+        release_memory()
 
     return rows.groupBy("target").applyInArrow(run, _LETTERS)
 
@@ -763,6 +772,7 @@ def language_model_scores(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int =
         for b in batches:
             for number, pairs in zip(b.column("bucket").to_pylist(), b.column("pairs").to_pylist(), strict=True):
                 yield letters(list(opened(number, Pairs(pairs, buckets), shipped.value)))
+        release_memory()
 
     said = stage(listed.mapInArrow(open_, _LETTERS))
     states = {0: State(heads, *added(said, len(heads)), None, 0)}
@@ -825,6 +835,8 @@ def language_model_scores(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int =
             known[at] += k
         columns = [pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.bool_()), pa.array([x[2] for x in ids], pa.int64()), pa.array(known), pa.array(np.full(len(ids), train_tokens, np.int64)), pa.array(-base / _FINE), pa.array(-score / _FINE)]
         yield pa.RecordBatch.from_arrays(columns, names)
+        del blobs, ids, columns
+        release_memory()
 
     of_chunks = _meeting(static.rows, mail, score, "chunk long, docs boolean, blob binary").groupBy("chunk")
     rows = of_chunks.applyInArrow(collect, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

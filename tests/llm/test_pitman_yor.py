@@ -81,8 +81,8 @@ def brute_scores(rows, sweeps=py.SWEEPS, burn_in=py.BURN_IN):
     for k in range(1, sweeps + 1):
         parent = lambda: dict(zip(kinds, (np.maximum(0, cw - d0 * tw) + (1 + d0 * tw.sum()) * 0.5 / v) / (1 + cw.sum()), strict=True))  # noqa: B023, E731
         p, tables = parent(), per_context(t)
-        size = dict(zip(contexts, d * py.Draws(keys(contexts), k).gamma(1 / d + np.array([tables[u] for u in contexts])), strict=True))
-        dish_keys = py.pair_key(keys([u for u, _ in dishes]), keys([w for _, w in dishes]))
+        size = dict(zip(contexts, d * py.Draws(py.context_key(keys(contexts)), k).gamma(1 / d + np.array([tables[u] for u in contexts])), strict=True))
+        dish_keys = py.pair_key(py.context_key(keys([u for u, _ in dishes])), keys([w for _, w in dishes]))
         t = py.drawn_tables(c, np.array([size[u] * p[w] for u, w in dishes]), d, py.Draws(dish_keys, k)).astype(int)
         cw = seats(t)
         tw = py.drawn_tables(cw, np.full(v, d0 * size0 * 0.5 / v), d0, py.Draws(keys(kinds), k)).astype(int)
