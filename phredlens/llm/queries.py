@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from phredlens.llm import language, secrets
 from phredlens.llm.bpe import round_trip
+from phredlens.llm.components import connected
 from phredlens.llm.decontaminate import overlaps
 from phredlens.llm.exact_dedup import exact_duplicates
 from phredlens.llm.licenses import license_scan
 from phredlens.llm.pitman_yor import language_model_scores
-from phredlens.llm.simhash import near_duplicates
+from phredlens.llm.simhash import fingerprint_links, near_duplicates
 from phredlens.llm.substring_dedup import repeated_units
 from phredlens.llm.tables import table
 from phredlens.llm.toxicity import learn, toxicity
@@ -61,6 +63,31 @@ def op10_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def lm_base_scores(spark, sf_dir):
+    """The columns of op1 that SQL can express."""
+    return op1_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+def license_base(spark, sf_dir):
+    """The columns of op4 that SQL can express."""
+    return op4_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def secret_counts(spark, sf_dir):
+    """The columns of op5 that SQL can express."""
+    return op5_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def fingerprint_components(spark, sf_dir):
+    """op10 from given fingerprints on, which parts stand for: families of seven, each a few bits from the next."""
+    family = F.floor(F.col("p_partkey") / 7)
+    base = (family * 2654435761) % 4294967291 * 65536 + (family * 40503 + 12345) % 65521
+    flip = lambda n: F.expr(f"shiftleft(1L, cast(p_partkey % 7 * {n} % 40 as int))")
+    prints = table(spark, sf_dir, "part").select(base.cast("long").bitwiseXOR(flip(5)).bitwiseXOR(flip(11)).alias("fp")).distinct()
+    labels = connected(fingerprint_links(prints)).select(F.col("node").alias("fp"), "label")
+    return prints.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("component"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_exact_dedup": op2_exact_dedup,
@@ -72,8 +99,16 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
+    "lm_base_scores": lm_base_scores,
+    "license_base": license_base,
+    "secret_counts": secret_counts,
+    "fingerprint_components": fingerprint_components,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CRC-32 of a number's digits, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
 ORACLES = {
     "op2_exact_dedup": r"""
         WITH d AS (
@@ -85,17 +120,18 @@ ORACLES = {
     """,
     "op6_substring_dedup": r"""
         WITH marked AS (
-            SELECT doc_id, regexp_replace(text, '([.!?])[ \t]', '\1' || chr(1), 'g') AS text FROM documents
+            -- chr(1) marks the end of a sentence; one that stands in a text, and chr(2), are written as two characters
+            SELECT doc_id, regexp_replace(replace(replace(text, chr(2), chr(2) || 'b'), chr(1), chr(2) || 'a'), '([.!?])[ \t]', '\1' || chr(1), 'g') AS text FROM documents
         ), lines AS (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS piece, unnest(range(len(string_split(text, chr(10))))) AS line FROM marked
         ), placed AS (
-            SELECT doc_id, line, piece, coalesce(sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM lines
+            SELECT doc_id, line, piece, coalesce(sum(length(replace(replace(piece, chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2))) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM lines
         ), parts AS (
             SELECT doc_id, line, start AS line_start, unnest(string_split(piece, chr(1))) AS piece, unnest(range(len(string_split(piece, chr(1))))) AS part FROM placed WHERE contains(piece, chr(1))
         ), both_levels AS (
-            SELECT doc_id, line, 'line' AS level, start, length(piece) AS size, replace(piece, chr(1), ' ') AS piece FROM placed
+            SELECT doc_id, line, 'line' AS level, start, length(replace(replace(piece, chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2))) AS size, replace(replace(replace(piece, chr(1), ' '), chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2)) AS piece FROM placed
             UNION ALL
-            SELECT doc_id, line, 'sentence', line_start + coalesce(sum(length(piece) + 1) OVER (PARTITION BY doc_id, line ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), length(piece), piece FROM parts
+            SELECT doc_id, line, 'sentence', line_start + coalesce(sum(length(replace(replace(piece, chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2))) + 1) OVER (PARTITION BY doc_id, line ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), length(replace(replace(piece, chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2))), replace(replace(piece, chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2)) FROM parts
         ), normal AS (
             SELECT doc_id, line, level, start, size, trim(regexp_replace(lower(piece), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM both_levels
         ), units AS (
@@ -107,4 +143,37 @@ ORACLES = {
         SELECT doc_id, line, level, CAST(start AS BIGINT) AS start, CAST(start + size AS BIGINT) AS stop, n_words, keep_doc_id, CAST(keep_start AS BIGINT) AS keep_start, n_copies
         FROM moved m WHERE level = 'line' OR NOT EXISTS (SELECT 1 FROM moved l WHERE l.level = 'line' AND l.doc_id = m.doc_id AND l.line = m.line)
     """,
+    "lm_base_scores": rf"""
+        WITH d AS (
+            SELECT doc_id, {_CRC} % 7 = 2 AS held_out, list_append(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), chr(10)) AS words FROM documents
+        ), t AS (SELECT doc_id, held_out, unnest(words) AS word FROM d
+        ), c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY word
+        ), n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c)
+        SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 3) AS base_score
+        FROM t LEFT JOIN c USING (word), n GROUP BY doc_id, held_out
+    """,
+    "license_base": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), x AS (SELECT doc_id, i, w[i + 1] AS a, w[i + 2] AS b, w[i + 3] AS c FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d)
+        ), hits AS (
+            SELECT doc_id, i, a AS label FROM x WHERE a IN ('mit', 'apache') AND b = 'license'
+            UNION ALL SELECT doc_id, i, 'gpl' FROM x WHERE a = 'general' AND b = 'public' AND c = 'license'
+        )
+        SELECT doc_id, len(w) AS n_words, count(i) AS n_base, min(i) AS first_word, max(i) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+        FROM d LEFT JOIN hits USING (doc_id) GROUP BY doc_id, w
+    """,
+    "secret_counts": r"""
+        SELECT doc_id,
+            len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([a-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS n_assign,
+            len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access,
+            len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex
+        FROM documents
+    """,
+    "fingerprint_components": """
+        WITH RECURSIVE k AS (SELECT p_partkey AS k, p_partkey // 7 AS f FROM part
+        ), p AS (SELECT DISTINCT xor(xor((f * 2654435761) % 4294967291 * 65536 + (f * 40503 + 12345) % 65521, CAST(1 AS BIGINT) << CAST(k % 7 * 5 % 40 AS INT)), CAST(1 AS BIGINT) << CAST(k % 7 * 11 % 40 AS INT)) AS fp FROM k
+        ), near AS (SELECT a.fp AS a, b.fp AS b FROM p a JOIN p b ON bit_count(xor(a.fp, b.fp)) <= 4
+        ), reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b)
+        SELECT a AS fp, min(b) AS component FROM reach GROUP BY a
+    """,
 }

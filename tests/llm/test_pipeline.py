@@ -4,6 +4,7 @@ import hashlib
 import re
 import struct
 
+import duckdb
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
@@ -12,6 +13,7 @@ import corpus_pipeline
 from phredlens.llm import decontaminate as dec
 from phredlens.llm import queries
 from phredlens.llm import toxicity as tox
+from phredlens.llm.substring_dedup import repeated_units
 from phredlens.llm.tables import table
 from tests.llm.test_dedup import brute_components, brute_exact, brute_print
 
@@ -78,7 +80,30 @@ def test_run_gives_the_last_stage(spark, sf_dir, stages):
     assert got == stages[-1][1]
 
 
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_queries_equal_their_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "part"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, sf_dir), con.sql(queries.ORACLES[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    at = [want.columns.index(c) for c in columns]
+    assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=str) == sorted((tuple(r[k] for k in at) for r in want.fetchall()), key=str)
+
+
+def test_sql_of_units_with_control_characters(spark):
+    line = "one two three\x01four five. six seven\x02a eight nine ten"
+    rows = [(1, f"{line}\nx"), (2, line), (3, f"a {line}")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = repeated_units(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    want = con.sql(queries.ORACLES["op6_substring_dedup"].replace("n_words >= 8", "n_words >= 5"))
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall()) and got.count() == 2
+
+
 def test_registered_queries():
-    assert [re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES] == [str(k) for k in range(1, 11)]
+    assert [m[1] for n in queries.QUERIES if (m := re.match(r"op(\d+)_", n))] == [str(k) for k in range(1, 11)]
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity" and len(corpus_pipeline.STAGES) == 5
