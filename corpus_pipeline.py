@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from phredlens.llm.bpe import round_trip
 from phredlens.llm.decontaminate import drop_contaminated
 from phredlens.llm.exact_dedup import drop_exact_duplicates
 from phredlens.llm.queries import BPE_VOCABULARY
 from phredlens.llm.simhash import drop_near_duplicates
-from phredlens.llm.tables import shared_dir, table
+from phredlens.llm.tables import stage, table, unstage
 from phredlens.llm.toxicity import drop_toxic, learn
 
 
@@ -51,10 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages over ``documents``; every intermediate result is a Parquet table in the shared folder."""
+    """All stages over ``documents``. Every intermediate result is a Parquet table in the shared folder, deleted as soon
+    as the next one is written."""
     docs = table(spark, sf_dir, "documents")
-    root = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
-        docs = spark.read.parquet(f"{root}/{k}")
+    for _, step in STAGES[:-1]:
+        before, docs = docs, stage(step(spark, docs, sf_dir))
+        unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)
