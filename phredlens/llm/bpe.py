@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phredlens.llm.tables import release_memory, slices_of, text_rows
+from phredlens.llm.tables import begin, keep, release_memory, slices_of, text_rows
 
 #: How byte-level vocabularies split text into pieces before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -163,7 +163,9 @@ _LOADED: dict[str, ByteBPE] = {}
 
 
 def _loaded(vocabulary) -> ByteBPE:
-    """One set of tables per Python worker and vocabulary."""
+    """One set of tables per Python worker and vocabulary; they go when another operator's task begins there."""
+    begin("bpe")
+    keep("bpe", _LOADED.clear)
     key = hashlib.sha256(vocabulary.value.encode()).hexdigest()
     if key not in _LOADED:
         _LOADED[key] = ByteBPE(vocabulary.value)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phredlens.llm.tables import KEYS, bloom, filter_bits, in_bloom, release_memory, row_keys, rows_where, slices_of, stage, text_rows, without_rows
+from phredlens.llm.tables import KEYS, begin, bloom, filter_bits, in_bloom, release_memory, row_keys, rows_where, slices_of, stage, text_rows, without_rows
 
 #: Masks of five selected tokens each; together they survive one substitution in about every fifth token.
 MASKS = ("11111", "1101011", "1011101", "110010011", "1010110001", "11001000101")
@@ -196,6 +196,7 @@ def _overlaps(source: DataFrame, items, min_matches: int, min_identity: float, c
     kinds = [pa.int64()] * 5 + [pa.float64()] + [pa.int64()] * len(carried)
 
     def run(batches):
+        begin()
         seeds = items.value
         for b in batches:
             own = [b.column(c).to_pylist() for c in ("doc_id", *carried)]

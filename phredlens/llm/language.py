@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from phredlens.llm.bpe import byte_alphabet
 from phredlens.llm.decontaminate import tokens
-from phredlens.llm.tables import few_texts, release_memory, slices_of, text_rows
+from phredlens.llm.tables import begin, few_texts, release_memory, slices_of, text_rows
 
 #: Documents of each language that learning takes, about, and documents of all; languages, more than the world has.
 SAMPLE_DOCS, SAMPLE_ALL, MAX_LANGUAGES = 500, 20_000, 8192
@@ -242,6 +242,7 @@ def languages(docs: DataFrame, vocabulary_path: str, sample: int = SAMPLE_DOCS)
     shipped = docs.sparkSession.sparkContext.broadcast((vocabulary, *learn(docs, vocabulary, sample)))
 
     def run(batches):
+        begin()
         model = Identifier(*shipped.value)
         for b in batches:
             texts, langs, scores = b.column("text"), [], []

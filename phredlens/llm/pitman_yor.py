@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phredlens.llm.tables import release_memory, stage, text_rows, unstage
+from phredlens.llm.tables import begin, release_memory, stage, text_rows, unstage
 from phredlens.sources.staging import fresh_path
 
 SWEEPS, BURN_IN = 3, 1
@@ -654,6 +654,7 @@ def token_table(docs: DataFrame, heads: np.ndarray, buckets: int) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(heads)
 
     def run(batches):
+        begin()
         table = _Words()
         chunk, part = 0, TaskContext.get().partitionId()
         held: list[np.ndarray] = []

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phredlens.llm.tables import few_texts, release_memory, slices_of, text_rows
+from phredlens.llm.tables import begin, few_texts, release_memory, slices_of, text_rows
 
 OUT, BEGIN, INSIDE = 0, 1, 2
 #: Base patterns by kind: pattern, group whose length counts, least length. Kinds are listed in their output order.
@@ -385,6 +385,7 @@ def secrets(docs: DataFrame, field: Field) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches):
+        begin()
         features, p = shipped.value
         own = Field(features)
         own.p = p

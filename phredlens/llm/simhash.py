@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phredlens.llm.components import connected
-from phredlens.llm.tables import KEYS, attach_groups, release_memory, row_keys, stage, text_rows, unstage, without_rows
+from phredlens.llm.tables import KEYS, attach_groups, begin, release_memory, row_keys, stage, text_rows, unstage, without_rows
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -50,6 +50,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): the 64-bit fingerprint of every whole text as a signed long. The two halves of the row's key follow."""
 
     def run(batches):
+        begin()
         for b in batches:
             prints = np.fromiter((fingerprint(x.as_py()) for x in b.column("text")), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints.view(np.int64)), *map(b.column, KEYS)], ["doc_id", "fp", *KEYS])

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phredlens.llm.tables import KEYS, _left_by_size, attach_groups, maybe_in, release_memory, row_keys, stage, text_rows
+from phredlens.llm.tables import KEYS, _left_by_size, attach_groups, begin, maybe_in, release_memory, row_keys, stage, text_rows
 
 #: Shorter units are none, unless ``line_words`` asks for shorter lines.
 MIN_WORDS = 8
@@ -55,6 +55,7 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int | None =
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
+        begin()
         number = TaskContext.get().partitionId() << 40
         for b in batches:
             rows: list[tuple] = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,8 @@ def text_rows(docs: DataFrame, *more) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more)
 
 
-def rows_where(docs: DataFrame, keep, done=None) -> DataFrame:
-    """The rows of ``docs`` (all its columns) for whose texts ``keep`` (an Arrow array to booleans) says so.
+def rows_where(docs: DataFrame, wanted, done=None) -> DataFrame:
+    """The rows of ``docs`` (all its columns) for whose texts ``wanted`` (an Arrow array to booleans) says so.
 
     Rows are decided where they stand, in batches bounded as in ``text_rows``: no key, no shuffle, no second pass.
     """
@@ -54,8 +54,9 @@ def rows_where(docs: DataFrame, keep, done=None) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        begin()
         for b in batches:
-            yield b.filter(pa.array(keep(pc.cast(b.column(at), pa.string())), pa.bool_()))
+            yield b.filter(pa.array(wanted(pc.cast(b.column(at), pa.string())), pa.bool_()))
         if done:
             done()
         release_memory()
@@ -73,6 +74,24 @@ def release_memory() -> None:
         pass  # another C library
 
 
+#: What operators keep in a Python worker between tasks, by operator: how to drop it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep(operator: str, drop: Callable[[], None]) -> None:
+    """Tables stay in this Python worker until another operator begins (see ``begin``)."""
+    _KEPT[operator] = drop
+
+
+def begin(operator: str = "") -> None:
+    """A task of ``operator`` begins: what others have kept in this Python worker goes."""
+    others = [k for k in _KEPT if k != operator]
+    for k in others:
+        _KEPT.pop(k)()
+    if others:
+        release_memory()
+
+
 def slices_of(texts: pa.Array, max_chars: int = 1 << 21):
     """(start, end) row ranges of a batch of about ``max_chars`` bytes each; a longer text is a range of its own."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phredlens.llm.decontaminate import tokens
-from phredlens.llm.tables import few_texts, release_memory, rows_where, slices_of, text_rows
+from phredlens.llm.tables import begin, few_texts, release_memory, rows_where, slices_of, text_rows
 
 WINDOW, STRIDE = 32, 24
 DIM, HIDDEN, ATTENTION = 8, 8, 8
@@ -339,6 +339,7 @@ def toxicity(docs: DataFrame, network: Network) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast((network.words, network.p))
 
     def run(batches):
+        begin()
         scorer = Scorer(Network(*shipped.value))
         for b in batches:
             texts = b.column("text")

@@ -63,3 +63,15 @@ def test_memory_of_pieces_stays_bounded(both, monkeypatch):
     text = " ".join(f"w{i}x" for i in range(200))
     assert list(memoryview(ours.encode(text)).cast("I")) == library.encode(text, add_special_tokens=False).ids
     assert len(ours.known) <= 11
+
+
+def test_tables_go_when_another_operator_begins():
+    from types import SimpleNamespace
+
+    from phredlens.llm import bpe, tables
+
+    vocabulary = SimpleNamespace(value=open(PATH, encoding="utf-8").read())
+    one = bpe._loaded(vocabulary)
+    assert bpe._loaded(vocabulary) is one and bpe._LOADED
+    tables.begin("another")
+    assert not bpe._LOADED and bpe._loaded(vocabulary) is not one
