@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from phredlens.functions.sequence import BASES, EXCLUDED, READ1, REVERSE, flag_has, phred
 from phredlens.schemas import MISMATCH_COLS
+from phredlens.sources.staging import stage, unstage
 
 #: Bases of a reference tile; an alignment block is cut where tiles meet. A tile is copied with every block that meets
 #: it, so it is small.
@@ -24,28 +28,50 @@ def usable_reads(reads: DataFrame, min_mapq: int = 1) -> DataFrame:
     return reads.where((F.col("flag").bitwiseAND(F.lit(EXCLUDED)) == 0) & (F.col("mapq") >= min_mapq) & F.col("seq").isNotNull() & F.col("qual").isNotNull())
 
 
+#: Operations that are walked together: blocks are added to a short list, and the lists to a list of lists, so a CIGAR of
+#: very many operations takes time by their number, not by its square.
+_TOGETHER = 256
+
+
+def _operations(cigar: Column) -> Column:
+    return F.regexp_extract_all(cigar, F.lit("[0-9]+[MIDNSHPX=]"), F.lit(0))
+
+
+def _count(operation: Column) -> Column:
+    return F.substr(operation, F.lit(1), F.length(operation) - 1).cast("int")
+
+
+def reference_end(cigar: Column, start: Column) -> Column:
+    """Where a read ends on the reference (0-based, exclusive)."""
+    moved = lambda s, x: s + F.when(F.right(x, F.lit(1)).isin("M", "D", "N", "=", "X"), _count(x)).otherwise(0)
+    return F.aggregate(_operations(cigar), start.cast("int"), moved)
+
+
 def _walk(cigar: Column, start: Column) -> Column:
     """Aligned blocks (query offset q, reference offset r, offset m in the MD sequence, size n) of a CIGAR.
 
     M, = and X advance both sides; I and S the query; D and N the reference, D the MD sequence too; others nothing.
     """
-    ops = F.regexp_extract_all(cigar, F.lit("[0-9]+[MIDNSHPX=]"), F.lit(0))
-    none = F.array().cast("array<struct<q:int,r:int,m:int,n:int>>")
-    zero = F.struct(F.lit(0).alias("q"), start.cast("int").alias("r"), F.lit(0).alias("m"), none.alias("blocks"))
+    kind = "array<struct<q:int,r:int,m:int,n:int>>"
+    at = lambda q, r, m, blocks: F.struct(q.alias("q"), r.alias("r"), m.alias("m"), blocks.alias("blocks"))
 
     def step(s, x):
-        n, op = F.substr(x, F.lit(1), F.length(x) - 1).cast("int"), F.right(x, F.lit(1))
+        n, op = _count(x), F.right(x, F.lit(1))
         both = op.isin("M", "=", "X")
         moves = lambda *ops: F.when(both | op.isin(*ops), n).otherwise(0)
         block = F.array(F.struct(s["q"].alias("q"), s["r"].alias("r"), s["m"].alias("m"), n.alias("n")))
-        return F.struct(
-            (s["q"] + moves("I", "S")).alias("q"),
-            (s["r"] + moves("D", "N")).alias("r"),
-            (s["m"] + moves("D")).alias("m"),
-            F.when(both & (n > 0), F.concat(s["blocks"], block)).otherwise(s["blocks"]).alias("blocks"),
-        )
+        return at(s["q"] + moves("I", "S"), s["r"] + moves("D", "N"), s["m"] + moves("D"), F.when(both & (n > 0), F.concat(s["blocks"], block)).otherwise(s["blocks"]))
+
+    def walked(ops):
+        def some(s, k):
+            few = F.aggregate(F.slice(ops, k * _TOGETHER + 1, _TOGETHER), at(s["q"], s["r"], s["m"], F.array().cast(kind)), step)
+            return F.element_at(F.transform(F.array(few), lambda f: at(f["q"], f["r"], f["m"], F.concat(s["blocks"], F.array(f["blocks"])))), 1)
+
+        parts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(ops), F.lit(1)) - 1) / _TOGETHER).cast("int"))
+        zero = at(F.lit(0), start.cast("int"), F.lit(0), F.array().cast(f"array<{kind}>"))
+        return F.aggregate(parts, zero, some, lambda s: F.struct(F.flatten(s["blocks"]).alias("blocks"), s["r"].alias("stop")))
 
-    return F.aggregate(ops, zero, step, lambda s: F.struct(s["blocks"].alias("blocks"), s["r"].alias("stop")))
+    return F.element_at(F.transform(F.array(_operations(cigar)), walked), 1)
 
 
 def with_blocks(reads: DataFrame) -> DataFrame:
@@ -64,15 +90,62 @@ def cigar_blocks(reads: DataFrame) -> DataFrame:
 
 
 def reference_tiles(reference: DataFrame, tile: int = TILE) -> DataFrame:
-    """(chrom, tile_id, ref_tile): contig sequences in upper case, cut into tiles.
+    """(chrom, tile_id, ref_tile): contig sequences in upper case, cut into tiles; tiles of that width stay what they are.
 
     Sequences and tiles are binary: a slice of bytes is found at once, while a slice of a string is walked to.
     """
+    if "ref_tile" in reference.columns:
+        return reference.select("chrom", "tile_id", "ref_tile")
     at = F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.octet_length("seq"), F.lit(1)) - 1) / tile).cast("int"))).alias("tile_id")
     tiles = reference.select("chrom", F.upper("seq").cast("binary").alias("seq"), at)
     return tiles.select("chrom", "tile_id", F.substr("seq", F.col("tile_id") * tile + 1, F.lit(tile)).alias("ref_tile"))
 
 
+def reference_length(reference: DataFrame) -> int:
+    return reference.agg(F.sum(F.octet_length("ref_tile" if "ref_tile" in reference.columns else "seq"))).first()[0] or 0
+
+
+def sites_by_tile(sites: DataFrame, tile: int = TILE) -> DataFrame:
+    """(chrom, tile_id, sites): 0-based places of variant sites (chrom, pos) inside each tile that has one."""
+    at = F.col("pos") - 1
+    placed = sites.where("pos > 0").select("chrom", F.floor(at / tile).cast("int").alias("tile_id"), (at % tile).cast("int").alias("at"))
+    return placed.groupBy("chrom", "tile_id").agg(F.collect_set("at").alias("sites"))
+
+
+@F.pandas_udf(BinaryType())
+def _lower_at(bases: pd.Series, sites: pd.Series, shift: pd.Series) -> pd.Series:
+    """Bases with the letters at ``sites`` (less ``shift``) in lower case."""
+    out = []
+    for letters, places, by in zip(bases, sites, shift, strict=True):
+        if letters is not None and places is not None:
+            held = np.frombuffer(letters, np.uint8).copy()
+            at = np.asarray(places, np.int64) - by
+            held[at[(at >= 0) & (at < len(held))]] |= 0x20
+            letters = held.tobytes()
+        out.append(letters)
+    return pd.Series(out, dtype=object)
+
+
+def _meet_tiles(pieces: DataFrame, tiles: DataFrame) -> DataFrame:
+    """``pieces`` left-joined with ``tiles`` by shuffle, a hot tile in several copies.
+
+    Pieces are counted by tile first. A tile with more than a quarter of a partition's share, of which there are at most
+    four times as many as partitions, gets a copy for each such part, and its pieces are dealt out over the copies."""
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = stage(pieces.groupBy("chrom", "tile_id").agg(F.count(F.lit(1)).alias("n")))
+    limit = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // (4 * parts))
+    hot = counts.where(F.col("n") > limit).select("chrom", "tile_id", F.ceil(F.col("n") / limit).cast("int").alias("__copies")).collect()
+    unstage(counts)
+    if not hot:
+        return pieces.join(tiles, ["chrom", "tile_id"], "left")
+    known = F.broadcast(pieces.sparkSession.createDataFrame(hot, "chrom string, tile_id int, __copies int"))
+    dealt = F.pmod(F.xxhash64(*(c for c in ("read_name", "flag", "ord", "q", "r") if c in pieces.columns)), F.coalesce("__copies", F.lit(1))).cast("int")
+    left = pieces.join(known, ["chrom", "tile_id"], "left").withColumn("__copy", dealt).drop("__copies")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("__copies", F.lit(1)) - 1)).alias("__copy")
+    right = tiles.join(known, ["chrom", "tile_id"], "left").select(*tiles.columns, copies)
+    return left.join(right, ["chrom", "tile_id", "__copy"], "left").drop("__copy")
+
+
 def _pieces(blocks: DataFrame, tile: int) -> DataFrame:
     """Blocks cut at tile borders: tile_id, q, r and n of each piece."""
     first, last = F.floor(F.col("r") / tile).cast("int"), F.floor((F.col("r") + F.col("n") - 1) / tile).cast("int")
@@ -82,25 +155,36 @@ def _pieces(blocks: DataFrame, tile: int) -> DataFrame:
     return cut.withColumns({"__begin": begin, "__stop": stop}).withColumns({"q": F.col("q") + F.col("__begin") - F.col("r"), "r": F.col("__begin"), "n": F.col("__stop") - F.col("__begin")}).drop("__begin", "__stop")
 
 
-def aligned_pieces(reads: DataFrame, reference: DataFrame | None = None, tile: int = TILE, broadcast_chars: int = BROADCAST_CHARS, reference_chars: int | None = None) -> DataFrame:
+def aligned_pieces(reads: DataFrame, reference: DataFrame | None = None, tile: int = TILE, broadcast_chars: int = BROADCAST_CHARS, reference_chars: int | None = None, sites: DataFrame | None = None) -> DataFrame:
     """Reads' aligned pieces with both sequences: the read's columns, q, r, n, ref_seq, read_seq, qual_seq.
 
-    With a reference (chrom, seq), pieces meet its tiles in an equi-join, by broadcast if the whole reference has at
-    most ``broadcast_chars`` characters; ``reference_chars`` says how many it has, else a job counts them. Without a
+    With a reference (chrom, seq; or its tiles), pieces meet its tiles in an equi-join, by broadcast if the whole reference
+    has at most ``broadcast_chars`` characters; ``reference_chars`` says how many it has, else a job counts them. Without a
     reference, the aligned reference is rebuilt from the MD string. A read that runs past its contig's end, a contig
-    that isn't there, or a missing MD string is an error.
+    that isn't there, or a missing MD string is an error. At variant ``sites`` (chrom, pos) the letters of ref_seq are in
+    lower case, elsewhere in upper case; the marks come with the tiles, so sites of any number cost no join of bases.
     """
     keep = [c for c in reads.columns if c not in ("seq", "qual", "md", "q", "r", "n", "m")]
+    marks = None if sites is None else sites_by_tile(sites, tile)
     if reference is None:
         rebuilt = with_blocks(reads).withColumn("__ref", md_reference(F.col("seq"), F.col("blocks"), F.col("md")).cast("binary"))
         rows = rebuilt.select(*keep, "seq", "qual", "__ref", F.inline("blocks"))
+        if marks is not None:
+            rows = rows.withColumn("m", F.col("m") - F.col("r"))
+            rows = _pieces(rows, tile).withColumn("m", F.col("m") + F.col("r"))
+            rows = rows.join(marks, ["chrom", "tile_id"], "left")
         ref, problem = F.upper(F.substr("__ref", F.col("m") + 1, F.col("n")).cast("string")).cast("binary"), "a read has neither a reference (FASTA) nor a usable MD tag"
+        if marks is not None:
+            rows = rows.withColumn("__part", ref).withColumn("__part", _lower_at("__part", "sites", F.col("r") - F.col("tile_id") * tile))
+            ref = F.col("__part")
     else:
         if reference_chars is None:
-            reference_chars = reference.agg(F.sum(F.octet_length("seq"))).first()[0] or 0
+            reference_chars = reference_length(reference)
         tiles = reference_tiles(reference, tile)
-        tiles = F.broadcast(tiles) if reference_chars <= broadcast_chars else tiles
-        rows = _pieces(cigar_blocks(reads), tile).join(tiles, ["chrom", "tile_id"], "left")
+        if marks is not None:
+            tiles = tiles.join(marks, ["chrom", "tile_id"], "left").select("chrom", "tile_id", _lower_at("ref_tile", "sites", F.lit(0)).alias("ref_tile"))
+        pieces = _pieces(cigar_blocks(reads), tile)
+        rows = pieces.join(F.broadcast(tiles), ["chrom", "tile_id"], "left") if reference_chars <= broadcast_chars else _meet_tiles(pieces, tiles)
         ref, problem = F.substr("ref_tile", F.col("r") - F.col("tile_id") * tile + 1, F.col("n")), "a read runs past the end of its contig, or the reference lacks it"
     checked = F.when(F.octet_length(ref) == F.col("n"), ref).otherwise(F.raise_error(F.lit(problem)).cast("binary"))
     part = lambda c: F.substr(F.col(c).cast("binary"), F.col("q") + 1, F.col("n")).cast("string")
@@ -133,7 +217,7 @@ def observed_bases(pieces: DataFrame) -> DataFrame:
     """One row per aligned base: ref_base, read_base, base_qual, ref_pos (1-based) and the piece's other columns."""
     keep = [c for c in pieces.columns if c not in ("q", "r", "n", "ref_seq", "read_seq", "qual_seq")]
     letters = lambda c: F.split(c, "")
-    zipped = F.arrays_zip(letters("ref_seq").alias("ref_base"), letters("read_seq").alias("read_base"), letters("qual_seq").alias("qual_char"), F.sequence(F.col("r") + 1, F.col("r") + F.col("n")).alias("ref_pos"))
+    zipped = F.arrays_zip(letters(F.upper("ref_seq")).alias("ref_base"), letters("read_seq").alias("read_base"), letters("qual_seq").alias("qual_char"), F.sequence(F.col("r") + 1, F.col("r") + F.col("n")).alias("ref_pos"))
     rows = pieces.select(*keep, F.inline(zipped))
     return rows.select(*keep, "ref_base", "read_base", phred("qual_char").alias("base_qual"), "ref_pos")
 
@@ -146,7 +230,7 @@ def mismatches_of(pieces: DataFrame, min_base_qual: int = 0) -> DataFrame:
     """
     byte = lambda c, i: F.substr(F.col(c).cast("binary"), i, F.lit(1)).cast("string")
     unlike = F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: byte("ref_seq", i) != byte("read_seq", i))
-    at = pieces.where(F.col("ref_seq") != F.col("read_seq")).withColumn("__at", F.explode(unlike))
+    at = pieces.withColumn("ref_seq", F.upper("ref_seq")).where(F.col("ref_seq") != F.col("read_seq")).withColumn("__at", F.explode(unlike))
     found = at.withColumns({"ref_base": byte("ref_seq", F.col("__at")), "read_base": byte("read_seq", F.col("__at")), "base_qual": phred(byte("qual_seq", F.col("__at"))), "ref_pos": F.col("r") + F.col("__at")})
     found = found.where(F.col("ref_base").isin(*BASES) & (F.col("base_qual") >= min_base_qual))
     found = found.withColumns({"mapping_qual": F.col("mapq"), "is_read1": flag_has("flag", READ1), "is_reverse": flag_has("flag", REVERSE)})
@@ -165,7 +249,7 @@ def reads_in_regions(reads: DataFrame, regions: DataFrame, bin_size: int = 16_38
     bin that both touch. Bases outside the region are kept.
     """
     over = lambda a, z: F.explode(F.sequence(F.floor(a / bin_size).cast("int"), F.floor((F.greatest(z, a + 1) - 1) / bin_size).cast("int")))
-    left = reads.withColumn("__end", _walk(F.col("cigar"), F.col("ref_start"))["stop"]).withColumn("__bin", over(F.col("ref_start"), F.col("__end")))
+    left = reads.withColumn("__end", reference_end(F.col("cigar"), F.col("ref_start"))).withColumn("__bin", over(F.col("ref_start"), F.col("__end")))
     right = regions.where("stop > start").select(F.col("region_ord").alias("__region"), F.col("chrom").alias("__chrom"), F.col("start").alias("__start"), F.col("stop").alias("__stop")).withColumn("__rbin", over(F.col("__start"), F.col("__stop")))
     hit = left.join(right, (F.col("chrom") == F.col("__chrom")) & (F.col("__bin") == F.col("__rbin")) & (F.col("ref_start") < F.col("__stop")) & (F.col("__end") > F.col("__start")))
     first = F.greatest(F.floor(F.col("ref_start") / bin_size), F.floor(F.col("__start") / bin_size))

@@ -16,21 +16,21 @@ from phredlens.operators.variants import off_sites
 PLOT_ERRORS = 30
 
 
-def calibration_counts(pieces: DataFrame, sites: DataFrame | None = None, min_base_qual: int = 0) -> DataFrame:
-    """(technology, base_qual, n_bases, n_errors) over aligned bases.
-
-    A base counts if its quality is enough, the reference has A, C, G or T, the read has not N, and no variant site
-    is there. One pass and one small shuffle: counts are combined before they move.
-    """
+def calibration_counts_by_base(pieces: DataFrame, sites: DataFrame | None = None, min_base_qual: int = 0) -> DataFrame:
+    """The rows of ``calibration_counts`` from one row a base, in DataFrame functions only; bases at ``sites`` go in an anti
+    join. For tables of bases that are filtered in other ways too."""
     bases = observed_bases(pieces.select("technology", "chrom", "q", "r", "n", "ref_seq", "read_seq", "qual_seq"))
     counted = bases.where((F.col("base_qual") >= min_base_qual) & F.col("ref_base").isin(*BASES) & (F.col("read_base") != "N"))
     return off_sites(counted, sites).groupBy("technology", "base_qual").agg(F.count(F.lit(1)).alias("n_bases"), F.count_if(F.col("read_base") != F.col("ref_base")).alias("n_errors"))
 
 
-def calibration_counts_arrow(pieces: DataFrame, min_base_qual: int = 0) -> DataFrame:
-    """``calibration_counts`` without sites as array counting in Arrow batches: the same rows.
+def calibration_counts(pieces: DataFrame, min_base_qual: int = 0) -> DataFrame:
+    """(technology, base_qual, n_bases, n_errors) over aligned bases.
 
-    The characters of a batch are counted where they lie in its buffers; a task holds a few counters."""
+    A base counts if its quality is enough, the reference has A, C, G or T, the read has not N, and no variant site
+    is there: ``aligned_pieces`` with sites has lower-case letters there. Array counting in Arrow batches: characters are
+    counted where they lie in a batch's buffers, a task holds a few counters, and a row per task, technology and quality
+    is shuffled."""
 
     def characters(column: pa.Array) -> np.ndarray:
         """All bytes of a string column without a null, straight from its buffers."""

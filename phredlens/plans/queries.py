@@ -13,6 +13,7 @@ from phredlens.operators import variants as var
 from phredlens.plans import fixture as fx
 from phredlens.schemas import MISMATCH_COLS
 from phredlens.simulate import haplotype_offsets
+from phredlens.sources.staging import stage
 
 
 def wide(df: DataFrame, places: int = 6) -> DataFrame:
@@ -29,8 +30,8 @@ def _found(spark, sf, **options):
     return al.mismatches(_reads(spark, sf), fx.reference(spark), **options)
 
 
-def _pieces(spark, sf):
-    return al.aligned_pieces(al.usable_reads(_reads(spark, sf)), fx.reference(spark))
+def _pieces(spark, sf, sites=None):
+    return al.aligned_pieces(al.usable_reads(_reads(spark, sf)), fx.reference(spark), sites=sites)
 
 
 def _keys(spark, sf, **options):
@@ -50,11 +51,12 @@ def _errors(spark, sf):
 
 
 def _counts(spark, sf):
-    return cal.calibration_counts(_pieces(spark, sf), var.variant_sites(_keys(spark, sf)))
+    return cal.calibration_counts(_pieces(spark, sf, var.variant_sites(_keys(spark, sf))))
 
 
 def _sides(spark, sf):
-    return fx.recalibrated(_found(spark, sf, min_mapq=1))
+    """Both sides come from the same mismatches, which are written once."""
+    return fx.recalibrated(stage(_found(spark, sf, min_mapq=1)))
 
 
 def _events(spark, sf):
@@ -86,7 +88,7 @@ QUERIES = {
     "quality_distribution": lambda s, d: wide(statistics.quality_distribution(statistics.error_histogram(_errors(s, d)))),
     "technology_comparison": lambda s, d: wide(statistics.compare_technologies(_errors(s, d), _asked(s))),
     "calibration_counts": lambda s, d: wide(_counts(s, d)),
-    "calibration_counts_no_sites": lambda s, d: wide(cal.calibration_counts_arrow(_pieces(s, d))),
+    "calibration_counts_no_sites": lambda s, d: wide(cal.calibration_counts(_pieces(s, d))),
     "calibration_rows": lambda s, d: wide(cal.calibration_rows(_counts(s, d))),
     "calibration_summary": lambda s, d: wide(cal.calibration_summary(_counts(s, d))),
     "calibration_plot_points": lambda s, d: wide(cal.calibration_plot_points(_counts(s, d), 4)),

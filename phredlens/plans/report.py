@@ -13,7 +13,7 @@ from phredlens.operators import alignments as al
 from phredlens.operators import calibration as cal
 from phredlens.operators import planning, recalibration, statistics
 from phredlens.operators import variants as var
-from phredlens.sources import bam, sinks, text
+from phredlens.sources import bam, fasta, sinks, text
 from phredlens.sources.staging import stage, unstage
 
 
@@ -41,6 +41,14 @@ def open_alignments(spark: SparkSession, path: str, label: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("technology", F.lit(label))
 
 
+def open_reference(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(reference, contigs) of a FASTA file: as tiles by byte ranges if it has an index, else a row a contig."""
+    if fasta.has_index(path):
+        return fasta.read_tiles(spark, path), fasta.indexed_contigs(spark, path)
+    whole = text.read_fasta(spark, path)
+    return whole, text.contigs_of(whole)
+
+
 def total_length(contigs: DataFrame) -> int:
     return contigs.agg(F.sum("length")).first()[0] or 0
 
@@ -56,10 +64,10 @@ def extract(reads: DataFrame, label: str, reference: DataFrame | None = None, ke
     columns = [c for c in ("read_name", "technology", "chrom", "ref_start", "flag", "mapq", "cigar", "seq", "qual", "md", "ord") if c in reads.columns and (c != "md" or reference is None)]
     usable = stage(al.usable_reads(reads, min_mapq).select(*columns))
     if reference is not None and reference_chars is None:
-        reference_chars = reference.agg(F.sum(F.octet_length("seq"))).first()[0] or 0
-    pieces = al.aligned_pieces(usable, reference, reference_chars=reference_chars)
+        reference_chars = al.reference_length(reference)
+    pieces = al.aligned_pieces(usable, reference, reference_chars=reference_chars, sites=sites)
     both = stage(var.classified(al.mismatches_of(pieces, min_base_qual), keys))
-    counts = stage(cal.calibration_counts(pieces, sites, min_base_qual))
+    counts = stage(cal.calibration_counts(pieces, min_base_qual))
     unstage(usable)
     errors = both.where("not is_variant").drop("is_variant")
     histogram = statistics.error_histogram(errors)
@@ -179,8 +187,8 @@ def run_all(
     out = Path(out_dir)
     out.mkdir(parents=True, exist_ok=True)
     paths = [b or external.map_pairs(r, reference, str(out / f"{x}.bam"), external.Mapping(x, threads, preset)) for b, r, x in ((bam_a, reads_a, label_a), (bam_b, reads_b, label_b))]
-    ref = text.read_fasta(spark, reference) if reference else None
-    contigs = (text.contigs_of(ref) if ref is not None else bam.bam_contigs(spark, paths[0])).cache()
+    ref, contigs = open_reference(spark, reference) if reference else (None, bam.bam_contigs(spark, paths[0]))
+    contigs = contigs.cache()
     length = total_length(contigs) if ref is not None else None
     files = [vcf_a or vcf, vcf_b or vcf]
     if call and not any(files):

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from phredlens.schemas import VARIANTS
-from phredlens.sources.bam import _Stream
+from phredlens.sources.blocked import Blocks
 
 # Fixed values of the record layout: format and missing value of each type of integer, and the missing float.
 _INTEGERS = {1: ("b", -128), 2: ("h", -32768), 3: ("i", -2147483648)}
@@ -65,14 +65,21 @@ class _Reader(DataSourceReader):
         return [InputPartition(0)]  # records can't be found from the middle without an index
 
     def read(self, partition):
-        stream = _Stream(self.path)
-        if stream.read(5) != b"BCF\2\2":
+        blocks, at = Blocks(self.path), 9
+        if not blocks.need(at) or bytes(blocks.data[:5]) != b"BCF\2\2":
             raise ValueError("not a binary variant file of version 2.2")
-        strings, contigs = _dictionaries(stream.read(stream.int()).rstrip(b"\0").decode())
-        while len(sizes := stream.read(8)) == 8:
-            shared, single = struct.unpack("<II", sizes)
-            yield _record(stream.read(shared), strings, contigs)
-            stream.read(single)
+        size = struct.unpack_from("<i", blocks.data, 5)[0]
+        blocks.need(at + size)
+        strings, contigs = _dictionaries(bytes(blocks.data[at : at + size]).rstrip(b"\0").decode())
+        at += size
+        while blocks.need(at + 8):
+            shared, single = struct.unpack_from("<II", blocks.data, at)
+            blocks.need(at + 8 + shared + single)
+            yield _record(bytes(blocks.data[at + 8 : at + 8 + shared]), strings, contigs)
+            at += 8 + shared + single
+            if at > 1 << 22:
+                blocks.cut(at)
+                at -= blocks.gone
 
 
 class BcfSource(DataSource):

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import csv
+import io
 import struct
 import zlib
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phredlens.operators.alignments import coordinate_order
 from phredlens.schemas import MISMATCH_COLS
+from phredlens.sources.joined import write_joined
 
 # Fixed header lines of a variant file.
 VCF_FORMAT = '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">'
@@ -20,31 +23,55 @@ VCF_COLUMNS = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tSAMPLE"
 TRUTH_INFO = ("SYNTH", '##INFO=<ID=SYNTH,Number=0,Type=Flag,Description="Planted synthetic truth variant">')
 
 
+def _csv_line(values) -> list:
+    return ["" if v is None else v for v in values]
+
+
 def write_csv_file(rows: DataFrame, path: str | Path) -> None:
-    """One CSV file with header, also for no rows. Rows come one partition at a time, in the frame's order; booleans,
-    numbers and line ends are written as Python's csv module does. For large results use ``write_csv_parts``."""
+    """One CSV file with header, also for no rows, through the driver: for short tables. Rows come one partition at a time,
+    in the frame's order; booleans, numbers and line ends are written as Python's csv module does."""
     with open(path, "w", newline="", encoding="utf-8") as f:
         out = csv.writer(f)
         out.writerow(rows.columns)
         for r in rows.toLocalIterator(prefetchPartitions=True):
-            out.writerow(["" if v is None else v for v in r])
+            out.writerow(_csv_line(r))
+
+
+def write_csv_joined(rows: DataFrame, path: str | Path) -> None:
+    """The bytes of ``write_csv_file``, written by the executors: see ``joined``."""
+
+    def encode(batches):
+        for b in batches:
+            text = io.StringIO()
+            csv.writer(text).writerows(map(_csv_line, zip(*(c.to_pylist() for c in b.columns), strict=True)))
+            yield text.getvalue().encode()
+
+    head = io.StringIO()
+    csv.writer(head).writerow(rows.columns)
+    write_joined(rows, str(path), encode, head.getvalue().encode())
 
 
 def write_csv_parts(rows: DataFrame, path: str) -> None:
-    """A folder of CSV files with headers, written by the executors."""
-    rows.write.mode("overwrite").csv(path, header=True)
+    """A folder of CSV files with headers, written by the executors; fields and line ends are those of ``write_csv_file``."""
+
+    @F.pandas_udf("string")
+    def told(values: pd.Series) -> pd.Series:
+        return values.map(repr, na_action="ignore").astype(object)
+
+    kinds = {"boolean": lambda c: F.when(F.col(c), "True").when(~F.col(c), "False"), "double": told, "float": told}
+    fields = rows.select(*[kinds.get(t, F.col)(c).alias(c) for c, t in rows.dtypes])
+    fields.write.mode("overwrite").options(header=True, lineSep="\r\n", escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_mismatches(rows: DataFrame, contigs: DataFrame, path: str | Path, parts: bool = False) -> None:
     """Mismatches by contig order, then as the reads stand in a sorted file, then by place; without the reads' order
-    (ord), by place and name. One file through the driver, or with ``parts`` a folder of ordered files written by the
-    executors."""
+    (ord), by place and name. One file, or with ``parts`` a folder of ordered files; the executors write both."""
     order = ("ord", "ref_pos") if "ord" in rows.columns else ("ref_pos", "read_name")
     ordered = coordinate_order(rows, contigs, *order).select(*MISMATCH_COLS)
     if parts:
         write_csv_parts(ordered, str(path))
     else:
-        write_csv_file(ordered, path)
+        write_csv_joined(ordered, path)
 
 
 def write_histogram(histogram: DataFrame, path: str | Path) -> None:
@@ -57,7 +84,7 @@ def write_calibration(rows: DataFrame, path: str | Path) -> None:
 
 def write_deltas(deltas: DataFrame, path: str | Path) -> None:
     ordered = deltas.orderBy("first_ord", "ref_pos") if "first_ord" in deltas.columns else deltas
-    write_csv_file(ordered.drop("first_ord"), path)
+    write_csv_joined(ordered.drop("first_ord"), path)
 
 
 def write_fasta(reference: DataFrame, path: str) -> None:

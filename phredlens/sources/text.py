@@ -29,11 +29,12 @@ def _ranked(rows: DataFrame, place: str = "place") -> DataFrame:
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(ord, chrom, seq): one row per contig, names up to the first blank, line breaks taken out.
 
-    A contig is one record of the scan, as in every FASTA reader; operators cut it into tiles. ord is the place in the
-    file (file, first byte of the split, number in the split), whatever splits the file is read in; ``contigs_of``
-    counts it from 0. An empty file gives no rows; a contig without a base has an empty sequence.
+    A record begins at ``>`` after a line break, so descriptions may hold that sign; a contig is one record of the scan
+    (``fasta.read_tiles`` reads long contigs in tiles). ord is the place in the file (file, first byte of the split, number
+    in the split), whatever splits the file is read in; ``contigs_of`` counts it from 0. An empty file gives no rows; a
+    contig without a base has an empty sequence.
     """
-    rows = _in_file_order(spark, path, lineSep=">").where(F.length(F.trim("value")) > 0)
+    rows = _in_file_order(spark, path, lineSep="\n>").withColumn("value", F.regexp_replace("value", r"^\s*>", "")).where(F.length(F.trim("value")) > 0)
     head = F.split(F.regexp_extract("value", r"^([^\r\n]*)", 1), r"[ \t]")
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s+", "")
     return rows.select(F.col("place").alias("ord"), head[0].alias("chrom"), body.alias("seq"))

@@ -99,12 +99,46 @@ def test_md_path_equals_the_reference_path(data):
 def test_calibration_equals_the_walker(spark, data, bq):
     ref, reads, reference, alignments = data
     sites = {("chr1", p) for p in range(100, 2000, 7)}
-    pieces = al.aligned_pieces(al.usable_reads(alignments), reference, tile=50)
     frame = spark.createDataFrame(sorted(sites), "chrom string, pos int")
-    got = {r.base_qual: (r.n_bases, r.n_errors) for r in cal.calibration_counts(pieces, frame, bq).collect()}
-    assert got == walker(reads, ref, 1, bq, sites)[1]
-    got = {r.base_qual: (r.n_bases, r.n_errors) for r in cal.calibration_counts_arrow(pieces, bq).collect()}
-    assert got == walker(reads, ref, 1, bq)[1]
+    told = lambda counts: {r.base_qual: (r.n_bases, r.n_errors) for r in counts.collect()}
+    plain = al.aligned_pieces(al.usable_reads(alignments), reference, tile=50)
+    assert told(cal.calibration_counts(plain, bq)) == walker(reads, ref, 1, bq)[1]
+    assert told(cal.calibration_counts_by_base(plain, frame, bq)) == walker(reads, ref, 1, bq, sites)[1]
+    for source in (reference, None):  # by tiles, and by MD strings
+        for most in (10**9, 0):
+            marked = al.aligned_pieces(al.usable_reads(alignments), source, tile=50, broadcast_chars=most, sites=frame)
+            assert told(cal.calibration_counts(marked, bq)) == walker(reads, ref, 1, bq, sites)[1]
+            assert sorted(map(tuple, al.mismatches_of(marked, bq).select(*COLS).collect())) == walker(reads, ref, 1, bq)[0]
+    shown = cal.calibration_counts(al.aligned_pieces(al.usable_reads(alignments), reference, broadcast_chars=0, sites=frame))._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in shown and "LeftAnti" not in shown  # no row a base, no anti join of bases
+
+
+def test_a_hot_tile_is_dealt_out(spark):
+    """A third of the reads on one tile, no broadcast: no join task has over twice the median of its rows."""
+    ref = spark.createDataFrame([("c", "ACGT" * 12_000), ("mt", "ACGT" * 100)], REFERENCE)
+    rows = [(f"r{k}", 0, "mt" if k % 3 == 0 else "c", k % 300 if k % 3 == 0 else k * 7 % 47_000, 60, "20M", "ACGTACGTACGTACGTACGT", "I" * 20, None, k, "t") for k in range(6000)]
+    reads = spark.createDataFrame(rows, ALIGNMENTS)
+    pieces = al._pieces(al.cigar_blocks(reads), al.TILE)
+    met = al._meet_tiles(pieces, al.reference_tiles(ref))
+    assert met.count() == pieces.count() and met.where("ref_tile is null").count() == 0
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        per_task = sorted(r["count"] for r in al._meet_tiles(pieces, al.reference_tiles(ref)).groupBy(al.F.spark_partition_id()).count().collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert per_task[-1] <= 2 * per_task[len(per_task) // 2]
+    want = sorted(tuple(r) for r in al.mismatches(reads, ref).select(*COLS).collect())
+    assert sorted(tuple(r) for r in al.mismatches(reads, ref, broadcast_chars=0).select(*COLS).collect()) == want
+
+
+def test_a_cigar_of_very_many_operations(spark):
+    n = 35_000
+    read = spark.createDataFrame([("x", 0, "c", 0, 60, "1M1I" * n, "AC" * n, "I" * 2 * n, None, 0, "t")], ALIGNMENTS)
+    blocks = al.cigar_blocks(read).select("block_idx", "q", "r", "n")
+    assert blocks.count() == n and tuple(blocks.orderBy("block_idx").tail(1)[0]) == (n - 1, 2 * n - 2, n - 1, 1)
+    assert read.select(al.reference_end(al.F.col("cigar"), al.F.col("ref_start"))).first()[0] == n
 
 
 def test_errors_are_clear(spark, data):
@@ -129,9 +163,9 @@ def test_sites_take_bases_out_of_calibration_only(spark):
     seq = "A" * 4 + "G" + "A" * 5 + "T" + "A" * 19
     read = spark.createDataFrame([("x", 0, "c", 0, 60, "30M", seq, "I" * 30, None, 0, "t")], ALIGNMENTS)
     keys = var.variant_keys(spark.createDataFrame([("c", 5, ".", "A", "G", None, "PASS"), ("c", 10, ".", "AAA", "A", None, ".")], VARIANTS))
-    pieces = al.aligned_pieces(al.usable_reads(read), ref)
+    pieces, marked = (al.aligned_pieces(al.usable_reads(read), ref, sites=x) for x in (None, var.variant_sites(keys)))
     assert [(r.n_bases, r.n_errors) for r in cal.calibration_counts(pieces).collect()] == [(30, 2)]
-    assert [(r.n_bases, r.n_errors) for r in cal.calibration_counts(pieces, var.variant_sites(keys)).collect()] == [(26, 0)]
+    assert [(r.n_bases, r.n_errors) for r in cal.calibration_counts(marked).collect()] == [(26, 0)]
     errors, variants = var.errors_and_variants(al.mismatches(read, ref), keys)
     assert [r.ref_pos for r in errors.collect()] == [11] and [r.ref_pos for r in variants.collect()] == [5]
 
