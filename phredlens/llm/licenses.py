@@ -65,23 +65,19 @@ def specific(matches: Column, loose: list[int]) -> Column:
 
 
 def resolved(matches: Column) -> Column:
-    """Matches left after suppression, from left to right, the longer first where several start.
+    """Matches left after suppression, from left to right.
 
-    A match inside the last kept one goes. Of two that overlap in part, the one with priority stays.
+    Matches rank by priority, then the longer first, then from the left, then by label. A match stays unless it overlaps,
+    or lies in, one of better rank that stays; what a suppressed match overlaps isn't suppressed by it.
     """
-    key = lambda m: F.struct(m["start"].alias("start"), (-m["stop"]).alias("stop"), m["priority"].alias("priority"), m["label"].alias("label"), m["confidence"].alias("confidence"))
-    order = F.array_sort(F.transform(matches, key))
-    empty = F.struct(F.array().cast(_MATCH).alias("kept"), F.lit(None).cast(_MATCH[6:-1]).alias("last"))
+    ranked = F.array_sort(F.transform(matches, lambda m: F.struct(m["priority"].alias("priority"), (m["start"] - m["stop"]).alias("short"), m["start"].alias("start"), m["label"].alias("label"), m["stop"].alias("stop"), m["confidence"].alias("confidence"))))
+    back = lambda m: F.struct(*(m[c].alias(c) for c in ("start", "stop", "priority", "label", "confidence")))
 
-    def step(state, m):
-        this = F.struct(m["start"].alias("start"), (-m["stop"]).alias("stop"), m["priority"].alias("priority"), m["label"].alias("label"), m["confidence"].alias("confidence"))
-        last = state["last"]
-        apart = last.isNull() | (m["start"] >= last["stop"])
-        better = (-m["stop"] > last["stop"]) & (m["priority"] < last["priority"])
-        done = F.when(last.isNull(), state["kept"]).otherwise(F.concat(state["kept"], F.array(last)))
-        return F.struct(F.when(apart, done).otherwise(state["kept"]).alias("kept"), F.when(apart | better, this).otherwise(last).alias("last"))
+    def step(kept, m):
+        free = ~F.exists(kept, lambda o: (o["start"] < m["stop"]) & (m["start"] < o["stop"]))
+        return F.when(free, F.concat(kept, F.array(back(m)))).otherwise(kept)
 
-    return F.aggregate(order, empty, step, lambda s: F.when(s["last"].isNull(), s["kept"]).otherwise(F.concat(s["kept"], F.array(s["last"]))))
+    return F.array_sort(F.aggregate(ranked, F.array().cast(_MATCH), step))
 
 
 def license_scan(docs: DataFrame, signature_rules: list[Rule] | None = None) -> DataFrame:
@@ -90,17 +86,24 @@ def license_scan(docs: DataFrame, signature_rules: list[Rule] | None = None) ->
     A match of a loose rule goes where it overlaps one of another rule. spans are the rule matches left (start and stop in code points, rule number as priority, label, confidence).
     score is the largest confidence of a span, or ``BASE_CONFIDENCE`` where a base phrase stands, or 0. One narrow
     projection: no shuffle, no Python. A null text counts as empty: no words, null places, empty labels, score 0.
-    Rows are independent: repeated rows repeat, an empty table gives none, other columns are ignored.
+    Ties: places of equal base phrases all count, the smallest and largest start are told, and of matches of equal rank
+    one stays (see ``resolved``). Rows are independent: repeated rows repeat, an empty table gives none, other columns are
+    ignored.
     """
     known = rules() if signature_rules is None else signature_rules
     loose = [k for k, r in enumerate(known) if r.loose]
-    table = F.array(*[F.struct(F.lit(k).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex")) for k, r in enumerate(known)])
+    by_keyword: dict[str, list[Column]] = {}
+    for k, r in enumerate(known):
+        by_keyword.setdefault(r.keyword, []).append(F.struct(F.lit(k).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence"), F.lit(r.regex).alias("regex")))
+    # A keyword is looked for once for all its rules, and a rule's matches are laid out only if it has one.
+    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*x).alias("rules")) for k, x in by_keyword.items()])
+    tried = lambda t: F.flatten(F.transform(F.filter(table, lambda g: F.contains(t, g["keyword"])), lambda g: g["rules"]))
     low = docs.select(F.col("doc_id"), F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _UPPER.lower()).alias("low"))
     norm = F.trim(F.regexp_replace("low", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
     wanted = F.lit(False)
     for root in ROOTS:
         wanted = wanted | F.contains("low", F.lit(root))
-    found = F.when(wanted, bound(F.col("low"), lambda t: F.flatten(F.transform(F.filter(table, lambda r: F.contains(t, r["keyword"])), lambda r: rule_matches(t, r)))))
+    found = F.when(wanted, bound(F.col("low"), lambda t: F.flatten(F.transform(F.filter(tried(t), lambda r: F.rlike(t, r["regex"])), lambda r: rule_matches(t, r)))))
     step = low.select("doc_id", norm.alias("norm"), F.coalesce(found, F.array().cast(_MATCH)).alias("found"))
     some = F.lit(False)
     for phrase, _ in PHRASES:

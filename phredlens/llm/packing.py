@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from phredlens.llm.bin_completion import Packing, pack
+from phredlens.llm.bin_completion import NODES, Packing, pack
 from phredlens.llm.bpe import PIECES, byte_alphabet
 from phredlens.llm.tables import begin, keep, release_memory, stage, text_rows
 
@@ -110,7 +110,7 @@ def slots(packing: Packing) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, nodes: int = NODES) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is the ids of its whole text (a null text: of an empty one) and ``end``. Documents of over ``capacity``
@@ -127,7 +127,7 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     histogram = np.zeros(capacity + 1, np.int64)
     for size, n in counts.groupBy("length").agg(F.sum("n")).collect():  # as many rows as a sequence has tokens at most
         histogram[size] = n
-    table = docs.sparkSession.sparkContext.broadcast(slots(pack(histogram, capacity)))
+    table = docs.sparkSession.sparkContext.broadcast(slots(pack(histogram, capacity, nodes)))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = rows.join(counts.select("part", "length", before.alias("before")), ["part", "length"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))

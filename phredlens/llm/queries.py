@@ -25,44 +25,54 @@ BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_lm_scoring(spark, sf_dir):
+    """The model's score of every document, learned from those whose checksum says so."""
     return language_model_scores(table(spark, sf_dir, "documents"))
 
 
 def op2_exact_dedup(spark, sf_dir):
+    """For every document the one of equal text that stays."""
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_decontamination(spark, sf_dir):
+    """Overlaps of documents and benchmark items, as pairs."""
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_licenses(spark, sf_dir):
+    """License labels of every document."""
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op5_secrets(spark, sf_dir):
+    """Secrets in every document, by the base patterns and the trained tagger."""
     docs = table(spark, sf_dir, "documents")
     return secrets.secrets(docs, secrets.learn(docs))
 
 
 def op6_substring_dedup(spark, sf_dir):
+    """Repeated lines and sentences of all documents, lines of any length."""
     return repeated_units(table(spark, sf_dir, "documents"))
 
 
 def op7_bpe(spark, sf_dir):
+    """Digests of every document's ids and of the text they decode to."""
     return round_trip(table(spark, sf_dir, "documents"), BPE_VOCABULARY)
 
 
 def op8_toxicity(spark, sf_dir):
+    """Toxicity of every document."""
     docs = table(spark, sf_dir, "documents")
     return toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
 def op9_language(spark, sf_dir):
+    """Language of every document."""
     return language.languages(table(spark, sf_dir, "documents"), BPE_VOCABULARY)
 
 
 def op10_simhash(spark, sf_dir):
+    """Fingerprint and near-duplicate component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
@@ -148,27 +158,27 @@ ORACLES = {
     "op6_substring_dedup": r"""
         WITH marked AS (
             -- chr(1) marks the end of a sentence; one that stands in a text, and chr(2), are written as two characters
-            SELECT doc_id, regexp_replace(replace(replace(text, chr(2), chr(2) || 'b'), chr(1), chr(2) || 'a'), '([.!?])[ \t]', '\1' || chr(1), 'g') AS text FROM documents
+            SELECT row_number() OVER () AS row, doc_id, regexp_replace(replace(replace(text, chr(2), chr(2) || 'b'), chr(1), chr(2) || 'a'), '([.!?])[ \t]', '\1' || chr(1), 'g') AS text FROM documents
         ), lines AS (
-            SELECT doc_id, unnest(string_split(text, chr(10))) AS piece, unnest(range(len(string_split(text, chr(10))))) AS line FROM marked
+            SELECT row, doc_id, unnest(string_split(text, chr(10))) AS piece, unnest(range(len(string_split(text, chr(10))))) AS line FROM marked
         ), placed AS (
-            SELECT doc_id, line, piece, coalesce(sum(length(replace(replace(piece, chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2))) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM lines
+            SELECT row, doc_id, line, piece, coalesce(sum(length(replace(replace(piece, chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2))) + 1) OVER (PARTITION BY row ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM lines
         ), parts AS (
-            SELECT doc_id, line, start AS line_start, unnest(string_split(piece, chr(1))) AS piece, unnest(range(len(string_split(piece, chr(1))))) AS part FROM placed WHERE contains(piece, chr(1))
+            SELECT row, doc_id, line, start AS line_start, unnest(string_split(piece, chr(1))) AS piece, unnest(range(len(string_split(piece, chr(1))))) AS part FROM placed WHERE contains(piece, chr(1))
         ), both_levels AS (
-            SELECT doc_id, line, 'line' AS level, start, length(replace(replace(piece, chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2))) AS size, replace(replace(replace(piece, chr(1), ' '), chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2)) AS piece FROM placed
+            SELECT row, doc_id, line, 'line' AS level, start, length(replace(replace(piece, chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2))) AS size, replace(replace(replace(piece, chr(1), ' '), chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2)) AS piece FROM placed
             UNION ALL
-            SELECT doc_id, line, 'sentence', line_start + coalesce(sum(length(replace(replace(piece, chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2))) + 1) OVER (PARTITION BY doc_id, line ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), length(replace(replace(piece, chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2))), replace(replace(piece, chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2)) FROM parts
+            SELECT row, doc_id, line, 'sentence', line_start + coalesce(sum(length(replace(replace(piece, chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2))) + 1) OVER (PARTITION BY row, line ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), length(replace(replace(piece, chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2))), replace(replace(piece, chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2)) FROM parts
         ), normal AS (
-            SELECT doc_id, line, level, start, size, trim(regexp_replace(lower(piece), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM both_levels
+            SELECT row, doc_id, line, level, start, size, trim(regexp_replace(lower(piece), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM both_levels
         ), units AS (
             SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1 AS n_words FROM normal WHERE norm <> ''
         ), ranked AS (
-            SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS keep_doc_id, first_value(start) OVER w AS keep_start, count(*) OVER (PARTITION BY norm) AS n_copies
-            FROM units WHERE n_words >= 8 WINDOW w AS (PARTITION BY norm ORDER BY doc_id, start)
-        ), moved AS (SELECT * FROM ranked WHERE place > 1)
+            SELECT *, rank() OVER w AS place, first_value(doc_id) OVER w AS keep_doc_id, first_value(start) OVER w AS keep_start, count(*) OVER (PARTITION BY norm) AS n_copies
+            FROM units WHERE level = 'line' OR n_words >= 8 WINDOW w AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, start)
+        ), moved AS (SELECT *, bool_or(level = 'line') OVER (PARTITION BY row, line) AS whole FROM ranked WHERE place > 1)
         SELECT doc_id, line, level, CAST(start AS BIGINT) AS start, CAST(start + size AS BIGINT) AS stop, n_words, keep_doc_id, CAST(keep_start AS BIGINT) AS keep_start, n_copies
-        FROM moved m WHERE level = 'line' OR NOT EXISTS (SELECT 1 FROM moved l WHERE l.level = 'line' AND l.doc_id = m.doc_id AND l.line = m.line)
+        FROM moved WHERE level = 'line' OR NOT whole
     """,
     "op12_conversation_repair": rf"""
         WITH RECURSIVE d AS (

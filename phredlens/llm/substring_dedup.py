@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from phredlens.llm.tables import KEYS, _left_by_size, attach_groups, begin, maybe_in, release_memory, row_keys, stage, text_rows
 
-#: Shorter units are none, unless ``line_words`` asks for shorter lines.
+#: Shorter sentences are no units of their own.
 MIN_WORDS = 8
+#: Shorter lines are no units: every line that isn't blank is one.
+LINE_WORDS = 1
 _SENTENCE_END = re.compile(r"([.!?])[ \t]")
 
 
@@ -30,16 +32,16 @@ def _unit(text: str, start: int, min_words: int):
     return None
 
 
-def line_units(text: str | None, min_words: int = MIN_WORDS, line_words: int | None = None):
+def line_units(text: str | None, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS):
     """(line, level, start, stop, n_words, digest) of each line of ``line_words`` words or more (1: every line that isn't
-    blank; None: ``min_words``), and of each sentence of such a line that has several, with ``min_words`` words or more.
+    blank), and of each sentence of such a line that has several, with ``min_words`` words or more.
 
     line counts from 0; start and stop are code points of the original text, without the line break or the blank that
     follows; the digest is of the unit in lower case with whitespace runs made one space and trimmed.
     """
     start = 0
     for number, line in enumerate((text or "").split("\n")):
-        if unit := _unit(line, start, min_words if line_words is None else line_words):
+        if unit := _unit(line, start, line_words):
             yield number, "line", *unit
             cuts = [m.end(1) for m in _SENTENCE_END.finditer(line)]
             for a, z in zip([0, *(c + 1 for c in cuts)], [*cuts, len(line)], strict=True) if cuts else ():
@@ -48,7 +50,7 @@ def line_units(text: str | None, min_words: int = MIN_WORDS, line_words: int | N
         start += len(line) + 1
 
 
-def units(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int | None = None) -> DataFrame:
+def units(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """The units of each row of ``docs`` with its doc_id and key, and row, a number of its own for each row of ``docs``."""
     schema = f"row long, doc_id long, line long, level string, start long, stop long, n_words long, digest binary, {KEYS[0]} long, {KEYS[1]} long"
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
@@ -70,7 +72,7 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int | None =
     return text_rows(docs, *row_keys()).mapInArrow(run, schema)
 
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int | None = None, keep_keys: bool = False) -> DataFrame:
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS, keep_keys: bool = False) -> DataFrame:
     """One row per unit to remove: doc_id, line, level, start, stop, n_words, keep_doc_id, keep_start, n_copies.
 
     The rank of a unit is (doc_id, start), null doc_ids last; the lowest rank of equal units stays and its place is
@@ -89,7 +91,7 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int
     return top.select("doc_id", "line", "level", "start", "stop", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), "n_copies", *(KEYS if keep_keys else ()))
 
 
-def without_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int | None = None) -> DataFrame:
+def without_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """``docs`` (all its columns) with repeated units cut out of ``text``; the line break or blank after one goes too.
 
     A row's spans are found by its own key (doc_id and text), so rows that share a doc_id, or have none, are cut each

@@ -7,17 +7,27 @@ from phredlens.llm import licenses as lic
 from phredlens.llm.license_rules import ROOTS, rules
 
 
+def settled(matches):
+    """The matches that stay, worked out from what it means to stay: nothing better that stays overlaps it. Decided by
+    looking back at better ranks, with no running state."""
+    rank = {m: (m[2], m[0] - m[1], m[0], m[3]) for m in matches}
+    stays = {}
+
+    def decided(m):
+        if m not in stays:
+            stays[m] = not any(rank[n] < rank[m] and n[0] < m[1] and m[0] < n[1] and decided(n) for n in matches)
+        return stays[m]
+
+    return sorted(m for m in set(matches) if decided(m))
+
+
 def plain(text, known):
     low = (text or "").lower()
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
     base = [(i, label) for phrase, label in lic.PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
     found = sorted((m.start(), -m.end(), k, r.label, r.confidence) for k, r in enumerate(known) if r.keyword in low for m in re.finditer(r.regex, low, re.ASCII))
-    kept = []
-    for start, stop, k, label, confidence in found:
-        if not kept or start >= kept[-1][1]:
-            kept.append((start, -stop, k, label, confidence))
-        elif -stop > kept[-1][1] and k < kept[-1][2]:
-            kept[-1] = (start, -stop, k, label, confidence)
+    kept = [(start, -stop, k, label, confidence) for start, stop, k, label, confidence in found]
+    kept = settled(kept)
     labels = sorted({x for _, x in base})
     every = sorted({*labels, *(m[3] for m in kept)})
     at = [i for i, _ in base]
@@ -42,6 +52,23 @@ def test_matches_plain_rules(spark):
     assert lic.license_scan(docs.limit(0)).count() == 0
 
 
+def test_a_suppressed_match_suppresses_nothing(spark):
+    """A is suppressed by C, so B, which lies in A, stays; a contained match of worse rank goes with its container."""
+    spans = {
+        "three": ([(0, 10, 5, "a"), (1, 3, 6, "b"), (8, 15, 1, "c")], ["b", "c"]),
+        "inside": ([(0, 10, 1, "a"), (1, 3, 6, "b")], ["a"]),
+        "inside but better": ([(0, 10, 6, "a"), (1, 3, 1, "b")], ["b"]),
+        "chain": ([(0, 4, 3, "a"), (3, 8, 2, "b"), (7, 12, 1, "c")], ["a", "c"]),
+        "longer of equal rank": ([(0, 4, 2, "a"), (2, 9, 2, "b")], ["b"]),
+        "touching": ([(0, 4, 2, "a"), (4, 9, 1, "b")], ["a", "b"]),
+        "none": ([], []),
+    }
+    rows = [(name, [(*m, 0.5) for m in matches]) for name, (matches, _) in spans.items()]
+    frame = spark.createDataFrame(rows, f"name string, m {lic._MATCH}")
+    got = {r.name: [m.label for m in r.kept] for r in frame.select("name", lic.resolved(lic.F.col("m")).alias("kept")).collect()}
+    assert got == {name: want for name, (_, want) in spans.items()}
+
+
 def test_rules_are_many_and_gated(spark):
     known = rules()
     assert len(known) >= 200

@@ -22,7 +22,7 @@ def lines_corpus(seed=1):
     return [*rows, (90, None), (91, ""), (92, "\n\n"), (93, "word " * 50_000), (94, "WORD " * 50_000)]
 
 
-def brute_lines(rows, least=8):
+def brute_lines(rows, least=8, least_line=1):
     """All repeated units, then without the sentences of repeated lines."""
     seen, out = {}, []
     for i, text in sorted(rows, key=lambda r: r[0]):
@@ -32,7 +32,7 @@ def brute_lines(rows, least=8):
             parts = [("line", 0, len(line))] + [("sentence", a, z - 1) for a, z in zip(cuts, cuts[1:], strict=False)] * (len(cuts) > 2)
             for level, a, z in parts:
                 key = " ".join(line[a:z].lower().split())
-                if len(key.split()) >= least:
+                if len(key.split()) >= (least_line if level == "line" else least):
                     seen.setdefault(key, []).append((i, number, level, start + a, start + z, len(key.split())))
             start += len(line) + 1
     for places in seen.values():
@@ -60,12 +60,14 @@ def test_units_are_cut_by_their_offsets(spark):
     assert {r.doc_id: r.text for r in got.collect()} == want
 
 
-def test_short_lines_are_found_when_asked_for(spark):
+def test_short_lines_are_found(spark):
+    rows = [(i, "Subscribe to our daily newsletter") for i in range(500)]
+    assert sub.repeated_units(frame(spark, rows)).count() == 499
     rows = [(i, f"Skip to content\nunlike {i}\n\nHome") for i in range(20)]
-    assert sub.repeated_units(frame(spark, rows)).count() == 0
-    got = sub.repeated_units(frame(spark, rows), line_words=1).collect()
+    assert sub.repeated_units(frame(spark, rows), line_words=8).count() == 0
+    got = sub.repeated_units(frame(spark, rows)).collect()
     assert sorted((r.doc_id, r.line, r.n_words, r.keep_doc_id, r.n_copies) for r in got) == sorted((i, line, n, 0, 20) for i in range(1, 20) for line, n in ((0, 3), (3, 1)))
-    left = {r.doc_id: r.text for r in sub.without_repeated_units(frame(spark, rows), line_words=1).collect()}
+    left = {r.doc_id: r.text for r in sub.without_repeated_units(frame(spark, rows)).collect()}
     assert left == {i: t if i == 0 else f"unlike {i}\n\n" for i, t in rows}
 
 
