@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from phredlens.llm.tables import stage, unstage
 
-#: A term is a run of ASCII letters and of characters beyond ASCII; only A-Z are lower-cased.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: A term of a lower-cased text is a run of ASCII letters and of characters beyond ASCII.
+TERM = r"[a-z\x80-\x{10FFFF}]+"
 #: Documents of a language that a kept term stands in, at least; parts of a whole; ranks of terms that are told.
 MIN_DOCS, WHOLE, TOP_TERMS = 3, 1_000_000_000, 200
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -27,17 +27,31 @@ def spread_join(many: DataFrame, few: DataFrame, by: list[str], spread: str) ->
     return left.join(right, [*by, "__phl_place"]).drop("__phl_place")
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of a term in a group, and documents that have it.
+def numbered(rows: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """(groups: lang, source, l, g; columns l and g of any rows): numbers of 64 bits for languages and groups. They are
+    hashes under a seed for which no two languages and no two groups have the same, which is counted."""
+    names = stage(rows.select("lang", "source").distinct())
+    for seed in range(100):
+        numbers = [F.xxhash64(F.lit(seed), "lang").alias("l"), F.xxhash64(F.lit(seed), "lang", F.lit("source"), "source").alias("g")]
+        groups = names.select("lang", "source", *numbers)
+        n = groups.agg(F.countDistinct("lang"), F.countDistinct("l"), F.count(F.lit(1)), F.countDistinct("g")).first()
+        if n[0] == n[1] and n[2] == n[3]:
+            return groups, numbers
+    raise ValueError("no seed tells the groups apart")
 
-    A row's terms are sorted inside the row, so the first of equal ones counts the document; both counts are combined
-    before they move.
+
+def term_counts(rows: DataFrame, numbers: list[Column]) -> DataFrame:
+    """(l, g, term, n, docs): occurrences of a term in a group, and documents that have it.
+
+    Only A-Z are lower-cased. A row's terms are sorted inside the row, so the first of equal ones counts the document;
+    both counts are combined before they move.
     """
-    low = F.translate("text", _UPPER, _UPPER.lower())
-    terms = docs.select("lang", "source", F.array_sort(F.regexp_extract_all(low, F.lit(TERM), F.lit(0))).alias("terms"))
-    marked = F.transform("terms", lambda t, i: F.struct(t.alias("term"), F.coalesce(F.get("terms", i - 1) != t, F.lit(True)).alias("first")))
-    rows = terms.select("lang", "source", F.inline(marked))
-    return rows.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("docs"))
+    ascii_only = F.octet_length("text") == F.length("text")
+    low = F.when(ascii_only, F.lower("text")).otherwise(F.translate("text", _UPPER, _UPPER.lower()))
+    terms = rows.select(*numbers, F.sort_array(F.regexp_extract_all(low, F.lit(TERM), F.lit(0))).alias("terms"))
+    before = F.concat(F.array(F.lit(None).cast("string")), "terms")
+    each = terms.select("l", "g", F.inline(F.arrays_zip(F.col("terms").alias("term"), before.alias("before")))).where("term is not null")
+    return each.groupBy("l", "g", "term").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("term").eqNullSafe(F.col("before"))).alias("docs"))
 
 
 def share(count: Column, total: Column, size: Column) -> Column:
@@ -64,31 +78,32 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int
     table gives no rows; other columns are ignored. Results grow with the square of the sources of a language, as asked.
     """
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    counts = stage(term_counts(rows))
-    words = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
-    kept = stage(counts.join(words, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"))
+    names, numbers = numbered(rows)
+    counts = stage(term_counts(rows, numbers))
+    words = counts.groupBy("l", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
+    vocabulary = stage(words.select("l", "term", "lang_n"))
+    kept = stage(counts.join(vocabulary, ["l", "term"]).select("l", "g", "term", "n", "lang_n"))
     unstage(counts)
-    vocabulary = stage(kept.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n")))
-    langs = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("size"), F.sum("lang_n").alias("lang_total"))
-    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    langs = vocabulary.groupBy("l").agg(F.count(F.lit(1)).alias("size"), F.sum("lang_n").alias("lang_total"))
+    totals = kept.groupBy("g").agg(F.sum("n").alias("total"))
     some = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    found = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
-    groups = stage(found.select("lang", "source", some("total"), some("size"), some("lang_total")))
-
-    every = spread_join(vocabulary.select("lang", "term"), groups.select("lang", "source", "total", "size"), ["lang"], "term")
-    dense = every.join(kept.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left")
-    shares = stage(dense.select("lang", "source", "term", share(F.coalesce("n", F.lit(0)), F.col("total"), F.col("size")).alias("p")))
-    other = shares.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    met = shares.join(other, ["lang", "term"]).where(F.col("source") != F.col("item"))
-    sums = met.groupBy("lang", "source", "item").agg(F.sum(strain(F.col("p"), F.col("q"))).alias("value"))
-    names = groups.select("lang", "source")
-    pairs = spread_join(names, names.withColumnRenamed("source", "item"), ["lang"], "source").where(F.col("source") != F.col("item"))
-    pairs = pairs.join(sums, ["lang", "source", "item"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", some("value"))
-
-    own = spread_join(kept, groups, ["lang", "source"], "term")
+    found = names.join(totals, "g", "left").join(langs, "l", "left")
+    groups = stage(found.select("lang", "source", "l", "g", some("total"), some("size"), some("lang_total")))
+
+    every = spread_join(vocabulary.select("l", "term"), groups.select("l", "g", "total", "size"), ["l"], "term")
+    dense = every.join(kept.select("l", "g", "term", "n"), ["l", "g", "term"], "left")
+    shares = stage(dense.select("l", "term", "g", share(F.coalesce("n", F.lit(0)), F.col("total"), F.col("size")).alias("p")))
+    met = shares.join(shares.select("l", "term", F.col("g").alias("other"), F.col("p").alias("q")), ["l", "term"]).where(F.col("g") != F.col("other"))
+    sums = met.groupBy("g", "other").agg(F.sum(strain(F.col("p"), F.col("q"))).alias("value"))
+    others = groups.select("l", F.col("g").alias("other"), F.col("source").alias("item"))
+    pairs = spread_join(groups.select("lang", "source", "l", "g"), others, ["l"], "g").where(F.col("g") != F.col("other"))
+    pairs = pairs.join(sums, ["g", "other"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", some("value"))
+
+    own = spread_join(kept, groups.select("g", "total", "size", "lang_total"), ["g"], "term")
     own = own.withColumns({"p": share(F.col("n"), F.col("total"), F.col("size")), "q": share(F.col("lang_n"), F.col("lang_total"), F.col("size"))})
-    terms = own.where("n > 0 and p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), strain(F.col("p"), F.col("q")).alias("value"))
+    strained = own.where("n > 0 and p > q").select("g", F.col("term").alias("item"), strain(F.col("p"), F.col("q")).alias("value"))
 
-    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")).alias("rank")
-    ranked = lambda x: x.select("*", rank)
-    return ranked(pairs).unionByName(ranked(terms).where(F.col("rank") <= top_terms))
+    rank = lambda *key: F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("value"), "item")).alias("rank")
+    first = strained.select("*", rank("g")).where(F.col("rank") <= top_terms)
+    terms = first.join(groups.select("g", "lang", "source"), "g").select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
+    return pairs.select("*", rank("lang", "source")).unionByName(terms)
