@@ -39,10 +39,15 @@ def contigs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(names, "ord int, name string, length long")
 
 
-def planning_contigs(spark: SparkSession) -> DataFrame:
-    """Contigs of mixed lengths for interval planning, one longer than the chunk and one empty."""
-    sizes = [5200, 5200, 300, 26000, 5200, 5200, 5200, 0, 9999, 10000, 10001, 40]
-    return spark.createDataFrame([(k, f"ctg{k}", n) for k, n in enumerate(sizes)], "ord int, name string, length long")
+def supplier_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, name, length, seq): a contig per supplier, 32 to 1,280 bases spelled by a checksum of its key."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey as ord", "concat('s', s_suppkey) as name", "repeat(translate(md5(cast(s_suppkey as string)), '0123456789abcdef', 'ACGTACGTACGTACGT'), cast(1 + s_suppkey % 40 as int)) as seq")
+    return rows.select("ord", "name", F.length("seq").cast("long").alias("length"), "seq")
+
+
+def planning_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, name, length) for interval planning: a contig per supplier, of mixed lengths, some longer than a chunk."""
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("cast(s_suppkey as int) as ord", "concat('ctg', s_suppkey) as name", "cast(s_suppkey * 7919 % 13001 as bigint) as length")
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from phredlens.functions.sequence import reverse_complement
 from phredlens.operators import alignments as al
 from phredlens.operators import calibration as cal
-from phredlens.operators import planning, recalibration, statistics
+from phredlens.operators import pileup, planning, recalibration, statistics
 from phredlens.operators import variants as var
 from phredlens.plans import fixture as fx
 from phredlens.schemas import MISMATCH_COLS
@@ -98,9 +98,10 @@ QUERIES = {
     "consensus_variants": lambda s, d: wide(var.consensus(fx.variants(s, d), fx.variants(s, d, second=True))),
     "scan_windows": lambda s, d: wide(planning.scan_windows(_reads(s, d), fx.contigs(s), 700)),
     "mapped_counts": lambda s, d: wide(statistics.mapped_counts(_reads(s, d), fx.contigs(s))),
-    "interval_tasks": lambda s, d: wide(planning.interval_tasks(fx.planning_contigs(s), 10_000).select("task", F.array_join("intervals", ",").alias("intervals"))),
+    "interval_tasks": lambda s, d: wide(planning.interval_tasks(fx.planning_contigs(s, d), 10_000).select("task", F.array_join("intervals", ",").alias("intervals"))),
     "haplotype_offsets": lambda s, d: wide(haplotype_offsets(_keys(s, d), fx.contigs(s).where("ord < 5").select(F.col("name").alias("chrom"), F.explode(F.sequence(F.lit(0), F.lit(4500), F.lit(500))).alias("start")))),
     "reverse_complement": lambda s, d: _reads(s, d).select("read_name", "flag", reverse_complement("seq").alias("seq_rc")).transform(wide),
+    "pileup_variants": lambda s, d: wide(pileup.pileup_variants(al.usable_reads(_reads(s, d)), _found(s, d), min_share=0.02)),
     "event_quality_distribution": lambda s, d: wide(statistics.quality_distribution(_events(s, d).groupBy("technology", "base_qual").agg(F.count(F.lit(1)).alias("count")))),
 }
 
@@ -219,15 +220,15 @@ ORACLES = {
         w AS (SELECT ord, name AS chrom, unnest(range(0, length, 700)) AS start, length FROM live)
         SELECT row_number() OVER (ORDER BY ord, start) - 1 AS idx, chrom, start, least(start + 700, length) AS stop FROM w""",
     "mapped_counts": f"WITH {_READS}, {_CTG} SELECT CAST(ord AS BIGINT) AS ord, name, CAST(length AS BIGINT) AS length, (SELECT count(*) FROM reads r WHERE r.chrom = c.name AND r.flag & 4 = 0) AS n_mapped FROM contigs c",
-    "interval_tasks": """WITH RECURSIVE c AS (SELECT * FROM (VALUES (0, 5200), (1, 5200), (2, 300), (3, 26000), (4, 5200), (5, 5200), (6, 5200), (7, 0), (8, 9999), (9, 10000), (10, 10001), (11, 40)) t(ord, n)),
+    "interval_tasks": """WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS ord, 'ctg' || s_suppkey AS name, s_suppkey * 7919 % 13001 AS n FROM supplier),
         walk AS (
             SELECT -1 AS ord, 0 AS size, CAST([] AS VARCHAR[]) AS open, CAST([] AS VARCHAR[]) AS done
             UNION ALL
             SELECT c.ord, CASE WHEN c.n > 10000 OR w.size + c.n >= 10000 THEN 0 ELSE w.size + c.n END,
-                CASE WHEN c.n > 10000 OR w.size + c.n >= 10000 THEN [] ELSE list_append(w.open, 'ctg' || c.ord) END,
+                CASE WHEN c.n > 10000 OR w.size + c.n >= 10000 THEN [] ELSE list_append(w.open, c.name) END,
                 CASE WHEN c.n > 10000 THEN list_concat(CASE WHEN len(w.open) > 0 THEN list_append(w.done, array_to_string(w.open, ',')) ELSE w.done END,
-                        [format('ctg{}:{}-{}', c.ord, a, least(a + 9999, c.n)) for a in range(1, c.n + 1, 10000)])
-                    WHEN w.size + c.n >= 10000 THEN list_append(w.done, array_to_string(list_append(w.open, 'ctg' || c.ord), ',')) ELSE w.done END
+                        [format('{}:{}-{}', c.name, a, least(a + 9999, c.n)) for a in range(1, c.n + 1, 10000)])
+                    WHEN w.size + c.n >= 10000 THEN list_append(w.done, array_to_string(list_append(w.open, c.name), ',')) ELSE w.done END
             FROM walk w JOIN c ON c.ord = w.ord + 1
         ), last AS (SELECT CASE WHEN len(open) > 0 THEN list_append(done, array_to_string(open, ',')) ELSE done END AS t FROM walk ORDER BY ord DESC LIMIT 1)
         SELECT unnest(range(len(t))) AS task, unnest(t) AS intervals FROM last""",
@@ -235,6 +236,9 @@ ORACLES = {
         SELECT chrom, start, CAST(coalesce((SELECT sum(length(alt) - length(ref_allele)) FROM keys k WHERE k.chrom = c.chrom AND k.pos - 1 < start), 0) AS BIGINT) AS "offset" FROM starts, c""",
     "reverse_complement": f"""WITH {_READS}, usable AS (SELECT * FROM reads), {_BASES}, letters AS (SELECT pl.k, pl.m, pl.q, coalesce(b.read_base, 'A') AS x FROM placed pl LEFT JOIN bases b ON pl.k = b.k AND pl.m = b.m AND pl.q = b.q)
         SELECT read_name, flag, s AS seq_rc FROM reads JOIN (SELECT k, m, reverse(translate(string_agg(x, '' ORDER BY q), 'ACGTN', 'TGCAN')) AS s FROM letters GROUP BY k, m) USING (k, m)""",
+    "pileup_variants": f"""{_ALL}, depths AS (SELECT chrom, ref_pos AS pos, count(*) AS depth FROM bases GROUP BY ALL),
+        seen AS (SELECT chrom, ref_pos AS pos, ref_base AS ref_allele, read_base AS alt, count(*) AS n_alt FROM mis WHERE read_base <> 'N' GROUP BY ALL)
+        SELECT seen.*, depth, CASE WHEN n_alt * 5 >= depth * 4 THEN '1/1' ELSE '0/1' END AS genotype FROM seen JOIN depths USING (chrom, pos) WHERE n_alt >= 2 AND n_alt >= depth * CAST(0.02 AS DOUBLE)""",
     "event_quality_distribution": "SELECT technology, count(*) AS n, round(avg(q), 6) AS mean, round(median(q), 6) AS median, round(stddev_pop(q), 6) AS stdev FROM (SELECT event_type AS technology, CAST(floor(value) AS INT) AS q FROM events) GROUP BY technology",
 }
 

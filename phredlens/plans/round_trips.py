@@ -36,14 +36,14 @@ def written(spark, ordered: DataFrame) -> DataFrame:
 
 def fasta_contigs(spark, sf):
     path = fresh_path(spark, "fasta")
-    sinks.write_fasta(fx.reference(spark), path)
+    sinks.write_fasta(fx.supplier_contigs(spark, sf).orderBy("ord").withColumnRenamed("name", "chrom"), path)
     found = text.read_fasta(spark, path)
     return plans.wide(text.contigs_of(found).join(found.select(F.col("chrom").alias("name"), F.md5("seq").alias("seq_md5")), "name"))
 
 
 def fai_contigs(spark, sf):
     path = fresh_path(spark, "fai")
-    fx.contigs(spark).orderBy("ord").select(F.concat_ws("\t", "name", "length", F.lit(0), F.lit(60), F.lit(61))).coalesce(1).write.text(path)
+    fx.supplier_contigs(spark, sf).orderBy("ord").select(F.concat_ws("\t", "name", "length", F.lit(0), F.lit(60), F.lit(61))).write.text(path)
     return plans.wide(text.read_fai(spark, path))
 
 
@@ -129,11 +129,12 @@ _LETTERS = f"""{plans._READS}, usable AS (SELECT * FROM reads), {plans._BASES},
 _SEQ = f"(SELECT string_agg({plans._ref('p', 'ci')}, '' ORDER BY p) FROM range(5200) t(p))"
 _REF1 = f"ref1 AS (SELECT ci, {_SEQ} AS seq FROM (SELECT 1 AS ci))"
 _FIELDS = ", ".join(READ_FIELDS)
+_SUPPLIED = "SELECT s_suppkey AS k, 's' || s_suppkey AS name, repeat(translate(md5(CAST(s_suppkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1 + s_suppkey % 40) AS seq FROM supplier"
 _SPLICED = lambda with_het: "substr(seq, 1, 700) || 'T' || substr(seq, 702, 799) || " + ("substr(seq, 1501, 1)" if with_het else "substr(seq, 1501, 3)") + " || substr(seq, 1504, 997) || 'GACC' || substr(seq, 2502)"
 
 ORACLES = {
-    "fasta_contigs": f"SELECT 'chr' || ci AS name, ci - 1 AS ord, 5200 AS length, md5({_SEQ}) AS seq_md5 FROM (SELECT unnest(range(1, 6)) AS ci)",
-    "fai_contigs": f"WITH {plans._CTG} SELECT CAST(ord AS BIGINT) AS ord, name, CAST(length AS BIGINT) AS length FROM contigs",
+    "fasta_contigs": f"SELECT name, row_number() OVER (ORDER BY k) - 1 AS ord, length(seq) AS length, md5(seq) AS seq_md5 FROM ({_SUPPLIED})",
+    "fai_contigs": f"SELECT name, row_number() OVER (ORDER BY k) - 1 AS ord, length(seq) AS length FROM ({_SUPPLIED})",
     "fastq_reads": f"WITH {_LETTERS} SELECT read_name || '/' || flag AS read_name, seq, qual FROM reads JOIN spelled USING (k, m)",
     "sam_reads": f"WITH {_LETTERS} SELECT {_FIELDS}, seq, qual FROM reads JOIN spelled USING (k, m)",
     "vcf_records": f"WITH {plans._VARIANTS} SELECT * FROM vars",

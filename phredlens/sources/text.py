@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from phredlens.schemas import VARIANTS
 from phredlens.sources import bcf
+from phredlens.sources.blocked_text import read_lines
 
 _FASTQ_NAMES = ["file", "record", "line", "value", "l0", "l1", "l3"]
 _FASTQ_TYPES = [pa.string(), pa.int64(), pa.int32(), *[pa.string()] * 4]
@@ -52,14 +53,14 @@ def read_fai(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(read_name, seq, qual) of a FASTQ file, plain or gzip. A record that isn't four lines is an error.
+    """(read_name, seq, qual) of a FASTQ file, plain or gzip (blocked gzip in many splits). A record that isn't four lines is an error.
 
     A first pass counts the lines of each split, so every line's number in its file is known and four lines make a
     record, whatever they begin with. Records inside a split are put together where they are; only the lines of a
     record that two splits share are shuffled, three a side at most. An empty file, or blank lines at its end, give
     no rows.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = read_lines(spark, path)
     first: dict[tuple[str, int], int] = {}  # by split: the number of its first line
     so_far: dict[str, int] = {}
     for r in sorted(lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).collect()):
@@ -122,11 +123,11 @@ def read_sam(spark: SparkSession, path: str, technology: str) -> DataFrame:
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a variant file: VCF text, plain or gzip, or binary (``.bcf``). A missing quality is null."""
+    """Records of a variant file: VCF text, plain or gzip (blocked gzip in many splits), or binary (``.bcf``). A missing quality is null."""
     if path.endswith(".bcf"):
         bcf.register(spark)
         return spark.read.format("bcf").load(path)
-    rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.length("value") > 0))
+    rows = read_lines(spark, path).where(~F.col("value").startswith("#") & (F.length("value") > 0))
     f = F.split("value", "\t")
     columns = {"chrom": f[0], "pos": f[1].cast("int"), "id": f[2], "ref_allele": f[3], "alt": f[4], "qual": F.when(f[5] != ".", f[5].cast("double")), "filter": f[6]}
     return rows.select(*[columns[c.split()[0]].alias(c.split()[0]) for c in VARIANTS.split(", ")])

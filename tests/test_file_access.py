@@ -8,7 +8,7 @@ import pytest
 from phredlens.operators import alignments as al
 from phredlens.operators import statistics
 from phredlens.schemas import ALIGNMENTS, CONTIGS, REFERENCE
-from phredlens.sources import bam, bam_index, blocked, fasta, sinks, text
+from phredlens.sources import bam, bam_index, blocked, blocked_text, fasta, sinks, text
 from phredlens.sources.bam_writer import write_bam
 from tests.test_operators import dataset
 from tests.test_sources_and_reports import bam_bytes, block
@@ -228,3 +228,33 @@ def test_an_index_that_does_not_fit_is_an_error(spark, tmp_path):
     (tmp_path / "r.fa.fai").write_text("c\t40\t3\t60\t61\n")
     with pytest.raises(Exception, match="doesn't fit"):
         fasta.read_tiles(spark, str(tmp_path / "r.fa")).collect()
+
+
+@pytest.mark.parametrize("ended", [True, False])
+def test_blocked_text_in_any_splits(tmp_path, ended):
+    """Blocks cut lines anywhere, also at a line break; some lines cover splits."""
+    rng = np.random.default_rng(2)
+    want = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(0, 60, 400)] + ["x" * 9000, "", "é", "y" * 3000, "end"]
+    raw = "\n".join(want).encode() + b"\n" * ended
+    cuts = sorted({0, len(raw), *rng.integers(0, len(raw), 90).tolist(), *(k + 1 for k in range(0, len(raw), 300) if raw[k : k + 1] == b"\n")})
+    data = b"".join(blocked.pack(raw[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)) + blocked.END
+    (tmp_path / "t.gz").write_bytes(data)
+    for width in (1 << 20, 2000, 333, 60):
+        parts = blocked_text.Reader({"path": str(tmp_path / "t.gz"), "split": str(width)}).partitions()
+        got = [x.decode() for p in parts for found in blocked_text.lines(p) for x in found]
+        assert got == want, width
+    assert blocked_text.is_blocked(str(tmp_path / "t.gz")) and not blocked_text.is_blocked(str(tmp_path / "none"))
+
+
+def test_blocked_variants_and_reads_in_many_splits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(blocked_text, "SPLIT", 700)
+    rows = [("c1", k + 1, ".", "A", "G,T", None if k % 3 else 30.5, "PASS") for k in range(900)]
+    vcf = "##x\n#CHROM\tPOS\n" + "".join(f"{c}\t{p}\t{i}\t{r}\t{a}\t{'.' if q is None else q}\t{f}\t.\n" for c, p, i, r, a, q, f in rows)
+    reads = [(f"r{k}", "ACGT" * (k % 9 + 1), "@III" * (k % 9 + 1)) for k in range(500)]
+    fastq = "".join(f"@{n} x\n{s}\n+\n{q}\n" for n, s, q in reads)
+    for name, body in (("v.vcf.gz", vcf), ("r.fastq.gz", fastq)):
+        raw = body.encode()
+        (tmp_path / name).write_bytes(b"".join(blocked.pack(raw[k : k + 501]) for k in range(0, len(raw), 501)) + blocked.END)
+    found = text.read_vcf(spark, str(tmp_path / "v.vcf.gz"))
+    assert found.rdd.getNumPartitions() > 5 and sorted(map(tuple, found.collect()), key=lambda r: r[1]) == rows
+    assert sorted(map(tuple, text.read_fastq(spark, str(tmp_path / "r.fastq.gz")).collect())) == sorted(reads)

@@ -10,11 +10,12 @@ import pytest
 
 from phredlens import cli, external, simulate
 from phredlens.operators import alignments as al
+from phredlens.operators import pileup
 from phredlens.operators import variants as var
 from phredlens.plans import fixture, report
 from phredlens.schemas import ALIGNMENTS, MISMATCHES, REFERENCE
 from phredlens.sources import bam, sinks, text
-from phredlens.streaming import histogram
+from phredlens.streaming import extraction, histogram
 from tests.test_operators import dataset, walker
 
 
@@ -338,3 +339,57 @@ def test_streaming_histogram(spark, tmp_path, sf_dir):
         q.stop()
     found = var.errors_and_variants(al.mismatches(reads, ref), keys)[0]
     assert got == sorted(map(tuple, found.groupBy("technology", "base_qual").count().collect()))
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path, sf_dir):
+    """Two arrivals are counted; the last batch runs again from a checkpoint without its commit; then a third arrives."""
+    reads, ref = fixture.reads(spark, sf_dir), fixture.reference(spark)
+    keys = var.variant_keys(fixture.variants(spark, sf_dir))
+    sites = var.variant_sites(keys)
+    columns = [c.split()[0] for c in ALIGNMENTS.split(", ")]
+    arrive = lambda k: reads.where(f"ord % 3 = {k}").select(*columns).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    told = lambda: [sorted(map(tuple, t.collect())) for t in extraction.totals(spark, str(tmp_path / "out"))]
+
+    def run():
+        q = extraction.streamed_extraction(histogram.alignment_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), ref, keys, sites)
+        q.awaitTermination()
+        assert q.exception() is None
+
+    for k in (0, 1):
+        arrive(k)
+        run()
+    before = told()
+    (tmp_path / "cp" / "commits" / "1").unlink()
+    (tmp_path / "cp" / "commits" / ".1.crc").unlink(missing_ok=True)
+    run()
+    assert told() == before
+    arrive(2)
+    run()
+    whole = report.extract(reads.select(*columns), "t", ref, keys, sites)
+    assert told() == [sorted(map(tuple, whole.calibration.collect())), sorted(map(tuple, whole.histogram.collect()))]
+
+
+def test_planted_variants_are_called(spark):
+    """Reads of a reference with one homozygous and one heterozygous base; errors stay below the share."""
+    rng = random.Random(3)
+    seq = "".join(rng.choice("ACGT") for _ in range(3000))
+    swap = {"A": "C", "C": "G", "G": "T", "T": "A"}
+    rows = []
+    for k in range(1200):
+        start = rng.randint(0, 2900)
+        bases = list(seq[start : start + 100])
+        for at, both in ((1000, True), (2047, False)):
+            if start <= at < start + 100 and (both or k % 2):
+                bases[at - start] = swap[seq[at]]
+        if k % 10 == 0:
+            bases[50] = swap[bases[50]]
+        rows.append((f"r{k}", 0, "c", start, 60, "100M", "".join(bases), "I" * 100, None, k, "t"))
+    reads = spark.createDataFrame(rows, ALIGNMENTS)
+    ref = spark.createDataFrame([("c", seq)], REFERENCE)
+    called = pileup.pileup_variants(reads, al.mismatches(reads, ref), min_alt=3, min_share=0.25)
+    cover = lambda at: sum(r[3] <= at < r[3] + 100 for r in rows)
+    got = {(r.pos, r.ref_allele, r.alt, r.genotype): r.depth for r in called.collect()}
+    assert got == {(at + 1, seq[at], swap[seq[at]], g): cover(at) for at, g in ((1000, "1/1"), (2047, "0/1"))}
+    places = spark.createDataFrame([("c", p) for p in (1, 500, 1024, 1025, 2048, 3000)] + [("none", 5)], "chrom string, pos int")
+    depths = {(r.chrom, r.pos): r.depth for r in pileup.depth_at(reads, places).collect()}
+    assert depths == {("c", p): cover(p - 1) for p in (1, 500, 1024, 1025, 2048, 3000)} | {("none", 5): 0}
