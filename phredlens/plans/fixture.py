@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phredlens.functions.sequence import reverse_complement
+
 CONTIGS, CONTIG_LENGTH, READ_LENGTH = 5, 5200, 40
 # Fixed values of the derived data: (CIGAR, [(first query base, last query base + 1, shift to the reference)]).
 CIGARS = (
@@ -45,6 +47,47 @@ def supplier_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ord", "name", F.length("seq").cast("long").alias("length"), "seq")
 
 
+#: A contig for mapping, spelled by checksums, and the bases of the reads that come from it.
+MAPPING_LENGTH, MAPPED_LENGTH = 1280, 60
+_LETTERS = "'0123456789abcdef', 'ACGTACGTACGTACGT'"
+
+
+def checksum_bases(value: str) -> str:
+    """SQL: 32 bases spelled by a checksum of ``value``; both engines read it."""
+    return f"translate(md5({value}), {_LETTERS})"
+
+
+def changed_base(seq: str, at: str, letters: str, when: str) -> str:
+    """SQL: ``seq`` with another letter (of ACGT, those of ``letters``) at 0-based ``at``, if ``when`` says so."""
+    return f"CASE WHEN {when} THEN substr({seq}, 1, {at}) || translate(substr({seq}, {at} + 1, 1), 'ACGT', '{letters}') || substr({seq}, {at} + 2) ELSE {seq} END"
+
+
+#: What becomes of a read's bases, in turn; every eleventh order's reads come from nowhere.
+MAPPED_FROM = "CAST((k * 37 + m * 611) % 1221 AS INT)"
+MAPPED_CHANGES = [("CAST((k * 7 + m) % 60 AS INT)", "CGTA", "k % 3 <> 0"), ("CAST((k * 13 + 29) % 60 AS INT)", "NNNN", "k % 4 = 1"), ("CAST((k * 17 + 3) % 60 AS INT)", "GTAC", "k % 5 = 0")]
+MAPPED_NOWHERE = f"CASE WHEN k % 11 = 0 THEN substr({checksum_bases("'x' || k || ':' || m")} || {checksum_bases("'y' || k || ':' || m")}, 1, {MAPPED_LENGTH}) ELSE seq END"
+
+
+def mapping_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chrom, seq): a contig per supplier, with few repeats."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return rows.selectExpr("'m' || s_suppkey AS chrom", f"array_join(transform(sequence(0, {MAPPING_LENGTH // 32 - 1}), i -> {checksum_bases("s_suppkey || ':' || i")}), '') AS seq")
+
+
+def unaligned_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, read_name, seq, qual, technology): two reads per order as sequenced, the second from the reverse strand."""
+    contigs = spark.read.parquet(f"{sf_dir}/supplier.parquet").agg(F.count(F.lit(1)).alias("n"))
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS k", "o_custkey AS c")
+    orders = keys.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))).selectExpr("k", "c", "explode(array(0, 1)) AS m")
+    placed = orders.crossJoin(F.broadcast(contigs)).selectExpr("k", "m", "'m' || (c % n) AS chrom")
+    rows = placed.join(mapping_contigs(spark, sf_dir), "chrom").selectExpr("k", "m", f"substr(seq, {MAPPED_FROM} + 1, {MAPPED_LENGTH}) AS seq")
+    for change in MAPPED_CHANGES:
+        rows = rows.selectExpr("k", "m", f"element_at(transform(array(seq), seq -> {changed_base('seq', *change)}), 1) AS seq")
+    rows = rows.selectExpr("k", "m", f"{MAPPED_NOWHERE} AS seq")
+    turned = F.when(F.col("m") == 1, reverse_complement("seq")).otherwise(F.col("seq"))
+    return rows.select((F.col("k") * 2 + F.col("m")).alias("ord"), F.expr("'r' || k").alias("read_name"), turned.alias("seq"), F.lit("I" * MAPPED_LENGTH).alias("qual"), F.lit("illumina").alias("technology"))
+
+
 def planning_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ord, name, length) for interval planning: a contig per supplier, of mixed lengths, some longer than a chunk."""
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("cast(s_suppkey as int) as ord", "concat('ctg', s_suppkey) as name", "cast(s_suppkey * 7919 % 13001 as bigint) as length")

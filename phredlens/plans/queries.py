@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from phredlens.functions.sequence import reverse_complement
 from phredlens.operators import alignments as al
 from phredlens.operators import calibration as cal
-from phredlens.operators import pileup, planning, recalibration, statistics
+from phredlens.operators import mapping, pileup, planning, recalibration, statistics
 from phredlens.operators import variants as var
 from phredlens.plans import fixture as fx
 from phredlens.schemas import MISMATCH_COLS
@@ -102,6 +102,7 @@ QUERIES = {
     "haplotype_offsets": lambda s, d: wide(haplotype_offsets(_keys(s, d), fx.contigs(s).where("ord < 5").select(F.col("name").alias("chrom"), F.explode(F.sequence(F.lit(0), F.lit(4500), F.lit(500))).alias("start")))),
     "reverse_complement": lambda s, d: _reads(s, d).select("read_name", "flag", reverse_complement("seq").alias("seq_rc")).transform(wide),
     "pileup_variants": lambda s, d: wide(pileup.pileup_variants(al.usable_reads(_reads(s, d)), _found(s, d), min_share=0.02)),
+    "mapped_reads": lambda s, d: wide(mapping.map_reads(fx.unaligned_reads(s, d), fx.mapping_contigs(s, d), 12, 9, 2).select("ord", "read_name", "flag", "chrom", "ref_start", "mapq", "cigar", "seq", "mismatches", "places")),
     "event_quality_distribution": lambda s, d: wide(statistics.quality_distribution(_events(s, d).groupBy("technology", "base_qual").agg(F.count(F.lit(1)).alias("count")))),
 }
 
@@ -182,7 +183,24 @@ _BQSR = """
 _DIST = "technology, count(*) AS n, round(avg(base_qual), 6) AS mean, round(median(base_qual), 6) AS median, round(stddev_pop(base_qual), 6) AS stdev"
 _CTG = "contigs AS (SELECT * FROM (VALUES (0, 'chr1', 5200), (1, 'chr2', 5200), (2, 'chr3', 5200), (3, 'chr4', 5200), (4, 'chr5', 5200), (5, 'chrEmpty', 500)) t(ord, name, length))"
 
+#: Every place with at most two unlike bases of 60 has a third of 20 bases that agree.
+_MAPPED = f"""
+    ctg AS (SELECT s_suppkey AS c, string_agg({fx.checksum_bases("s_suppkey || ':' || i")}, '' ORDER BY i) AS seq FROM supplier, range({fx.MAPPING_LENGTH // 32}) t(i) GROUP BY s_suppkey),
+    cut AS (SELECT k, m, substr(seq, {fx.MAPPED_FROM} + 1, {fx.MAPPED_LENGTH}) AS seq FROM (SELECT o_orderkey AS k, m, o_custkey % (SELECT count(*) FROM supplier) AS c FROM orders, (VALUES (0), (1)) v(m)) JOIN ctg USING (c)),
+    one AS (SELECT k, m, {fx.changed_base("seq", *fx.MAPPED_CHANGES[0])} AS seq FROM cut),
+    two AS (SELECT k, m, {fx.changed_base("seq", *fx.MAPPED_CHANGES[1])} AS seq FROM one),
+    three AS (SELECT k, m, {fx.changed_base("seq", *fx.MAPPED_CHANGES[2])} AS seq FROM two),
+    sequenced AS (SELECT k, m, k * 2 + m AS ord, CASE m WHEN 1 THEN reverse(translate(bases, 'ACGTN', 'TGCAN')) ELSE bases END AS seq FROM (SELECT k, m, {fx.MAPPED_NOWHERE} AS bases FROM three)),
+    strands AS (SELECT ord, false AS reverse, seq AS spelt FROM sequenced UNION ALL SELECT ord, true, reverse(translate(seq, 'ACGTN', 'TGCAN')) FROM sequenced),
+    thirds AS (SELECT ord, reverse, spelt, o, substr(spelt, o + 1, 20) AS part FROM strands, (VALUES (0), (20), (40)) v(o)),
+    twenties AS (SELECT c, seq, p, substr(seq, p + 1, 20) AS part FROM ctg, (SELECT CAST(unnest(range({fx.MAPPING_LENGTH - 19})) AS INT) AS p)),
+    near AS (SELECT DISTINCT ord, reverse, spelt, 'm' || c AS chrom, seq, p - o AS ref_start FROM thirds JOIN twenties USING (part) WHERE p - o BETWEEN 0 AND {fx.MAPPING_LENGTH - fx.MAPPED_LENGTH}),
+    scored AS (SELECT *, hamming(spelt, substr(seq, ref_start + 1, {fx.MAPPED_LENGTH})) AS mismatches FROM near),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY mismatches, chrom, ref_start, reverse) AS nth, count(*) OVER (PARTITION BY ord, mismatches) AS places FROM scored WHERE mismatches <= 2)"""
+
 ORACLES = {
+    "mapped_reads": f"""WITH {_MAPPED} SELECT s.ord, 'r' || k AS read_name, CASE WHEN nth IS NULL THEN 4 WHEN reverse THEN 16 ELSE 0 END AS flag, chrom, ref_start, CASE WHEN places = 1 THEN 60 ELSE 0 END AS mapq,
+        CASE WHEN nth = 1 THEN '{fx.MAPPED_LENGTH}M' END AS cigar, coalesce(spelt, s.seq) AS seq, mismatches, coalesce(places, 0) AS places FROM sequenced s LEFT JOIN (SELECT * FROM ranked WHERE nth = 1) r ON s.ord = r.ord""",
     "read_filter": f"WITH {_READS}, {_USABLE} SELECT {', '.join(READ_COLS)} FROM usable",
     "cigar_blocks": f"""WITH {_READS}, {_USABLE}, {_BASES},
         runs AS (SELECT read_name, flag, q, p, p - q AS shift, row_number() OVER (PARTITION BY k, m ORDER BY q) - q AS gap FROM bases)
