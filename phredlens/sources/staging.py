@@ -46,7 +46,12 @@ def stage(df: DataFrame) -> DataFrame:
     """
     path = fresh_path(df.sparkSession)
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    return staged_at(df.sparkSession, path, df.schema)
+
+
+def staged_at(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The table that was written at a ``fresh_path``, in one job or several; ``unstage`` deletes it."""
+    out = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     out._phredlens_path = path
     return out
 
