@@ -41,6 +41,31 @@ def test_exact_matches_brute_force(spark, most):
     assert sorted(map(tuple, got)) == brute_exact(rows)
 
 
+def test_slices_read_their_own_digests_one_bitmap_at_a_time(spark, monkeypatch):
+    """Sixteen slices: each digest feeds one filter, the slice reaches the scan, and a bitmap is gone before the next."""
+    rows, seen, live = corpus(), [], []
+    bloom, flagged = exact_dedup.bloom, exact_dedup._flagged
+
+    def counted(part, bits, twice):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        seen.append((part.count(), "EqualTo(slice," in plan))
+        return bloom(part, bits, twice)
+
+    def watched(*args):
+        assert all(b._jbroadcast is not None and not b._jbroadcast.isValid() for b in live)
+        out = flagged(*args)
+        live.append(out[1])
+        return out
+
+    monkeypatch.setattr(exact_dedup, "bloom", counted)
+    monkeypatch.setattr(exact_dedup, "_flagged", watched)
+    docs = frame(spark, rows).repartition(7)
+    got = exact_dedup.exact_duplicates(docs, max_filter_bits=len(rows))  # 16 bits a row
+    assert sorted(map(tuple, got.collect())) == brute_exact(rows)
+    assert len(seen) == 16 and sum(n for n, _ in seen) == len(rows) and max(n for n, _ in seen) < len(rows) / 4
+    assert all(pushed for _, pushed in seen)
+
+
 def test_exact_edge_cases(spark):
     assert exact_dedup.exact_duplicates(frame(spark, [])).count() == 0
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(frame(spark, [(1, "a"), (1, "a"), (None, "a"), (None, "b")])).collect()}
