@@ -123,10 +123,10 @@ def read_sam(spark: SparkSession, path: str, technology: str) -> DataFrame:
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a variant file: VCF text, plain or gzip (blocked gzip in many splits), or binary (``.bcf``). A missing quality is null."""
+    """Records of a variant file: VCF text, plain or gzip, or binary (``.bcf``); blocked gzip in many splits. A missing quality is null."""
     if path.endswith(".bcf"):
         bcf.register(spark)
-        return spark.read.format("bcf").load(path)
+        return spark.read.format("bcf").option("split", bcf.SPLIT).load(path)
     rows = read_lines(spark, path).where(~F.col("value").startswith("#") & (F.length("value") > 0))
     f = F.split("value", "\t")
     columns = {"chrom": f[0], "pos": f[1].cast("int"), "id": f[2], "ref_allele": f[3], "alt": f[4], "qual": F.when(f[5] != ".", f[5].cast("double")), "filter": f[6]}

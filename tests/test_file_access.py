@@ -8,7 +8,7 @@ import pytest
 from phredlens.operators import alignments as al
 from phredlens.operators import statistics
 from phredlens.schemas import ALIGNMENTS, CONTIGS, REFERENCE
-from phredlens.sources import bam, bam_index, blocked, blocked_text, fasta, sinks, text
+from phredlens.sources import bam, bam_index, bcf, blocked, blocked_text, fasta, sinks, text
 from phredlens.sources.bam_writer import write_bam
 from tests.test_operators import dataset
 from tests.test_sources_and_reports import bam_bytes, block
@@ -258,3 +258,55 @@ def test_blocked_variants_and_reads_in_many_splits(spark, tmp_path, monkeypatch)
     found = text.read_vcf(spark, str(tmp_path / "v.vcf.gz"))
     assert found.rdd.getNumPartitions() > 5 and sorted(map(tuple, found.collect()), key=lambda r: r[1]) == rows
     assert sorted(map(tuple, text.read_fastq(spark, str(tmp_path / "r.fastq.gz")).collect())) == sorted(reads)
+
+
+def variant_bytes(n, samples=2, seed=7):
+    """(a binary variant file of ``n`` records, its rows). Blocks cut header and records anywhere; some records span many blocks,
+    and fields after the shared ones hold bytes that look like heads of records."""
+    rng = np.random.default_rng(seed)
+    sample = "".join(f"\ts{k}" for k in range(samples))
+    head = f'##FILTER=<ID=PASS,Description="ok">\n##FILTER=<ID=Low,Description="x">\n##contig=<ID=c1>\n##contig=<ID=c2>\n{"##filler=1" * 200}\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT{sample}\n\0'.encode()
+    string = lambda s: (bytes([len(s) << 4 | 7]) if len(s) < 15 else b"\xf7\x12" + struct.pack("<H", len(s))) + s.encode()
+    body, rows = b"", []
+    for k in range(n):
+        ref = "".join("ACGT"[c] for c in rng.integers(0, 4, 3000 if k % 97 == 5 else rng.integers(1, 20)))
+        chrom, name, quality, low = int(rng.integers(0, 2)), f"rs{k}" if k % 3 else "", None if k % 4 else 30.5, k % 5 == 0
+        shared = struct.pack("<iii", chrom, k - 1, len(ref)) + (struct.pack("<I", 0x7F800001) if quality is None else struct.pack("<f", quality)) + struct.pack("<HHI", 0, 2, 1 << 24 | samples)
+        shared += string(name) + string(ref) + string("A") + bytes([0x11, int(low)])
+        fake = struct.pack("<IIiiiIHHI", 40, 9, 0, 5, 1, 0, 0, 1, samples) + b"\x17A" * 30
+        single = fake * 2 if k % 7 == 0 else rng.integers(0, 256, rng.integers(0, 90)).astype(np.uint8).tobytes()
+        body += struct.pack("<II", len(shared), len(single)) + shared + single
+        rows.append((f"c{chrom + 1}", k, name or ".", ref, "A", quality, "Low" if low else "PASS"))
+    raw = b"BCF\2\2" + struct.pack("<I", len(head)) + head + body
+    cuts = sorted({0, len(raw), *rng.integers(0, len(raw), len(raw) // 400).tolist()})
+    return b"".join(blocked.pack(raw[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)) + blocked.END, rows
+
+
+@pytest.mark.parametrize("samples", [0, 2])
+def test_binary_variants_in_any_splits(tmp_path, samples):
+    data, rows = variant_bytes(600, samples)
+    (tmp_path / "v.bcf").write_bytes(data)
+    for width in (1 << 24, 9000, 2000, 333, 60):
+        parts = bcf.Reader({"path": str(tmp_path / "v.bcf"), "split": str(width)}).partitions()
+        each = [[r for found in bcf.records(p) for r in found] for p in parts]
+        assert [r for p in each for r in p] == rows, width
+    assert sum(map(bool, each)) > 100
+
+
+def test_binary_variants_without_records(tmp_path):
+    data, _ = variant_bytes(0)
+    (tmp_path / "v.bcf").write_bytes(data)
+    for width in (1 << 24, 100):
+        assert [r for p in bcf.Reader({"path": str(tmp_path / "v.bcf"), "split": str(width)}).partitions() for r in bcf.records(p)] == []
+    (tmp_path / "v.bcf").write_bytes(b"")
+    with pytest.raises(ValueError, match="binary variant file"):
+        [*bcf.records(bcf.Reader({"path": str(tmp_path / "v.bcf")}).partitions()[0])]
+
+
+def test_binary_variants_are_read_in_many_tasks(spark, tmp_path, monkeypatch):
+    data, rows = variant_bytes(400)
+    (tmp_path / "v.bcf").write_bytes(data)
+    monkeypatch.setattr(bcf, "SPLIT", 4000)
+    monkeypatch.setattr(bcf, "DECODED", 1000)
+    found = text.read_vcf(spark, str(tmp_path / "v.bcf"))
+    assert found.rdd.getNumPartitions() > 5 and sorted(map(tuple, found.collect()), key=lambda r: r[1]) == rows
