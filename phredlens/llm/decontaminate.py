@@ -8,6 +8,7 @@ training texts, and around each hit the two token sequences are compared along t
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phredlens.llm.tables import KEYS, begin, bloom, filter_bits, in_bloom, release_memory, row_keys, rows_where, slices_of, stage, text_rows, without_rows
+from phredlens.llm.tables import KEYS, begin, bloom, filter_bits, in_bloom, release_memory, row_keys, rows_where, slices_of, stage, text_rows, unstage, without_rows
+from phredlens.sources.staging import fresh_path, staged_at
 
 #: Masks of five selected tokens each; together they survive one substitution in about every fifth token.
 MASKS = ("11111", "1101011", "1011101", "110010011", "1010110001", "11001000101")
@@ -25,7 +27,7 @@ SHORT = ("1", "11", "111", "1111")
 MIN_MATCHES = 10
 #: ... and this share of its tokens matches.
 MIN_IDENTITY = 0.8
-#: Test items are taken in blocks of so many characters, each one broadcast as sorted arrays of some 20 bytes a character.
+#: Test items are taken in blocks of so many characters, one broadcast at a time as sorted arrays of some 20 bytes a character.
 BLOCK_CHARS = 4_000_000
 #: Hits that are looked at in one go, whatever their number.
 _AT_ONCE = 1 << 20
@@ -230,7 +232,10 @@ def _candidates(source: DataFrame, benchmark: DataFrame, block_chars: int) -> Da
         _HASHES.clear()
         release_memory()
 
-    return stage(source.mapInArrow(run, source.schema))
+    out = stage(source.mapInArrow(run, source.schema))
+    bitmap.destroy()
+    unstage(rows)
+    return out
 
 
 def _halves(key: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,19 +244,24 @@ def _halves(key: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _all_overlaps(docs: DataFrame, benchmark: DataFrame, min_matches: int, min_identity: float, block_chars: int, carried: list[str]) -> DataFrame:
+    """Overlaps with every block of items. With one block they are a plan over ``docs``; with more, a staged table: the rows of
+    a block are written before the next is built, and its broadcast goes, so that one is alive at a time."""
     spark = docs.sparkSession
+    schema = _SCHEMA + "".join(f", {c} long" for c in carried)
     blocks = _blocks(benchmark, block_chars)
     first, second = next(blocks, None), next(blocks, None)
     source = text_rows(docs, *(c for c in row_keys() if carried))
     if first is None:
-        return spark.createDataFrame([], _SCHEMA + "".join(f", {c} long" for c in carried))
-    if second is not None:
-        source = _candidates(source, benchmark, block_chars)
-    out = None
-    for block in (b for part in ([first, second], blocks) for b in part if b):
-        one = _overlaps(source, spark.sparkContext.broadcast(Seeds(block)), min_matches, min_identity, carried)
-        out = one if out is None else out.unionByName(one)
-    return out
+        return spark.createDataFrame([], schema)
+    if second is None:
+        return _overlaps(source, spark.sparkContext.broadcast(Seeds(first)), min_matches, min_identity, carried)
+    candidates, path = _candidates(source, benchmark, block_chars), fresh_path(spark)
+    for block in chain([first, second], blocks):
+        items = spark.sparkContext.broadcast(Seeds(block))
+        _overlaps(candidates, items, min_matches, min_identity, carried).write.mode("append").parquet(path)
+        items.destroy()
+    unstage(candidates)
+    return staged_at(spark, path, schema)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_matches: int = MIN_MATCHES, min_identity: float = MIN_IDENTITY, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -259,7 +269,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_matches: int = MIN_MATCH
 
     first_word and n_words are the best overlap in tokens of the document (most matches, then the earliest). Test items
     that fit one block of bounded size are broadcast, and the texts are passed over once, without a shuffle. More items
-    cost one pass that finds the documents with any seed of any item, and then a pass over those for each block. Null
+    cost one pass that finds the documents with any seed of any item, and then a pass over those for each block, one block
+    in memory at a time; the result is then a staged table. Null
     and empty texts or items overlap nothing; items of under five tokens must stand whole, token by token; repeated
     documents or items repeat in the result; an empty table on either side gives no rows; other columns are ignored.
     """
@@ -276,7 +287,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int =
         return docs
     if second is not None:
         found = _all_overlaps(docs, benchmark, MIN_MATCHES, MIN_IDENTITY, block_chars, KEYS)
-        return without_rows(docs, stage(found.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.lit(False).alias("once"))))
+        decided = stage(found.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.lit(False).alias("once")))
+        unstage(found)
+        return without_rows(docs, decided)
     items = docs.sparkSession.sparkContext.broadcast(Seeds(first))
 
     def clean(texts: pa.Array) -> np.ndarray:

@@ -25,6 +25,7 @@ import pickle
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import ExitStack
 from functools import lru_cache
 from zlib import crc32
 
@@ -702,18 +703,21 @@ def token_table(docs: DataFrame, heads: np.ndarray, buckets: int) -> DataFrame:
 
 
 class _Kept:
-    """A table that stays dealt by bucket on disk, so that letters come to it and it isn't shuffled again."""
+    """A table that stays dealt by bucket on disk, so that letters come to it and it isn't shuffled again. It is a table of
+    the current database, and goes, whatever happens, with the rest of ``left``."""
 
-    def __init__(self, rows: DataFrame, parts: int):
+    def __init__(self, rows: DataFrame, parts: int, left: ExitStack):
         self.spark, self.name = rows.sparkSession, f"phredlens_{uuid.uuid4().hex}"
-        self.path = fresh_path(self.spark)
+        self.path, self.rows = fresh_path(self.spark), None
+        left.callback(self.drop)
         rows.write.bucketBy(parts, "bucket").option("path", self.path).format("parquet").saveAsTable(self.name)
         self.rows = self.spark.table(self.name)
         self.rows._phredlens_path = self.path
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        unstage(self.rows)
+        if self.rows is not None:
+            unstage(self.rows)
 
 
 def _meeting(kept: DataFrame, mail: DataFrame, answer, schema: str = _LETTERS) -> DataFrame:
@@ -756,16 +760,28 @@ def language_model_scores(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int =
     not 2). A null text counts as empty: its end is its one token. A null doc_id isn't held out. Rows that repeat are
     scored, and learned from, each by itself. Without training documents every token is unknown; an empty table gives
     no rows; other columns are ignored. Scores depend on the rows only. The result is staged; all else that was written
-    on the way is deleted.
+    on the way is deleted, also when a job fails.
     """
     if not 0 <= burn_in < sweeps:
         raise ValueError("there must be a sweep after the burn-in")
+    with ExitStack() as left:
+        return _scored(docs, sweeps, burn_in, spread, left)
+
+
+def _scored(docs: DataFrame, sweeps: int, burn_in: int, spread: int, left: ExitStack) -> DataFrame:
+    """See ``language_model_scores``; what is written on the way goes with ``left``."""
+
+    def kept_for_now(df: DataFrame) -> DataFrame:
+        out = stage(df)
+        left.callback(unstage, out)
+        return out
+
     spark = docs.sparkSession
     source = text_rows(docs, held_out().alias("held_out"))
     heads, every = frequent_words(source, spread)
     buckets = max(12, -(-every // BUCKET_TOKENS))
     parts = 2 * buckets
-    static = _Kept(token_table(source, heads, buckets), parts)
+    static = _Kept(token_table(source, heads, buckets), parts, left)
     listed = static.rows.where("bucket >= 0").select("bucket", "pairs")
     shipped = spark.sparkContext.broadcast(heads)
 
@@ -775,11 +791,11 @@ def language_model_scores(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int =
                 yield letters(list(opened(number, Pairs(pairs, buckets), shipped.value)))
         release_memory()
 
-    said = stage(listed.mapInArrow(open_, _LETTERS))
+    said = kept_for_now(listed.mapInArrow(open_, _LETTERS))
     states = {0: State(heads, *added(said, len(heads)), None, 0)}
     answers = _at_owners(_post(said, _TO_OWNER, 0), lambda owner, sent: first_answers(owner, [(s, b) for _, s, b in sent]))
-    booked = stage(_meeting(listed, answers, lambda number, row, by: letters(list(books(number, Pairs(row["pairs"], buckets), by.get(_TO_BUCKET, []), shipped.value)))))
-    active = _Kept(booked.where(F.col("kind") == _ACTIVE).select(F.col("target").alias("bucket"), "blob"), parts)
+    booked = kept_for_now(_meeting(listed, answers, lambda number, row, by: letters(list(books(number, Pairs(row["pairs"], buckets), by.get(_TO_BUCKET, []), shipped.value)))))
+    active = _Kept(booked.where(F.col("kind") == _ACTIVE).select(F.col("target").alias("bucket"), "blob"), parts, left)
     swept: dict[int, DataFrame] = {}
     for k in range(1, sweeps + 1):
         state = spark.sparkContext.broadcast(states[k - 1])
@@ -791,7 +807,7 @@ def language_model_scores(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int =
         mail = spark.createDataFrame([], _LETTERS)
         if k > 1:
             mail = _at_owners(_post(swept[k - 1], _TO_OWNER, k - 1), later_answers).unionByName(swept[k - 1].where(F.col("kind") == _SEATS))
-        swept[k] = stage(_meeting(active.rows, mail, turn))
+        swept[k] = kept_for_now(_meeting(active.rows, mail, turn))
         totals, _, customers = added(swept[k], len(heads))
         states[k] = State(heads, totals, states[0].head_tokens, customers, states[k - 1], k)
     samples = {k: states[k] for k in range(burn_in + 1, sweeps + 1)}
@@ -841,8 +857,4 @@ def language_model_scores(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int =
 
     of_chunks = _meeting(static.rows, mail, score, "chunk long, docs boolean, blob binary").groupBy("chunk")
     rows = of_chunks.applyInArrow(collect, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    out = stage(rows.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))))
-    unstage(said, booked, *swept.values())
-    static.drop()
-    active.drop()
-    return out
+    return stage(rows.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))))

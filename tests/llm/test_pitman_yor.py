@@ -4,11 +4,13 @@ import itertools
 import math
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from phredlens.llm import pitman_yor as py
+from phredlens.sources import staging
 
 
 def corpus(n=200, seed=3):
@@ -229,6 +231,31 @@ def test_texts_of_very_many_words(monkeypatch):
     assert [(b, py.unpacked(x)) for b, x in py.chunk_blobs(*args)].__repr__() == [(b, py.unpacked(x)) for b, x in one].__repr__() and len(one) == 5
 
 
+def test_clashing_columns_are_ignored(spark):
+    rows = corpus(20)
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    wide = plain.selectExpr("*", "'x' bucket", "1 held_out", "2 score", "'y' context", "3 chunk", "'z' blob")
+    assert {tuple(r) for r in py.language_model_scores(wide).collect()} == {tuple(r) for r in py.language_model_scores(plain).collect()}
+
+
+@pytest.mark.parametrize("at", [1, 2])
+def test_a_failed_run_leaves_no_table(spark, monkeypatch, at):
+    folder = Path(staging.shared_dir(spark).removeprefix("file://").removeprefix("file:"))
+    before, calls, added = {*folder.rglob("table-*")}, [], py.added
+
+    def failing(*args):
+        calls.append(args)
+        if len(calls) > at:
+            raise RuntimeError("planned")
+        return added(*args)
+
+    monkeypatch.setattr(py, "added", failing)
+    with pytest.raises(RuntimeError, match="planned"):
+        py.language_model_scores(spark.createDataFrame(corpus(20), "doc_id long, text string"))
+    assert len(calls) == at + 1 and not [t.name for t in spark.catalog.listTables() if t.name.startswith("phredlens_")]
+    assert {*folder.rglob("table-*")} == before
+
+
 def test_edge_cases(spark):
     docs = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (3, None)], "doc_id long, text string")
     rows = py.language_model_scores(docs).collect()

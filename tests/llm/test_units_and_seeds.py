@@ -143,6 +143,29 @@ def test_substituted_passages_are_found_and_clean_documents_left(spark):
     assert kept == {i for i, _ in docs} - {i for i, _ in truth}
 
 
+def test_one_block_of_items_is_alive_at_a_time(spark, monkeypatch):
+    """Five blocks: the broadcast of each is gone before the next is built, and staged tables but the result go."""
+    docs, items, truth = planted(5)
+    live, staged, dropped = [], [], []
+    overlaps, stage, unstage = dec._overlaps, dec.stage, dec.unstage
+
+    def watched(source, items, *rest):
+        assert all(not b._jbroadcast.isValid() for b in live)
+        live.append(items)
+        return overlaps(source, items, *rest)
+
+    monkeypatch.setattr(dec, "_overlaps", watched)
+    monkeypatch.setattr(dec, "stage", lambda df: staged.append(stage(df)) or staged[-1])
+    monkeypatch.setattr(dec, "unstage", lambda *dfs: dropped.extend(dfs) or unstage(*dfs))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    most = sum(len(t) for _, t in items) // 5 + 1
+    got = dec.overlaps(frame(spark, docs), bench, block_chars=most)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == truth
+    assert len(live) >= 5 and not live[-1]._jbroadcast.isValid() and len(staged) == 2 and {id(d) for d in dropped} == {id(d) for d in staged}
+    one = dec.overlaps(frame(spark, docs), bench)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, one.collect()))
+
+
 def test_seed_hits_match_brute_force():
     docs, items, _ = planted(5)
     seeds = dec.Seeds(items)
