@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
-from phredlens.functions.sequence import BASES, EXCLUDED, READ1, REVERSE, flag_has, phred
+from phredlens.functions.sequence import EXCLUDED, READ1, REVERSE, flag_has, phred
 from phredlens.schemas import MISMATCH_COLS
 from phredlens.sources.staging import stage, unstage
 
@@ -28,55 +32,64 @@ def usable_reads(reads: DataFrame, min_mapq: int = 1) -> DataFrame:
     return reads.where((F.col("flag").bitwiseAND(F.lit(EXCLUDED)) == 0) & (F.col("mapq") >= min_mapq) & F.col("seq").isNotNull() & F.col("qual").isNotNull())
 
 
-#: Operations that are walked together: blocks are added to a short list, and the lists to a list of lists, so a CIGAR of
-#: very many operations takes time by their number, not by its square.
-_TOGETHER = 256
-
-
-def _operations(cigar: Column) -> Column:
-    return F.regexp_extract_all(cigar, F.lit("[0-9]+[MIDNSHPX=]"), F.lit(0))
-
-
-def _count(operation: Column) -> Column:
-    return F.substr(operation, F.lit(1), F.length(operation) - 1).cast("int")
+_ints = lambda *names: [StructField(c, IntegerType()) for c in names]
+#: Types, not texts: a worker that imports this module has no session to read a text with.
+_WALKED = StructType([StructField("blocks", ArrayType(StructType(_ints("q", "r", "m", "n")))), *_ints("stop")])
+_UNLIKE = ArrayType(StructType([*_ints("at"), StructField("ref_base", StringType()), StructField("read_base", StringType()), *_ints("base_qual")]))
+_OPERATION = re.compile(r"([0-9]+)([MIDNSHPX=])")
+
+
+def _walk_one(cigar: str) -> tuple[list[tuple[int, int, int, int]], int]:
+    q = r = m = 0
+    blocks = []
+    for count, op in _OPERATION.findall(cigar):
+        n = int(count)
+        if op in "M=X":
+            if n:
+                blocks.append((q, r, m, n))
+            q, r, m = q + n, r + n, m + n
+        elif op in "IS":
+            q += n
+        elif op in "DN":
+            r += n
+            m += n if op == "D" else 0
+    return blocks, r
+
+
+@F.arrow_udf(_WALKED)
+def _walk(cigar: pa.Array, start: pa.Array) -> pa.Array:
+    """Aligned blocks (query offset q, reference offset r, offset m in the MD sequence, size n) of a CIGAR, and where it
+    ends on the reference.
+
+    M, = and X advance both sides; I and S the query; D and N the reference, D the MD sequence too; others nothing. Equal
+    CIGARs of a batch are walked once.
+    """
+    start = pc.cast(start, pa.int32())
+    known = pc.if_else(start.is_valid(), cigar, None).dictionary_encode()
+    walked = [_walk_one(c) for c in known.dictionary.to_pylist()]
+    sizes = np.array([len(blocks) for blocks, _ in walked] + [0])
+    flat = np.array([x for blocks, _ in walked for x in blocks], np.int64).reshape(-1, 4)
+    of = np.asarray(known.indices.fill_null(len(walked)), np.int64)
+    begins, each = np.concatenate([[0], np.cumsum(sizes[:-1])]), sizes[of]
+    ends = np.cumsum(each)
+    at = np.repeat(begins[of] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
+    first = np.asarray(start.fill_null(0), np.int64)
+    q, r, m, n = flat[at].T
+    struct = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (q, r + np.repeat(first, each), m, n)], ["q", "r", "m", "n"])
+    missing = np.asarray(known.indices.is_null())
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), struct, mask=pa.array(missing))
+    stop = pa.array(first + np.array([stop for _, stop in walked] + [0])[of], pa.int32(), mask=missing)
+    return pa.StructArray.from_arrays([lists, stop], ["blocks", "stop"])
 
 
 def reference_end(cigar: Column, start: Column) -> Column:
     """Where a read ends on the reference (0-based, exclusive)."""
-    moved = lambda s, x: s + F.when(F.right(x, F.lit(1)).isin("M", "D", "N", "=", "X"), _count(x)).otherwise(0)
-    return F.aggregate(_operations(cigar), start.cast("int"), moved)
-
-
-def _walk(cigar: Column, start: Column) -> Column:
-    """Aligned blocks (query offset q, reference offset r, offset m in the MD sequence, size n) of a CIGAR.
-
-    M, = and X advance both sides; I and S the query; D and N the reference, D the MD sequence too; others nothing.
-    """
-    kind = "array<struct<q:int,r:int,m:int,n:int>>"
-    at = lambda q, r, m, blocks: F.struct(q.alias("q"), r.alias("r"), m.alias("m"), blocks.alias("blocks"))
-
-    def step(s, x):
-        n, op = _count(x), F.right(x, F.lit(1))
-        both = op.isin("M", "=", "X")
-        moves = lambda *ops: F.when(both | op.isin(*ops), n).otherwise(0)
-        block = F.array(F.struct(s["q"].alias("q"), s["r"].alias("r"), s["m"].alias("m"), n.alias("n")))
-        return at(s["q"] + moves("I", "S"), s["r"] + moves("D", "N"), s["m"] + moves("D"), F.when(both & (n > 0), F.concat(s["blocks"], block)).otherwise(s["blocks"]))
-
-    def walked(ops):
-        def some(s, k):
-            few = F.aggregate(F.slice(ops, k * _TOGETHER + 1, _TOGETHER), at(s["q"], s["r"], s["m"], F.array().cast(kind)), step)
-            return F.element_at(F.transform(F.array(few), lambda f: at(f["q"], f["r"], f["m"], F.concat(s["blocks"], F.array(f["blocks"])))), 1)
-
-        parts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(ops), F.lit(1)) - 1) / _TOGETHER).cast("int"))
-        zero = at(F.lit(0), start.cast("int"), F.lit(0), F.array().cast(f"array<{kind}>"))
-        return F.aggregate(parts, zero, some, lambda s: F.struct(F.flatten(s["blocks"]).alias("blocks"), s["r"].alias("stop")))
-
-    return F.element_at(F.transform(F.array(_operations(cigar)), walked), 1)
+    return _walk(cigar, start)["stop"]
 
 
 def with_blocks(reads: DataFrame) -> DataFrame:
     """Adds ``blocks`` and ``ref_end`` (0-based, exclusive) by a walk inside the row; no shuffle."""
-    walked = reads.withColumn("__walk", _walk(F.col("cigar"), F.col("ref_start")))
+    walked = reads.withColumn("__walk", _walk("cigar", "ref_start"))
     return walked.select(*reads.columns, F.col("__walk.blocks").alias("blocks"), F.col("__walk.stop").alias("ref_end"))
 
 
@@ -167,7 +180,7 @@ def aligned_pieces(reads: DataFrame, reference: DataFrame | None = None, tile: i
     keep = [c for c in reads.columns if c not in ("seq", "qual", "md", "q", "r", "n", "m")]
     marks = None if sites is None else sites_by_tile(sites, tile)
     if reference is None:
-        rebuilt = with_blocks(reads).withColumn("__ref", md_reference(F.col("seq"), F.col("blocks"), F.col("md")).cast("binary"))
+        rebuilt = with_blocks(reads).withColumn("__ref", md_reference("seq", "blocks", "md"))
         rows = rebuilt.select(*keep, "seq", "qual", "__ref", F.inline("blocks"))
         if marks is not None:
             rows = rows.withColumn("m", F.col("m") - F.col("r"))
@@ -191,26 +204,39 @@ def aligned_pieces(reads: DataFrame, reference: DataFrame | None = None, tile: i
     return rows.select(*keep, "q", "r", "n", checked.cast("string").alias("ref_seq"), F.upper(part("seq")).alias("read_seq"), part("qual").alias("qual_seq"))
 
 
-def md_reference(seq: Column, blocks: Column, md: Column) -> Column:
-    """The reference under a read, deletions included and skips left out, from its MD string.
+_MD = re.compile(r"[0-9]+|\^[A-Za-z]+|[A-Za-z]")
 
-    A number copies bases of the aligned query, a letter replaces one, and ^letters are bases the query lacks.
-    """
-    query = F.array_join(F.transform(blocks, lambda b: F.substr(seq.cast("binary"), b["q"] + 1, b["n"]).cast("string")), "")
-    tokens = F.regexp_extract_all(md, F.lit(r"([0-9]+|\^[A-Za-z]+|[A-Za-z])"), F.lit(1))
 
-    def rebuilt(q):
-        zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def _md_one(query: bytes, md: str) -> bytes:
+    at, out = 0, []
+    for t in _MD.findall(md):
+        if t[0] == "^":
+            out.append(t[1:].encode())
+        elif t.isdigit():
+            out.append(query[at : at + int(t)])
+            at += int(t)
+        else:
+            out.append(t.encode())
+            at += 1
+    return b"".join(out)
 
-        def step(s, t):
-            number, deleted = t.rlike("^[0-9]"), t.startswith("^")
-            n = F.when(number, F.try_to_number(t, F.lit("9999999999")).cast("int")).otherwise(F.when(deleted, 0).otherwise(1))
-            text = F.when(number, F.substr(q, s["at"] + 1, n)).otherwise(F.when(deleted, F.substr(t, F.lit(2))).otherwise(t))
-            return F.struct((s["at"] + n).alias("at"), F.concat(s["out"], text).alias("out"))
 
-        return F.aggregate(tokens, zero, step, lambda s: s["out"])
+@F.arrow_udf(BinaryType())
+def md_reference(seq: pa.Array, blocks: pa.Array, md: pa.Array) -> pa.Array:
+    """The reference under a read, deletions included and skips left out, from its MD string.
 
-    return F.element_at(F.transform(F.array(query), rebuilt), 1)
+    A number copies bases of the aligned query, a letter replaces one, and ^letters are bases the query lacks.
+    """
+    parts = blocks.flatten()
+    q, n = (np.asarray(parts.field(c)).tolist() for c in ("q", "n"))
+    out, at = [], 0
+    for letters, size, text in zip(pc.cast(seq, pa.binary()).to_pylist(), pc.list_value_length(blocks).fill_null(0).to_pylist(), md.to_pylist(), strict=True):
+        if letters is None or text is None:
+            out.append(None)
+        else:
+            out.append(_md_one(b"".join([letters[q[i] : q[i] + n[i]] for i in range(at, at + size)]), text))
+        at += size
+    return pa.array(out, pa.binary())
 
 
 def observed_bases(pieces: DataFrame) -> DataFrame:
@@ -222,17 +248,51 @@ def observed_bases(pieces: DataFrame) -> DataFrame:
     return rows.select(*keep, "ref_base", "read_base", phred("qual_char").alias("base_qual"), "ref_pos")
 
 
+def characters(column: pa.Array) -> np.ndarray:
+    """All bytes of a string column without a null, straight from its buffers."""
+    _, ends, data = column.buffers()
+    at = np.frombuffer(ends, np.int32 if column.type in (pa.string(), pa.binary()) else np.int64, len(column) + 1 + column.offset)[column.offset :]
+    return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]
+
+
+def _letters(values: np.ndarray) -> pa.Array:
+    """Strings of one byte each; 0 is an empty one."""
+    ends = np.concatenate([[0], np.cumsum(values > 0)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(values), pa.py_buffer(ends.tobytes()), pa.py_buffer(values[values > 0].astype(np.uint8).tobytes()))
+
+
+@F.arrow_udf(_UNLIKE)
+def _unlike(ref: pa.Array, read: pa.Array, qual: pa.Array) -> pa.Array:
+    """Unlike bases of pieces, compared where they lie in a batch's buffers: at (from 1), both bases, quality. Only A, C, G
+    and T of the reference count; a read or qualities that end before have an empty base, quality -33."""
+    columns = [c.fill_null("") for c in (ref, read, qual)]
+    sizes = [np.asarray(pc.binary_length(c), np.int64) for c in columns]
+    held = [characters(c) for c in columns]
+    ends = np.cumsum(sizes[0])
+    row = np.repeat(np.arange(len(ref)), sizes[0])
+    at = np.arange(len(held[0])) - np.repeat(ends - sizes[0], sizes[0])
+    for k in (1, 2):
+        if (sizes[k] != sizes[0]).any():
+            inside = at < sizes[k][row]
+            spread = np.zeros(len(row), np.uint8)
+            spread[inside] = held[k][((np.cumsum(sizes[k]) - sizes[k])[row] + at)[inside]]
+            held[k] = spread
+    acgt = np.zeros(256, bool)
+    acgt[list(b"ACGT")] = True
+    found = np.flatnonzero((held[0] != held[1]) & acgt[held[0]])
+    each = pa.StructArray.from_arrays([pa.array(at[found] + 1, pa.int32()), _letters(held[0][found]), _letters(held[1][found]), pa.array(held[2][found].astype(np.int32) - 33)], ["at", "ref_base", "read_base", "base_qual"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[found], np.arange(len(ref) + 1)), pa.int32()), each)
+
+
 def mismatches_of(pieces: DataFrame, min_base_qual: int = 0) -> DataFrame:
     """Mismatch rows: the bases differ, the reference base is A, C, G or T, and the quality is enough.
 
     Pieces that equal the reference are dropped at once, and of the others only the unlike bases become rows; a read
     base N is a mismatch.
     """
-    byte = lambda c, i: F.substr(F.col(c).cast("binary"), i, F.lit(1)).cast("string")
-    unlike = F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: byte("ref_seq", i) != byte("read_seq", i))
-    at = pieces.withColumn("ref_seq", F.upper("ref_seq")).where(F.col("ref_seq") != F.col("read_seq")).withColumn("__at", F.explode(unlike))
-    found = at.withColumns({"ref_base": byte("ref_seq", F.col("__at")), "read_base": byte("read_seq", F.col("__at")), "base_qual": phred(byte("qual_seq", F.col("__at"))), "ref_pos": F.col("r") + F.col("__at")})
-    found = found.where(F.col("ref_base").isin(*BASES) & (F.col("base_qual") >= min_base_qual))
+    unlike = pieces.withColumn("ref_seq", F.upper("ref_seq")).where(F.col("ref_seq") != F.col("read_seq")).withColumn("__unlike", _unlike("ref_seq", "read_seq", "qual_seq"))
+    keep = [c for c in pieces.columns if c not in ("ref_base", "read_base", "base_qual", "at")]
+    found = unlike.select(*keep, F.inline("__unlike")).withColumn("ref_pos", F.col("r") + F.col("at")).where(F.col("base_qual") >= min_base_qual)
     found = found.withColumns({"mapping_qual": F.col("mapq"), "is_read1": flag_has("flag", READ1), "is_reverse": flag_has("flag", REVERSE)})
     return found.select(*MISMATCH_COLS, *(c for c in ("ord", "region_ord") if c in found.columns))
 

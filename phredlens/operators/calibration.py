@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phredlens.functions.sequence import BASES, empirical_quality, error_probability
-from phredlens.operators.alignments import observed_bases
+from phredlens.operators.alignments import characters, observed_bases
 from phredlens.operators.variants import off_sites
 
 #: Least errors of a plotted point.
@@ -32,12 +32,6 @@ def calibration_counts(pieces: DataFrame, min_base_qual: int = 0) -> DataFrame:
     counted where they lie in a batch's buffers, a task holds a few counters, and a row per task, technology and quality
     is shuffled."""
 
-    def characters(column: pa.Array) -> np.ndarray:
-        """All bytes of a string column without a null, straight from its buffers."""
-        _, ends, data = column.buffers()
-        at = np.frombuffer(ends, np.int32 if column.type in (pa.string(), pa.binary()) else np.int64, len(column) + 1 + column.offset)[column.offset :]
-        return np.frombuffer(data, np.uint8)[at[0] : at[-1]]
-
     def run(batches):
         acgt = np.zeros(256, bool)
         acgt[list(b"ACGT")] = True

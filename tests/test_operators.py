@@ -285,3 +285,16 @@ def test_derived_reads_equal_their_rule_without_a_step_for_each_base(spark, sf_d
             md, run = (md, run + 1) if seq[-1] == base else (f"{md}{run}{base}", 0)
         assert (r.seq, r.md) == ("".join(seq), f"{md}{run}"), r
         assert r.qual == "".join(chr(35 + (k * 7 + q * 13 + m) % 40) for q in range(fx.READ_LENGTH))
+
+
+def test_extraction_has_no_lambda_and_walks_equal_cigars_alike(spark):
+    rows = [("a", "3M2D2M", 5), ("b", None, 5), ("c", "3M2D2M", 9), ("d", "*", 1), ("e", "2S0M3I4=1X2N5H1M", 0), ("f", "4M", None)]
+    reads = spark.createDataFrame(rows, "read_name string, cigar string, ref_start int").coalesce(1)
+    got = {r[0]: (None if r[1] is None else [tuple(b) for b in r[1]], r[2]) for r in al.with_blocks(reads).select("read_name", "blocks", "ref_end").collect()}
+    assert got == {"a": ([(0, 5, 0, 3), (3, 10, 5, 2)], 12), "b": (None, None), "c": ([(0, 9, 0, 3), (3, 14, 5, 2)], 16), "d": ([], 1), "e": ([(5, 0, 0, 4), (9, 4, 4, 1), (10, 7, 5, 1)], 8), "f": (None, None)}
+    short = spark.createDataFrame([("r", 0, "c", 0, 60, "6M", "ACG", "II", "3A2", 1, "t")], ALIGNMENTS)
+    genome = spark.createDataFrame([("c", "ATGTAC")], REFERENCE)
+    found = al.mismatches(short, genome, min_base_qual=-99)
+    assert sorted((r.ref_pos, r.ref_base, r.read_base, r.base_qual) for r in found.collect()) == [(2, "T", "C", 40), (4, "T", "", -33), (5, "A", "", -33), (6, "C", "", -33)]
+    for frame in (found, al.mismatches(short)):
+        assert "lambdafunction" not in frame._jdf.queryExecution().analyzed().toString()
