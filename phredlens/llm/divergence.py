@@ -15,6 +15,8 @@ from phredlens.llm.tables import stage, unstage
 TERM = r"[a-z\x80-\x{10FFFF}]+"
 #: Documents of a language that a kept term stands in, at least; parts of a whole; ranks of terms that are told.
 MIN_DOCS, WHOLE, TOP_TERMS = 3, 1_000_000_000, 200
+#: Counts below this keep their product with ``WHOLE`` inside a long.
+LONG_COUNTS = (2**63 - 1) // WHOLE
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -55,9 +57,11 @@ def term_counts(rows: DataFrame, numbers: list[Column]) -> DataFrame:
 
 
 def share(count: Column, total: Column, size: Column) -> Column:
-    """1 + floor(10^9 (count + 1) / (total + size)), exact: the product, which a long can't hold, is a decimal."""
+    """1 + floor(10^9 (count + 1) / (total + size)), exact: a product that a long can't hold is a decimal."""
     product = F.lit(WHOLE).cast("decimal(10,0)") * (count + 1).cast("decimal(19,0)")
-    return F.call_function("div", product, (total + size).cast("decimal(19,0)")) + 1
+    large = F.call_function("div", product, (total + size).cast("decimal(19,0)"))
+    small = F.call_function("div", F.lit(WHOLE).cast("long") * (count + 1), total + size)
+    return F.when(count < LONG_COUNTS, small).otherwise(large) + 1
 
 
 def strain(p: Column, q: Column) -> Column:

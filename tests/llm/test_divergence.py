@@ -75,3 +75,15 @@ def test_sql_agrees_on_odd_rows(spark, tmp_path):
         query = queries.QUERIES[name](spark, str(tmp_path))
         want = db.sql(f"SELECT {', '.join(query.columns)} FROM ({queries.ORACLES[name]})").fetchall()
         assert sorted(map(str, map(tuple, query.collect()))) == sorted(map(str, want)), name
+
+
+def test_common_counts_divide_as_longs(spark):
+    from pyspark.sql import functions as F
+
+    from phredlens.llm.divergence import LONG_COUNTS, share
+
+    rows = [(c, c + 5, 3) for c in (0, 7, LONG_COUNTS - 1, LONG_COUNTS, LONG_COUNTS + 1)]
+    frame = spark.createDataFrame(rows, "c long, n long, v long").coalesce(1)
+    shares = frame.select(share(F.col("c"), F.col("n"), F.col("v")).alias("p"))
+    assert [r[0] for r in shares.collect()] == [1 + 10**9 * (c + 1) // (n + v) for c, n, v in rows]
+    assert "CASE WHEN" in shares._jdf.queryExecution().analyzed().toString()
