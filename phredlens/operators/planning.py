@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,25 +25,35 @@ def scan_windows(reads: DataFrame, contigs: DataFrame, size: int) -> DataFrame:
 def interval_tasks(contigs: DataFrame, chunk: int) -> DataFrame:
     """(task, intervals): groups of whole contigs of about ``chunk`` bases; longer contigs alone, in 1-based pieces.
 
-    A group closes as soon as it holds ``chunk`` bases or a long contig follows. The fold resets its state, so it runs
-    over the one list of contigs."""
+    A group closes as soon as it holds ``chunk`` bases or a long contig follows. The fold resets its state, so it walks
+    along the one sorted list of contigs, a batch at a time, with a sum and a number in hand: time by the number of contigs. A
+    null length counts as 0."""
     if chunk < 1:
         raise ValueError("a chunk has one base at least")
-    nothing = F.array().cast("array<array<string>>")
-    zero = F.struct(nothing.alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).cast("long").alias("size"))
-
-    def step(s, c):
-        closed = F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
-        starts = F.sequence(F.lit(1).cast("long"), F.greatest(c["length"], F.lit(1)), F.lit(chunk).cast("long"))
-        pieces = F.transform(starts, lambda a: F.array(F.concat(c["name"], F.lit(":"), a.cast("string"), F.lit("-"), F.least(a + (chunk - 1), c["length"]).cast("string"))))
-        grown, size = F.concat(s["open"], F.array(c["name"])), s["size"] + c["length"]
-        long, full = c["length"] > chunk, size >= chunk
-        return F.struct(
-            F.when(long, F.concat(closed, pieces)).when(full, F.concat(s["done"], F.array(grown))).otherwise(s["done"]).alias("done"),
-            F.when(long | full, F.array().cast("array<string>")).otherwise(grown).alias("open"),
-            F.when(long | full, F.lit(0).cast("long")).otherwise(size).alias("size"),
-        )
-
-    listed = contigs.agg(F.array_sort(F.collect_list(F.struct("ord", "name", F.col("length").cast("long").alias("length")))).alias("c"))
-    tasks = listed.select(F.aggregate("c", zero, step, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])).alias("t"))
-    return tasks.select(F.posexplode("t").alias("task", "intervals"))
+
+    def run(batches):
+        task = size = place = 0
+        held = False
+        for b in batches:
+            tasks = []
+            for n in b.column(1).to_pylist():
+                if n > chunk:
+                    task += held
+                    tasks.append(task)
+                    task, size, held = task - (-n // chunk), 0, False
+                else:
+                    tasks.append(task)
+                    size, held = size + n, True
+                    if size >= chunk:
+                        task, size, held = task + 1, 0, False
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tasks, pa.int64()), pa.array(range(place, place + len(tasks)), pa.int64())], names=["name", "length", "task", "place"])
+            place += len(tasks)
+
+    listed = contigs.select("ord", "name", F.coalesce(F.col("length").cast("long"), F.lit(0)).alias("length")).repartition(1).sortWithinPartitions("ord", "name", "length")
+    placed = listed.select("name", "length").mapInArrow(run, "name string, length long, task long, place long")
+    first = F.explode(F.when(F.col("length") > chunk, F.sequence(F.lit(1).cast("long"), F.col("length"), F.lit(chunk).cast("long"))).otherwise(F.array(F.lit(1).cast("long"))))
+    parts = placed.select("*", first.alias("a"))
+    piece = F.concat("name", F.lit(":"), F.col("a").cast("string"), F.lit("-"), F.least(F.col("a") + (chunk - 1), F.col("length")).cast("string"))
+    spelt = F.when(F.col("length") > chunk, piece).otherwise(F.col("name"))
+    tasks = parts.select((F.col("task") + F.floor((F.col("a") - 1) / chunk)).cast("int").alias("task"), F.struct("place", spelt.alias("name")).alias("x"))
+    return tasks.groupBy("task").agg(F.array_sort(F.collect_list("x")).alias("x")).select("task", F.col("x.name").alias("intervals"))

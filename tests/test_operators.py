@@ -298,3 +298,21 @@ def test_extraction_has_no_lambda_and_walks_equal_cigars_alike(spark):
     assert sorted((r.ref_pos, r.ref_base, r.read_base, r.base_qual) for r in found.collect()) == [(2, "T", "C", 40), (4, "T", "", -33), (5, "A", "", -33), (6, "C", "", -33)]
     for frame in (found, al.mismatches(short)):
         assert "lambdafunction" not in frame._jdf.queryExecution().analyzed().toString()
+
+
+def test_interval_tasks_fold_without_a_growing_list(spark):
+    rng = random.Random(5)
+    rows = [(k, f"c{k}", rng.choice([0, 1, 3, 9, 10, 11, 25, 30])) for k in range(400)]
+    want, held, size = [], [], 0
+    for _, name, n in rows:
+        if n > 10:
+            want += [held] * bool(held) + [[f"{name}:{a}-{min(a + 9, n)}"] for a in range(1, n + 1, 10)]
+            held, size = [], 0
+        else:
+            held, size = [*held, name], size + n
+            if size >= 10:
+                want, held, size = [*want, held], [], 0
+    want += [held] * bool(held)
+    tasks = planning.interval_tasks(spark.createDataFrame(rng.sample(rows, len(rows)), "ord int, name string, length long"), 10)
+    assert sorted((r.task, r.intervals) for r in tasks.collect()) == list(enumerate(want))
+    assert "aggregate(" not in tasks._jdf.queryExecution().analyzed().toString()
