@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,44 +62,59 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     record that two splits share are shuffled, three a side at most. An empty file, or blank lines at its end, give
     no rows.
     """
-    lines = read_lines(spark, path)
-    first: dict[tuple[str, int], int] = {}  # by split: the number of its first line
+    lines = read_lines(spark, path).withColumn("split", F.xxhash64("file", "block"))
+    first: dict[int, tuple[str, int]] = {}  # by split: its file and the number of its first line
     so_far: dict[str, int] = {}
-    for r in sorted(lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).collect()):
-        first[r.file, r.block] = so_far.get(r.file, 0)
-        so_far[r.file] = first[r.file, r.block] + r.n
+    for r in sorted(lines.groupBy("file", "block", "split").agg(F.count(F.lit(1)).alias("n")).collect()):
+        if r.split in first:
+            raise ValueError("two splits have one hash")
+        first[r.split] = r.file, so_far.get(r.file, 0)
+        so_far[r.file] = first[r.split][1] + r.n
     shipped = spark.sparkContext.broadcast(first)
+    empty = lambda n: [pa.nulls(n, t) for t in _FASTQ_TYPES]
 
-    def run(batches):
-        split, number, held = None, 0, []  # held: (number, line) of a record that isn't whole yet
-
-        def parts():
-            return [(split[0], n // 4, n % 4, x, None, None, None) for n, x in held]
+    def parts(split, number, values):
+        """Lines of a record that isn't whole here, with their numbers from ``number`` on."""
+        at = range(number, number + len(values))
+        out = [pa.array([shipped.value[split][0]] * len(values), pa.string()), pa.array([n // 4 for n in at], pa.int64()), pa.array([n % 4 for n in at], pa.int32()), values]
+        return pa.RecordBatch.from_arrays(out + empty(len(values))[4:], _FASTQ_NAMES)
 
+    def run(batches):
+        split, number, held = None, 0, pa.array([], pa.string())  # held: the last lines before line ``number``, of a record that isn't whole yet
         for b in batches:
-            out = []
-            for value, file, block in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if (file, block) != split:
-                    out += parts()
-                    split, number, held = (file, block), shipped.value[file, block], []
-                held.append((number, value))
-                number += 1
-                if number % 4 == 0:
-                    whole = len(held) == 4 and held[2][1].startswith("+")
-                    out += [(file, None, None, None, held[0][1], held[1][1], held[3][1])] if whole else parts()
-                    held = []
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(_FASTQ_TYPES)], _FASTQ_NAMES)
-        out = parts() if held else []
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(_FASTQ_TYPES)], _FASTQ_NAMES)
-
-    rows = lines.mapInArrow(run, "file string, record long, line int, value string, l0 string, l1 string, l3 string")
+            values, splits = b.column(0).cast(pa.string()), np.asarray(b.column(1))
+            ends = [*(np.flatnonzero(splits[1:] != splits[:-1]) + 1).tolist(), len(splits)] if len(splits) else []
+            for a, z in zip([0, *ends], ends, strict=False):
+                if splits[a] != split:
+                    if len(held):
+                        yield parts(split, number - len(held), held)
+                    split, held = int(splits[a]), held[:0]
+                    number = shipped.value[split][1]
+                known = pa.concat_arrays([held, values[a:z]])
+                begin = number - len(held)
+                lead, number = min(-begin % 4, len(known)), number + z - a
+                if lead:
+                    yield parts(split, begin, known[:lead])
+                n = (len(known) - lead) // 4
+                held = known[lead + 4 * n :]
+                l0, l1, l2, l3 = (known.take(pa.array(np.arange(lead + k, lead + 4 * n, 4))) for k in range(4))
+                fine = pc.starts_with(l2, "+")
+                if not pc.all(fine).as_py():
+                    for i in np.flatnonzero(~np.asarray(fine)).tolist():
+                        yield parts(split, begin + lead + 4 * i, known[lead + 4 * i : lead + 4 * i + 4])
+                    l0, l1, l3 = (x.filter(fine) for x in (l0, l1, l3))
+                yield pa.RecordBatch.from_arrays([*empty(len(l0))[:4], l0, l1, l3], _FASTQ_NAMES)
+        if len(held):
+            yield parts(split, number - len(held), held)
+
+    rows = lines.select("value", "split").mapInArrow(run, "file string, record long, line int, value string, l0 string, l1 string, l3 string")
     line = lambda k: F.max(F.when(F.col("line") == k, F.col("value")))
     shared = rows.where("record is not null").groupBy("file", "record").agg(*(line(k).alias(f"l{k}") for k in range(4)))
     shared = shared.where(F.length(F.concat_ws("", "l0", "l1", "l2", "l3")) > 0)
     whole = rows.where("record is null").select("l0", "l1", F.lit("+").alias("l2"), "l3").unionByName(shared.select("l0", "l1", "l2", "l3"))
-    end = lambda c: F.regexp_replace(c, r"\r$", "")
+    end = lambda c: F.when(F.endswith(F.col(c), F.lit("\r")), F.regexp_replace(c, r"\r$", "")).otherwise(F.col(c))
     fine = F.col("l0").startswith("@") & F.col("l2").startswith("+") & (F.length(end("l1")) == F.length(end("l3")))
-    name = F.when(F.coalesce(fine, F.lit(False)), F.split(F.substr(end("l0"), F.lit(2)), r"[ \t]")[0]).otherwise(F.raise_error(F.lit("not a FASTQ record of four lines")))
+    name = F.when(F.coalesce(fine, F.lit(False)), F.substring_index(F.substring_index(F.substr(end("l0"), F.lit(2)), " ", 1), "\t", 1)).otherwise(F.raise_error(F.lit("not a FASTQ record of four lines")))
     return whole.select(name.alias("read_name"), end("l1").alias("seq"), end("l3").alias("qual"))
 
 

@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import re
 import struct
 import zlib
 from contextlib import contextmanager
@@ -393,3 +394,18 @@ def test_planted_variants_are_called(spark):
     places = spark.createDataFrame([("c", p) for p in (1, 500, 1024, 1025, 2048, 3000)] + [("none", 5)], "chrom string, pos int")
     depths = {(r.chrom, r.pos): r.depth for r in pileup.depth_at(reads, places).collect()}
     assert depths == {("c", p): cover(p - 1) for p in (1, 500, 1024, 1025, 2048, 3000)} | {("none", 5): 0}
+
+
+def test_fastq_lines_go_by_a_number_of_their_split(spark, tmp_path):
+    """No path and no pattern for each line, and a record that two batches share is whole."""
+    records = [(f"r{k}", "ACGT" * (k % 7), "IIII" * (k % 7)) for k in range(500)]
+    (tmp_path / "x.fq").write_text("".join(f"@{n}\tabout\n{s}\n+\n{q}\n" for n, s, q in records))
+    found = text.read_fastq(spark, str(tmp_path / "x.fq"))
+    shown = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"MapInArrow run\(value#\d+, split#\d+L?\)", shown) and "split(" not in shown
+    for size in (3, 5, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert sorted(map(tuple, text.read_fastq(spark, str(tmp_path / "x.fq")).collect())) == sorted(records)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
