@@ -82,6 +82,10 @@ def _walk(cigar: pa.Array, start: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([lists, stop], ["blocks", "stop"])
 
 
+#: Spark filters by what it explodes and would run a deterministic function a second time for that.
+_walk = _walk.asNondeterministic()
+
+
 def reference_end(cigar: Column, start: Column) -> Column:
     """Where a read ends on the reference (0-based, exclusive)."""
     return _walk(cigar, start)["stop"]
@@ -284,6 +288,9 @@ def _unlike(ref: pa.Array, read: pa.Array, qual: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[found], np.arange(len(ref) + 1)), pa.int32()), each)
 
 
+_unlike = _unlike.asNondeterministic()
+
+
 def mismatches_of(pieces: DataFrame, min_base_qual: int = 0) -> DataFrame:
     """Mismatch rows: the bases differ, the reference base is A, C, G or T, and the quality is enough.
 

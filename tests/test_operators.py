@@ -330,3 +330,12 @@ def test_what_is_compiled_for_a_derived_read_stays_short(spark, sf_dir):
             assert 0 < max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", shown))) < 8000
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_no_function_runs_twice_for_a_read(spark, sf_dir):
+    from phredlens.plans import queries as plans
+
+    for name in ("mismatches", "mismatches_md", "calibration_counts", "error_histogram"):
+        shown = plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        calls = re.findall(r"ArrowEvalPython \[(_walk|_unlike)\(([^)]*)\)", shown)
+        assert calls and len(calls) == len(set(calls)), (name, calls)
