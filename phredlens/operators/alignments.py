@@ -106,8 +106,9 @@ def cigar_blocks(reads: DataFrame) -> DataFrame:
     return blocks.select(*keep, F.col("__block_idx").alias("block_idx"), *(F.col(f"__b.{c}").alias(c) for c in own[1:]))
 
 
-def reference_tiles(reference: DataFrame, tile: int = TILE) -> DataFrame:
-    """(chrom, tile_id, ref_tile): contig sequences in upper case, cut into tiles; tiles of that width stay what they are.
+def reference_tiles(reference: DataFrame, tile: int = TILE, ahead: int = 0) -> DataFrame:
+    """(chrom, tile_id, ref_tile): contig sequences in upper case, cut into tiles, each with ``ahead`` letters of the next;
+    tiles of that width stay what they are.
 
     Sequences and tiles are binary: a slice of bytes is found at once, while a slice of a string is walked to.
     """
@@ -115,7 +116,7 @@ def reference_tiles(reference: DataFrame, tile: int = TILE) -> DataFrame:
         return reference.select("chrom", "tile_id", "ref_tile")
     at = F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.octet_length("seq"), F.lit(1)) - 1) / tile).cast("int"))).alias("tile_id")
     tiles = reference.select("chrom", F.upper("seq").cast("binary").alias("seq"), at)
-    return tiles.select("chrom", "tile_id", F.substr("seq", F.col("tile_id") * tile + 1, F.lit(tile)).alias("ref_tile"))
+    return tiles.select("chrom", "tile_id", F.substr("seq", F.col("tile_id") * tile + 1, F.lit(tile + ahead)).alias("ref_tile"))
 
 
 def reference_length(reference: DataFrame) -> int:
@@ -143,24 +144,25 @@ def _lower_at(bases: pd.Series, sites: pd.Series, shift: pd.Series) -> pd.Series
     return pd.Series(out, dtype=object)
 
 
-def _meet_tiles(pieces: DataFrame, tiles: DataFrame) -> DataFrame:
-    """``pieces`` left-joined with ``tiles`` by shuffle, a hot tile in several copies.
+def _meet_tiles(pieces: DataFrame, tiles: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """``pieces`` left-joined with ``tiles`` by shuffle (Spark knows a derived table's size by its file only and would
+    broadcast large ones), a hot tile in several copies.
 
-    Pieces are counted by tile first. A tile with more than a quarter of a partition's share, of which there are at most
+    Pieces are counted by tile first, or those of ``counted``, which may be some of them. A tile with more than a quarter of a partition's share, of which there are at most
     four times as many as partitions, gets a copy for each such part, and its pieces are dealt out over the copies."""
     parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = stage(pieces.groupBy("chrom", "tile_id").agg(F.count(F.lit(1)).alias("n")))
+    counts = stage((pieces if counted is None else counted).groupBy("chrom", "tile_id").agg(F.count(F.lit(1)).alias("n")))
     limit = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // (4 * parts))
     hot = counts.where(F.col("n") > limit).select("chrom", "tile_id", F.ceil(F.col("n") / limit).cast("int").alias("__copies")).collect()
     unstage(counts)
     if not hot:
-        return pieces.join(tiles, ["chrom", "tile_id"], "left")
+        return pieces.join(tiles.hint("merge"), ["chrom", "tile_id"], "left")
     known = F.broadcast(pieces.sparkSession.createDataFrame(hot, "chrom string, tile_id int, __copies int"))
     dealt = F.pmod(F.xxhash64(*(c for c in ("read_name", "flag", "ord", "q", "r") if c in pieces.columns)), F.coalesce("__copies", F.lit(1))).cast("int")
     left = pieces.join(known, ["chrom", "tile_id"], "left").withColumn("__copy", dealt).drop("__copies")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("__copies", F.lit(1)) - 1)).alias("__copy")
     right = tiles.join(known, ["chrom", "tile_id"], "left").select(*tiles.columns, copies)
-    return left.join(right, ["chrom", "tile_id", "__copy"], "left").drop("__copy")
+    return left.join(right.hint("merge"), ["chrom", "tile_id", "__copy"], "left").drop("__copy")
 
 
 def _pieces(blocks: DataFrame, tile: int) -> DataFrame:

@@ -38,14 +38,26 @@ def fresh_path(spark: SparkSession, kind: str = "table") -> str:
     return f"{folder}/{kind}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame) -> DataFrame:
+#: Has Spark delete a query's shuffle files when the query ends, not when its driver happens to collect garbage.
+_CLEANS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, clean: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder as its partitions stand and read it back.
 
     A lost executor then costs a reread only. Tables that are small after a shuffle have few files already, because
-    the engine joins small shuffle partitions.
+    the engine joins small shuffle partitions. With ``clean`` the shuffle files of the write go when it is done.
     """
     path = fresh_path(df.sparkSession)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANS, None)
+    if clean:
+        conf.set(_CLEANS, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if clean:
+            conf.unset(_CLEANS) if before is None else conf.set(_CLEANS, before)
     return staged_at(df.sparkSession, path, df.schema)
 
 
