@@ -42,11 +42,12 @@ def fresh_path(spark: SparkSession, kind: str = "table") -> str:
 _CLEANS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stage(df: DataFrame, clean: bool = False) -> DataFrame:
+def stage(df: DataFrame, clean: bool = False, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder as its partitions stand and read it back.
 
     A lost executor then costs a reread only. Tables that are small after a shuffle have few files already, because
-    the engine joins small shuffle partitions. With ``clean`` the shuffle files of the write go when it is done.
+    the engine joins small shuffle partitions. With ``clean`` the shuffle files of the write go when it is done. ``codec`` is
+    the files' compression, else the session's.
     """
     path = fresh_path(df.sparkSession)
     conf = df.sparkSession.conf
@@ -54,7 +55,7 @@ def stage(df: DataFrame, clean: bool = False) -> DataFrame:
     if clean:
         conf.set(_CLEANS, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         if clean:
             conf.unset(_CLEANS) if before is None else conf.set(_CLEANS, before)
